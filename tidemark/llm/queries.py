@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from . import exact
+from . import bpe, chat, exact
 
-QUERIES = {"op5_exact_dedup": exact.op5_exact_dedup}
-SQL = {"op5_exact_dedup": exact.SQL}
+QUERIES = {
+    "op3_bpe_round_trip": bpe.op3_bpe_round_trip,
+    "op5_exact_dedup": exact.op5_exact_dedup,
+    "op9_chat_formatting": chat.op9_chat_formatting,
+}
+SQL = {"op5_exact_dedup": exact.SQL, "op9_chat_formatting": chat.SQL}
