@@ -38,6 +38,8 @@ def _keyed_state(arrivals: DataFrame, path: str, files_per_batch: int) -> DataFr
         "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",
         "spark.sql.streaming.stateStore.rocksdb.writeBufferSizeMB": "8",
         "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+        # a store's local files (some MB each, mostly preallocated) go when its task has committed
+        "spark.sql.streaming.stateStore.unloadOnCommit": "true",
     }
     before = {k: spark.conf.get(k, None) for k in held}
     for k, v in held.items():
