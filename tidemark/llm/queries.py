@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, exact
+from . import bpe, chat, exact, toxicity, unigram
 
 QUERIES = {
     "op3_bpe_round_trip": bpe.op3_bpe_round_trip,
+    "op4_toxicity": toxicity.op4_toxicity,
     "op5_exact_dedup": exact.op5_exact_dedup,
+    "op7_token_counts": unigram.op7_token_counts,
     "op9_chat_formatting": chat.op9_chat_formatting,
 }
 SQL = {"op5_exact_dedup": exact.SQL, "op9_chat_formatting": chat.SQL}
