@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, exact, toxicity, unigram
+from . import bpe, chat, decontam, exact, near, toxicity, unigram
 
 QUERIES = {
     "op3_bpe_round_trip": bpe.op3_bpe_round_trip,
     "op4_toxicity": toxicity.op4_toxicity,
     "op5_exact_dedup": exact.op5_exact_dedup,
+    "op6_near_dedup": near.op6_near_dedup,
     "op7_token_counts": unigram.op7_token_counts,
+    "op8_decontamination": decontam.op8_decontamination,
     "op9_chat_formatting": chat.op9_chat_formatting,
 }
-SQL = {"op5_exact_dedup": exact.SQL, "op9_chat_formatting": chat.SQL}
+SQL = {"op5_exact_dedup": exact.SQL, "op6_near_dedup": near.SQL, "op8_decontamination": decontam.SQL, "op9_chat_formatting": chat.SQL}
