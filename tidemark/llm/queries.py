@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, decontam, exact, near, pii, suffix, toxicity, unigram
+from . import bpe, chat, decontam, exact, katz, near, pii, suffix, toxicity, unigram
 
 QUERIES = {
+    "op1_katz_scoring": katz.op1_katz_scoring,
     "op2_pii_surrogates": pii.op2_pii_surrogates,
     "op3_bpe_round_trip": bpe.op3_bpe_round_trip,
     "op4_toxicity": toxicity.op4_toxicity,
