@@ -82,31 +82,52 @@ class Block:
 def contained(docs: DataFrame, items: DataFrame, threshold: float = 0.8, size: int = 5, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """doc_id, item_id, n_shingles (the item's), n_shared, containment of each pair at or above the threshold."""
     schema = "doc_id long, item_id long, n_shingles long, n_shared long, containment double"
-    items = items.select(F.col(item_id).cast("long").alias("item_id"), F.coalesce(F.col(item_text), F.lit("")).alias("text"))
-    total = items.agg(F.sum(F.octet_length("text") + 64)).head()[0] or 0
-    n_blocks = -(-total // block_bytes)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     out = None
-    for k in range(n_blocks):
-        # a hash of the text deals the items evenly, so a block stays near block_bytes
-        own = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks)) == k).orderBy("item_id", "text").toPandas()
-        block = Block([None if x != x else int(x) for x in own["item_id"].tolist()], own["text"].tolist(), threshold, size)
+    for block in _blocks(items, threshold, size, item_id, item_text, block_bytes):
         found = rows.mapInArrow(_searcher(block), schema)
         out = found if out is None else out.union(found)
     return docs.sparkSession.createDataFrame([], schema) if out is None else out
 
 
+def _blocks(items: DataFrame, threshold: float, size: int, item_id: str, item_text: str, block_bytes: int) -> Iterator[Block]:
+    items = items.select(F.col(item_id).cast("long").alias("item_id"), F.coalesce(F.col(item_text), F.lit("")).alias("text"))
+    total = items.agg(F.sum(F.octet_length("text") + 64)).head()[0] or 0
+    n_blocks = -(-total // block_bytes)
+    for k in range(n_blocks):
+        # a hash deals the items evenly, so a block stays near block_bytes
+        own = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks)) == k).orderBy("item_id", "text").toPandas()
+        yield Block([None if x != x else int(x) for x in own["item_id"].tolist()], own["text"].tolist(), threshold, size)
+
+
+def without(docs: DataFrame, items: DataFrame, threshold: float = 0.8, size: int = 5, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The rows, all columns, that contain no item; map-side, one pass of blocks after another."""
+    at = docs.columns.index(text_col)
+    for block in _blocks(items, threshold, size, item_id, item_text, block_bytes):
+
+        def run(batches: Iterator[pa.RecordBatch], block: Block = block) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                clean = [not found for found in _found(block, batch.column(at))]
+                yield batch.filter(pa.array(clean, pa.bool_()))
+
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs
+
+
+def _found(block: Block, texts: pa.Array) -> Iterator[list[tuple[int, int, int]]]:
+    """What of a block each text contains."""
+    buf, off = text_buffer(texts)
+    for i, j in blocks(off):
+        h, o, _, _ = words(buf[off[i] : off[j]], off[i : j + 1] - off[i])
+        parts = [row_sets(*shingles(h, o, block.size)), *(row_sets(*shingles(h, o, n)) for n in block.short)]
+        for r in range(j - i):
+            yield block.search(np.unique(np.concatenate([v[so[r] : so[r + 1]] for v, so in parts])))
+
+
 def _searcher(block: Block):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, found = batch.column(0).to_pylist(), []
-            buf, off = text_buffer(batch.column(1))
-            for i, j in blocks(off):
-                h, o, _, _ = words(buf[off[i] : off[j]], off[i : j + 1] - off[i])
-                parts = [row_sets(*shingles(h, o, block.size)), *(row_sets(*shingles(h, o, n)) for n in block.short)]
-                for r in range(j - i):
-                    own = np.unique(np.concatenate([v[so[r] : so[r + 1]] for v, so in parts]))
-                    found += [(ids[i + r], block.ids[x], n, both, both / n) for x, n, both in block.search(own)]
+            found = [(doc, block.ids[x], n, both, both / n) for doc, own in zip(batch.column(0).to_pylist(), _found(block, batch.column(1)), strict=True) for x, n, both in own]
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(c) if k > 1 else pa.array(c, pa.int64()) for k, c in enumerate(zip(*found, strict=True))], names=["doc_id", "item_id", "n_shingles", "n_shared", "containment"])
 
