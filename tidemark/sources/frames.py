@@ -58,7 +58,7 @@ SELECT symbol, t, coalesce(avg(CASE WHEN bid + ask > 0 AND ask >= bid THEN (ask
   avg(bid_size) AS mean_bid_size, avg(ask_size) AS mean_ask_size, CAST(count(*) AS double) AS n_quotes
 FROM ({QUOTES}) q1 GROUP BY symbol, t
 """
-FILINGS = "SELECT concat('u', CAST(user_id % 50 AS [[STRING::VARCHAR]])) AS symbol, [[element_at(array('8-K', '10-Q', '10-K', '4', 'S-1'), CAST(event_id % 5 + 1 AS int))::['8-K', '10-Q', '10-K', '4', 'S-1'][event_id % 5 + 1]]] AS form_type, [[unix_micros(CAST(ts AS timestamp))::epoch_us(ts)]] AS available_us, event_id FROM events"
+FILINGS = "SELECT concat('u', CAST(user_id % 50 AS [[STRING::VARCHAR]])) AS symbol, [[element_at(array('8-K', '10-Q', '10-K', '4', 'S-1'), CAST(event_id % 5 + 1 AS int))::list_extract(['8-K', '10-Q', '10-K', '4', 'S-1'], event_id % 5 + 1)]] AS form_type, [[unix_micros(CAST(ts AS timestamp))::epoch_us(ts)]] AS available_us, event_id FROM events"
 NEWS = "SELECT concat(event_type, '-', CAST(user_id % 4 AS [[STRING::VARCHAR]])) AS symbol, [[unix_micros(CAST(ts AS timestamp))::epoch_us(ts)]] AS available_us, event_id, (event_id % 21 - 10) / 10.0 AS sentiment FROM events WHERE event_id % 7 = 0"
 
 FRAMES = {"trades": TRADES, "signed": SIGNED, "bars": BARS, "et": ET, "sessions": SESSIONS, "daily": DAILY, "quotes": QUOTES, "quote_bars": QUOTE_BARS, "filings": FILINGS, "news": NEWS}
