@@ -1,9 +1,10 @@
 """MinHash near-deduplication with odd sketches.
 
 A document's set of word shingles has a signature; equal sets are one class from there on. Classes are banded by MinHash
-(32 bands of 5, so a pair at similarity 0.85 is missed with probability 1e-8), and the samples are folded into a parity
-bitmap of 512 bits: the XOR population count of two such odd sketches estimates a high similarity precisely, and
-candidates six deviations below the threshold are dropped. What remains is verified on the full sets.
+(32 bands of 5, so a pair at similarity 0.85 is missed with probability 1e-8), and the set's 1,024 least hashes (its
+bottom MinHash samples; all of a smaller set) are folded into a parity bitmap of 2,048 bits: the XOR population count of
+two such odd sketches estimates a high similarity precisely, and candidates are dropped whose count is six deviations
+above what the threshold allows sets of their sizes. What remains is verified on the full sets.
 
 Links are found without all pairs of a bucket. First each member is compared with its bucket's least member, and the
 verified links give components. Then, in buckets that still hold several components, members of different components
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 from .common import blocks, mix, row_sets, shingles, text_buffer, words, written
 from .components import components
 
-BANDS, ROWS, BITS = 32, 5, 512
+BANDS, ROWS, BITS, BOTTOM = 32, 5, 2048, 1024
 SAMPLES = BANDS * ROWS
 _RNG = np.random.Generator(np.random.PCG64(977))
 _MUL = (_RNG.integers(0, 2**31, SAMPLES, dtype=np.uint32) * np.uint32(2)) + np.uint32(1)
@@ -53,20 +54,29 @@ def band_keys(samples: np.ndarray) -> np.ndarray:
     return mix(x.sum(axis=2, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64)).view(np.int64)
 
 
-def odd_sketch(samples: np.ndarray) -> np.ndarray:
-    """The parity of the samples that fall on each of BITS bits, packed."""
-    n = len(samples)
-    bit = (mix(samples.astype(np.uint64) * np.uint64(SAMPLES) + _SEED) % np.uint64(BITS)).astype(np.int64)
-    parity = np.bincount((bit + np.arange(n)[:, None] * BITS).ravel(), minlength=n * BITS).reshape(n, BITS) & 1
+def odd_sketch(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Packed bitmaps of each row's sorted set: the parity of its BOTTOM least values that fall on each of BITS bits."""
+    n = len(offsets) - 1
+    taken = np.minimum(np.diff(offsets), BOTTOM)
+    row = np.repeat(np.arange(n), taken)
+    at = np.arange(len(row)) - np.repeat(np.cumsum(taken) - taken, taken) + offsets[row]
+    bit = (mix(values[at] ^ _SEED[0]) % np.uint64(BITS)).astype(np.int64)
+    parity = np.bincount(bit + row * BITS, minlength=n * BITS).reshape(n, BITS) & 1
     return np.packbits(parity.astype(np.uint8), axis=1)
 
 
-def most_odd(similarity: float) -> int:
-    """The largest XOR population count that six deviations leave to a pair of at least that similarity."""
-    p = 1 - similarity
-    differ = min(SAMPLES, SAMPLES * p + 6 * (SAMPLES * p * similarity) ** 0.5)
-    mean = BITS / 2 * (1 - (1 - 2 / BITS) ** (2 * differ))
-    return int(mean + 3 * (BITS / 4) ** 0.5 * (1 - (1 - 4 / BITS) ** (2 * differ)) ** 0.5 / 2)
+def likely(n_a: np.ndarray, n_b: np.ndarray, odd: np.ndarray, percent: int) -> np.ndarray:
+    """Whether sets of these sizes and this XOR population count may be `percent` similar; false for less than one such pair in 1e8."""
+    big, small = np.maximum(n_a, n_b).astype(float), np.minimum(n_a, n_b).astype(float)
+    both = percent / (100 + percent) * (big + small)
+    some_big, some_small = np.minimum(big, BOTTOM), np.minimum(small, BOTTOM)
+    share = np.minimum(1, both / big)
+    drawn = np.where(some_big < big, 12 * np.sqrt(some_big * share * (1 - share)), 0)
+    differ = some_big + some_small - 2 * some_big * share + drawn
+    mean = BITS / 2 * (1 - (1 - 2 / BITS) ** differ)
+    spread = 6 * np.sqrt(BITS / 4 * (1 - (1 - 4 / BITS) ** differ))
+    # folding only loses differences, so the count never passes their number
+    return (100 * small >= percent * big) & (odd <= np.minimum(differ, mean + spread) + 1e-6)
 
 
 def signatures(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
@@ -82,7 +92,7 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFr
                 samples = minhash(values, so)
                 total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(values), dtype=np.uint64)])
                 sig = mix(total[so[1:]] - total[so[:-1]] + count.astype(np.uint64)).view(np.int64)
-                bands, sketch = band_keys(samples), odd_sketch(samples)
+                bands, sketch = band_keys(samples), odd_sketch(values, so)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(count) * BANDS + 1, BANDS), pa.int32()), pa.array(bands.ravel()))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(count), pa.array(sig), lists, pa.array([r.tobytes() for r in sketch], pa.binary())], names=["doc_id", "n", "sig", "bands", "sketch"])
 
@@ -90,17 +100,23 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFr
     return rows.mapInArrow(run, "doc_id long, n long, sig long, bands array<long>, sketch binary")
 
 
-def _popcount_xor(a: str, b: str):
-    """XOR population count of two 64-byte sketches, in the JVM, by eight words."""
-    word = lambda s, k: f"cast(conv(substr(hex({s}), {16 * k + 1}, 16), 16, -10) as bigint)"
-    return " + ".join(f"bit_count({word(a, k)} ^ {word(b, k)})" for k in range(BITS // 64))
+def _bits(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(len(column), -1)
 
 
 def _filtered(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) whose sizes and sketches allow the similarity."""
     side = lambda x: nodes.select(F.col("sig").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"s_{x}"), F.col("doc_id").alias(f"d_{x}"))
-    full = pairs.join(side("b"), "b").join(side("a"), "a")
-    return full.where(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)").where(f"{_popcount_xor('s_a', 's_b')} <= {most_odd(percent / 100)}").select("a", "b", "d_a", "d_b")
+    full = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "d_a", "d_b", "n_a", "n_b", "s_a", "s_b")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                odd = np.bitwise_count(_bits(batch.column(6)) ^ _bits(batch.column(7))).sum(axis=1)
+                keep = likely(batch.column(4).to_numpy(), batch.column(5).to_numpy(), odd, percent)
+                yield batch.select(["a", "b", "d_a", "d_b"]).filter(pa.array(keep))
+
+    return full.mapInArrow(run, "a long, b long, d_a long, d_b long")
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
@@ -141,15 +157,17 @@ def _verified(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> Dat
 
 
 def _across(rows: DataFrame, percent: int) -> DataFrame:
-    """Pairs of one bucket but different components that sizes and sketches allow; rows: key, sig, n, sketch, doc_id, component."""
+    """Pairs of one bucket but different components that sizes and sketches allow; rows: key, sig, n, bands, sketch, doc_id, component.
+
+    A pair comes from the first of the buckets that it shares.
+    """
     sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
     parts = F.ceil(F.col("m") / BLOCK).cast("int")
     dealt = rows.join(sizes.select("key", parts.alias("parts")), "key").withColumn("part", F.pmod(F.xxhash64("sig"), F.col("parts")).cast("int"))
     # each pair of parts of a large bucket is a group of its own
     other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")
-    dealt = dealt.select("*", other).select("key", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), "part", "sig", "n", "sketch", "doc_id", "component")
+    dealt = dealt.select("*", other).select("key", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), "part", "sig", "n", "bands", "sketch", "doc_id", "component")
     grouped = dealt.repartition("key", "p", "q").sortWithinPartitions("key", "p", "q")
-    most = most_odd(percent / 100)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list = []
@@ -168,16 +186,18 @@ def _across(rows: DataFrame, percent: int) -> DataFrame:
             yield from pairs_of(held)
 
     def pairs_of(held: list) -> Iterator[pa.RecordBatch]:
-        (_, p, q), table = held[0][0], pa.Table.from_batches([x for _, x in held])
+        (key, p, q), table = held[0][0], pa.Table.from_batches([x for _, x in held])
         part, sig, n, ids, comp = (np.array(table.column(c).to_pylist()) for c in ("part", "sig", "n", "doc_id", "component"))
-        bits = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint64).reshape(len(sig), -1)
+        bits = _bits(table.column("sketch"))
+        bands = table.column("bands").combine_chunks().flatten().to_numpy().reshape(len(sig), -1)
         left = np.flatnonzero(part == p)
         right = np.flatnonzero(part == q)
         out: list[list] = [[], [], [], []]
         for i in left:
             js = right[(comp[right] != comp[i]) & (sig[right] != sig[i]) & ((sig[right] > sig[i]) | (p != q))]
             js = js[100 * np.minimum(n[js], n[i]) >= percent * np.maximum(n[js], n[i])]
-            js = js[np.bitwise_count(bits[js] ^ bits[i]).sum(axis=1) <= most]
+            js = js[likely(n[js], n[i], np.bitwise_count(bits[js] ^ bits[i]).sum(axis=1), percent)]
+            js = js[bands[js, (bands[js] == bands[i]).argmax(axis=1)] == key]
             for j in js:
                 x, y = (i, j) if sig[i] < sig[j] else (j, i)
                 for column, v in zip(out, (sig[x], sig[y], ids[x], ids[y]), strict=True):
@@ -202,7 +222,7 @@ def near_dedup(docs: DataFrame, percent: int = 85, size: int = 5, id_col: str =
     first = written(components(links), "near-components")
     placed = members.select("key", "sig").join(first.withColumnRenamed("node", "sig"), "sig", "left").withColumn("component", F.coalesce("component", "sig"))
     mixed = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
-    rest = placed.join(mixed, "key", "left_semi").join(slim, "sig")
+    rest = placed.join(mixed, "key", "left_semi").join(nodes, "sig")
     more = _verified(_across(rest, percent), docs, size, percent)
     final = components(links.union(more)) if more.limit(1).count() else first
     return _result(rows, nodes, final)
