@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from .common import _BASE, _BASE_INV, _BYTE, _power, blocks, mix, partitions, text_buffer, written
 
 #: Bytes of an anchor, bytes of contexts in a block, occurrences above which an anchor is dealt to blocks of so many.
-ANCHOR, BLOCK, HOT = 24, 1 << 20, 8192
+ANCHOR, BLOCK, HOT = 24, 1 << 17, 8192
 _LOW = np.uint64(63)
 
 
@@ -51,22 +51,40 @@ def anchors(buf: np.ndarray, offsets: np.ndarray, least: int) -> tuple[np.ndarra
         low = np.minimum(low[: len(low) - (width - span)], low[width - span :])
     # strings that cross a row's end don't count
     start = np.arange(len(low))
-    row = np.searchsorted(offsets, start, "right") - 1
-    low, start = low[(inside := start + least <= offsets[row + 1])], start[inside]
+    if len(offsets) > 2:
+        inside = np.zeros(len(low) + 1, np.int8)
+        rows = np.flatnonzero(np.diff(offsets) >= least)
+        inside[offsets[rows]] += 1
+        inside[offsets[rows + 1] - least + 1] -= 1
+        start = np.flatnonzero(np.cumsum(inside[:-1], dtype=np.int8))
+        low = low[start]
+    # a string's anchor is mostly its predecessor's
+    new = np.ones(len(low), bool)
+    new[1:] = (low[1:] != low[:-1]) | (start[1:] - start[:-1] > width)
+    low, start = low[new], start[new]
     at = start + ((low - start.astype(np.uint64)) & _LOW).astype(np.int64)
-    at = np.unique(at)
+    if len(at) > 1 and (at[1:] <= at[:-1]).any():
+        at = np.unique(at)
     return at, value[at] & ~_LOW
 
 
+def batch_anchors(buf: np.ndarray, offsets: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, position and hash of the anchors of many rows, in pieces that stay in the cache."""
+    parts = []
+    for i, j in blocks(offsets, 1 << 16):
+        at, h = anchors(buf[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], least)
+        parts.append((np.searchsorted(offsets[i : j + 1], at + offsets[i], "right") - 1 + i, at + offsets[i], h))
+    return tuple(np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64))
+
+
 def _anchor_rows(least: int, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, keys = (np.array(batch.column(k).to_pylist(), np.int64) for k in (0, 1))
             buf, off = text_buffer(batch.column(2))
             for i, j in blocks(off, 8 << 20):
-                at, h = anchors(buf[off[i] : off[j]], off[i : j + 1] - off[i], least)
-                doc = np.searchsorted(off[i : j + 1] - off[i], at, "right") - 1
-                order = np.argsort(h, kind="stable")
+                doc, _, h = batch_anchors(buf[off[i] : off[j]], off[i : j + 1] - off[i], least)
+                order = np.lexsort((doc, h))
                 h, doc = h[order], doc[order]
                 same = np.zeros(len(h), bool)
                 same[1:] = (h[1:] == h[:-1]) & (doc[1:] == doc[:-1])
@@ -138,53 +156,72 @@ def _context_rows(least: int):
     """Texts behind their shared anchors, sorted by key: the contexts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting: list[tuple[int, int, bytes, np.ndarray]] = []
+        size = 0
         for _, held in _by_key(batches):
             found, text, doc = [], None, None
             for piece in held:
                 for r in range(piece.num_rows):
                     if piece.column(1)[r].as_py() == 0:
-                        found.append(np.frombuffer(piece.column(2)[r].as_buffer(), np.uint64))
-                    elif text is None:  # a repeated row has the same text
+                        found.append(np.frombuffer(piece.column(2)[r].as_py(), np.uint64))
+                    elif found and text is None:  # a repeated row has the same text
                         doc, text = piece.column(3)[r].as_py(), piece.column(2)[r].as_py()
-            if found and text is not None:
-                yield from contexts(doc, held[0].column(0)[0].as_py(), text, np.concatenate(found))
-
-    def contexts(doc: int, key: int, text: bytes, found: np.ndarray) -> Iterator[pa.RecordBatch]:
-        found = np.sort(found)
-        buf = np.frombuffer(text, np.uint8)
-        at, h = anchors(buf, np.array([0, len(buf)]), least)
-        where = np.minimum(np.searchsorted(found, h), len(found) - 1)
-        hit = (found[where] & ~np.uint64(1)) == h
-        at, h = at[hit], found[where[hit]]
-        groups: dict[tuple[int, bytes], list[int]] = {}
-        for p, x in zip(at.tolist(), h.view(np.int64).tolist(), strict=True):
-            lo, hi = max(0, p + ANCHOR - least), min(p, len(text) - least)
-            groups.setdefault((x, text[lo : hi + least]), []).append(lo)
-        if groups:
-            anchor = [x for x, _ in groups]
-            salt = [(key & 0xFFFF) if x & 1 else 0 for x in anchor]
-            yield pa.RecordBatch.from_arrays([pa.array(anchor, pa.int64()), pa.array(salt, pa.int32()), pa.array([doc] * len(anchor), pa.int64()), pa.array([key] * len(anchor), pa.int64()), pa.array([np.array(v, np.int32).tobytes() for v in groups.values()], pa.binary()), pa.array([c for _, c in groups], pa.binary())], names=["anchor", "salt", "doc", "key", "starts", "context"])
+            if text is not None:
+                waiting.append((doc, held[0].column(0)[0].as_py(), text, np.concatenate(found)))
+                size += len(text)
+                if size >= 1 << 20:
+                    yield from contexts(waiting)
+                    waiting, size = [], 0
+        yield from contexts(waiting)
+
+    def contexts(texts: list[tuple[int, int, bytes, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        if not texts:
+            return
+        offsets = np.concatenate([[0], np.cumsum([len(t) for _, _, t, _ in texts])])
+        row, at, h = batch_anchors(np.frombuffer(b"".join(t for _, _, t, _ in texts), np.uint8), offsets, least)
+        at -= offsets[row]
+        cut = np.searchsorted(row, np.arange(len(texts) + 1))
+        out: list[list] = [[] for _ in range(6)]
+        for k, (doc, key, text, found) in enumerate(texts):
+            own, places = h[cut[k] : cut[k + 1]], at[cut[k] : cut[k + 1]]
+            found = np.sort(found)
+            where = np.minimum(np.searchsorted(found, own), len(found) - 1)
+            hit = (found[where] & ~np.uint64(1)) == own
+            last = len(text) - least
+            groups: dict[tuple[int, bytes], list[int]] = {}
+            for p, x in zip(places[hit].tolist(), found[where[hit]].view(np.int64).tolist(), strict=True):
+                lo = max(0, p + ANCHOR - least)
+                groups.setdefault((x, text[lo : min(p, last) + least]), []).append(lo)
+            for (x, context), starts in groups.items():
+                for column, v in zip(out, (x, (key & 0xFFFF) if x & 1 else 0, doc, key, np.array(starts, np.int32).tobytes(), context), strict=True):
+                    column.append(v)
+        kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=["anchor", "salt", "doc", "key", "starts", "context"])
 
     return run
 
 
 def suffix_array(text: np.ndarray) -> np.ndarray:
-    """Suffixes in order, by prefix doubling from eight characters; text: ints, its separators all different."""
+    """Suffixes in order, by prefix doubling; text: ints, its separators (values under 0) all different."""
     n = len(text)
-    rank = text.astype(np.int64)
-    _, rank = np.unique(rank, return_inverse=True)
-    span = 1
+    values = text - text.min() + 1
+    base, span, key, top = int(values.max()) + 1, 1, values, int(values.max()) + 1
+    while top * base < 2**62:  # as many characters as fit a key
+        key = key * base
+        key[: n - span] += values[span:]
+        span, top = span + 1, top * base
     while True:
-        second = np.zeros(n, np.int64)
-        second[: n - span] = rank[span:] + 1
-        key = rank * np.int64(n + 1) + second
-        order = np.argsort(key, kind="stable")
-        step = np.concatenate([[0], np.cumsum(key[order[1:]] != key[order[:-1]])])
+        order = np.argsort(key)
+        ranked = key[order]
+        step = np.zeros(n, np.int64)
+        np.cumsum(ranked[1:] != ranked[:-1], out=step[1:])
+        if step[-1] == n - 1 or span >= n:
+            return order
         rank = np.empty(n, np.int64)
         rank[order] = step
+        key = rank * (n + 1)
+        key[: n - span] += rank[span:] + 1
         span *= 2
-        if step[-1] == n - 1 or span >= n:
-            return order
 
 
 def expand(text: np.ndarray, least: int) -> np.ndarray:
@@ -197,7 +234,8 @@ def expand(text: np.ndarray, least: int) -> np.ndarray:
     order = suffix_array(text)
     n = len(order)
     before = text[order - 1]  # the transform; the first position's predecessor is the last separator
-    back = np.argsort(before, kind="stable")  # back[j]: the row whose last-to-first image is row j
+    # back[j]: the row whose last-to-first image is row j (sixteen bits sort in linear time)
+    back = np.argsort(before.astype(np.int16) if before.min() >= -(2**15) else before, kind="stable")
     first = text[order]
     # equal-character rows keep their order under the mapping; a first character of its own bounds each interval
     bound = np.ones(n, bool)
