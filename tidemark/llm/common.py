@@ -105,7 +105,22 @@ def blocks(offsets: np.ndarray, most: int = 4 << 20):
 
 
 def words(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Words of each row, A-Z lower-cased: 64-bit hashes, n + 1 offsets into them, starts and ends as byte positions."""
+    """Words of each row, A-Z lower-cased: 64-bit hashes, n + 1 offsets into them, starts and ends as byte positions.
+
+    Rows are taken in pieces that stay in the processor's cache.
+    """
+    if len(buf) <= 1 << 18 or len(offsets) <= 2:
+        return _words(buf, offsets)
+    parts, done = [], 0
+    for i, j in blocks(offsets, 1 << 17):
+        h, o, a, b = _words(buf[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+        parts.append((h, o[1:] + done, a + offsets[i], b + offsets[i]))
+        done += len(h)
+    h, o, a, b = (np.concatenate(x) for x in zip(*parts, strict=True))
+    return h, np.concatenate([[0], o]), a, b
+
+
+def _words(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     n = len(buf)
     if not n:
         return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from .common import _STEP, blocks, mix, partitions, text_buffer, words, written
 
 #: Bytes of text in a block, and the count up to which Good-Turing discounts.
-BLOCK, DISCOUNTED = 8 << 20, 5
+BLOCK, DISCOUNTED = 2 << 20, 5
 END, START = np.uint64(0x9D39247E33776D41), np.uint64(0x2AF7398005AAA5C7)
 #: Rows between the steps: of a block or for it; what (0 its texts, 1 and 2 counts of its uni- and bigrams, 3 alphas); the partition; data.
 ROWS = "block long, kind int, bucket int, a binary, b binary, c binary"
@@ -210,7 +210,7 @@ def _histories(model: Model, buckets: int):
             bucket = (history >> np.uint64(20)) % np.uint64(buckets)
             cuts = np.searchsorted(bucket, np.arange(buckets + 1))
             train = np.bincount(hw[block.train[block.doc]], minlength=len(history))
-            data = np.column_stack([mass, lower, train])
+            data = np.column_stack([mass, lower, train]).astype(np.float64)
             rows = [(text[0], 3, k, history[i:j].tobytes(), data[i:j].tobytes(), None) for k, (i, j) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if i < j]
             if rows:
                 yield _batch(rows)
