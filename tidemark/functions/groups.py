@@ -145,7 +145,7 @@ ols_group("market_beta", "bars", [RET, {"mkt": across("max", where(f"symbol = '{
 # --- technical --------------------------------------------------------------------------------------------------
 SMA = (5, 10, 15, 20, 30, 50, 100, 200)
 add("technical", "bars", [{"prev": at_lag("close", 1)}, {"g": within("avg", where("close > prev", "close - prev", "0.0"), 14), "l": within("avg", where("close < prev", "prev - close", "0.0"), 14), "sd": within("stddev_samp", "close", 20)} | {f"sma{w}": within("avg", "close", w) for w in SMA}],
-    {"rsi_14m": where("g + l > 0", "100 * g / nullif(g + l, 0)"), "bb_position_20m": where("sd > 1e-6 * abs(sma20)", "(close - sma20) / (2 * sd)"), "bb_width_20m": where("sd > 1e-6 * abs(sma20)", "4 * sd / sma20")} | per(SMA, ("sma_dist_{w}m", lambda w: div("close", f"sma{w}") + " - 1")))
+    {"rsi_14m": where("g + l > 0", "100 * g / nullif(g + l, 0)"), "bb_position_20m": where("sd > 1e-6 * abs(sma20)", "(close - sma20) / (2 * sd)"), "bb_width_20m": where("sd > 1e-6 * abs(sma20)", "4 * sd / nullif(sma20, 0)")} | per(SMA, ("sma_dist_{w}m", lambda w: div("close", f"sma{w}") + " - 1")))
 
 # --- cross-sections ---------------------------------------------------------------------------------------------
 W = (5, 10, 15, 20, 30, 45, 60, 90, 120)
@@ -238,7 +238,7 @@ add("asset_flags", "bars", [], {"is_shortable": flag("cluster_id <> 3"), "is_eas
 # --- window paths -----------------------------------------------------------------------------------------------
 PATH = "[[sort_array(collect_list(struct(t, close)) OVER (PARTITION BY symbol ORDER BY t RANGE BETWEEN 59 PRECEDING AND CURRENT ROW))::list(close ORDER BY t) OVER (PARTITION BY symbol ORDER BY t RANGE BETWEEN 59 PRECEDING AND CURRENT ROW)]]"
 #: (running extreme, largest move from it) folded along the window; both engines have a list fold.
-DOWN = "[[aggregate(path, named_struct('m', CAST(-1e300 AS double), 'd', CAST(0 AS double)), (a, x) -> named_struct('m', greatest(a.m, x.close), 'd', least(a.d, x.close / greatest(a.m, x.close) - 1)), a -> a.d)::list_min(list_transform(range(1, len(path) + 1), lambda i: path[i] / list_max(path[1:i]) - 1))]]"
+DOWN = "[[aggregate(path, named_struct('m', CAST(-1e300 AS double), 'd', CAST(0 AS double)), (a, x) -> named_struct('m', greatest(a.m, x.close), 'd', least(a.d, x.close / nullif(greatest(a.m, x.close), 0) - 1)), a -> a.d)::list_min(list_transform(range(1, len(path) + 1), lambda i: path[i] / nullif(list_max(path[1:i]), 0) - 1))]]"
 UP = "[[aggregate(path, named_struct('m', CAST(1e300 AS double), 'd', CAST(0 AS double)), (a, x) -> named_struct('m', least(a.m, x.close), 'd', greatest(a.d, x.close / nullif(least(a.m, x.close), 0) - 1)), a -> a.d)::list_max(list_transform(range(1, len(path) + 1), lambda i: path[i] / nullif(list_min(path[1:i]), 0) - 1))]]"
 add("draw_range", "bars", [{"path": PATH, "n": within("count", "close", 60)}, {"dd": where("n >= 2", DOWN), "du": where("n >= 2", UP)}], {"draw_range_60m": "du - dd", "max_drawup_60m": "du", "max_drawdown_60m": "-dd"})
 # runs of one sign: the run's start, cut by the window's start

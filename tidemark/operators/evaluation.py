@@ -35,7 +35,7 @@ b AS (SELECT symbol, t, n, close, r1, {', '.join(f'{back(k)} AS r{k}' for k in (
 SELECT symbol, t, {', '.join(r(e, 5) + f' AS {n}' for n, e in {'r1': 'r1', 'r2': 'r2', 'r5': 'r5', 'r10': 'r10', 'r20': 'r20', 'vol20': 'vol20', 'log_adv': 'ln(1 + adv20)', 'dist_hi': 'close / nullif(hi20, 0) - 1', 'dist_lo': 'close / nullif(lo20, 0) - 1', 'dist_sma': 'close / nullif(sma20, 0) - 1', 'range1': 'range1', 'fwd1': 'fwd1', 'mag1': 'mag1'}.items())}, CASE WHEN sma20 < close THEN 1 ELSE 0 END AS regime FROM b WHERE n >= 21 AND close >= {FLOOR}"""
 QUERIES["intraday_panel"] = f"""
 WITH f AS (SELECT symbol, t, close / nullif(lag(close) OVER ({WS}), 0) - 1 AS feature FROM ({BARS}) b), k AS (SELECT DISTINCT symbol, t FROM f WHERE t % 24 BETWEEN 9 AND 21)
-SELECT b.symbol, b.t, {r('f.feature')} AS feature, {r('coalesce(CASE WHEN b.n_trades > 1 THEN (b.high - b.low) / b.close * 5000 END, CASE WHEN b.volume > 50 THEN b.volume / 2 END, 3.0)')} AS cost_bps
+SELECT b.symbol, b.t, {r('f.feature')} AS feature, {r('coalesce(CASE WHEN b.n_trades > 1 THEN (b.high - b.low) / nullif(b.close, 0) * 5000 END, CASE WHEN b.volume > 50 THEN b.volume / 2 END, 3.0)')} AS cost_bps
 FROM ({BARS}) b JOIN k ON b.symbol = k.symbol AND b.t = k.t JOIN f ON b.symbol = f.symbol AND b.t = f.t"""
 H = 5
 look = lambda f, x: f"{f}({x}) OVER ({WS} ROWS BETWEEN 1 FOLLOWING AND {H} FOLLOWING)"
