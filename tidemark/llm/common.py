@@ -39,11 +39,20 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder; its lineage ends there, so a lost executor costs no recomputation."""
+def written(df: DataFrame, name: str, batch_rows: int | None = None) -> DataFrame:
+    """df as a Parquet table in the shared folder; its lineage ends there, so a lost executor costs no recomputation.
+
+    batch_rows: rows in an Arrow batch meanwhile, for rows that are large.
+    """
     spark = df.sparkSession
-    path = shared_path(spark, name)
-    df.write.parquet(path)
+    path, key = shared_path(spark, name), "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    if batch_rows:
+        spark.conf.set(key, batch_rows)
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(key, before)
     # the shuffle files behind the table go as soon as the JVM notices that nothing refers to them
     spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)

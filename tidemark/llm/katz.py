@@ -265,7 +265,7 @@ def score_texts(docs: DataFrame, train: str = "pmod(crc32(cast(doc_id as string)
     rows = rows.select(F.coalesce("doc_id", F.lit(0)).alias("id"), F.col("doc_id").isNull().alias("null"), F.coalesce(F.expr(train), F.lit(False)).alias("train"), "text")
     packed = written(rows.mapInArrow(_pack, ROWS), "katz-blocks")
     asked = packed.mapInArrow(_ask(buckets), ROWS)
-    counted = written(asked.repartition(buckets, "bucket").sortWithinPartitions("bucket", "kind").mapInArrow(_answer, ROWS), "katz-counts")
+    counted = written(asked.repartition(buckets, "bucket").sortWithinPartitions("bucket", "kind").mapInArrow(_answer, ROWS), "katz-counts", 128)
     # one row of nine numbers a partition and order
     totals = {1: np.zeros(DISCOUNTED + 3, np.int64), 2: np.zeros(DISCOUNTED + 3, np.int64)}
     for row in counted.where("block = -1").select("kind", "a").toLocalIterator():
@@ -273,7 +273,7 @@ def score_texts(docs: DataFrame, train: str = "pmod(crc32(cast(doc_id as string)
     model = Model(totals[1].tolist(), totals[2].tolist(), cutoff)
     answers = counted.where("block >= 0")
     sums = packed.union(answers).repartition("block").sortWithinPartitions("block", "kind").mapInArrow(_histories(model, buckets), ROWS)
-    alphas = written(sums.repartition(buckets, "bucket").sortWithinPartitions("bucket", "kind").mapInArrow(_alphas, ROWS), "katz-alphas")
+    alphas = written(sums.repartition(buckets, "bucket").sortWithinPartitions("bucket", "kind").mapInArrow(_alphas, ROWS), "katz-alphas", 128)
     full = packed.union(answers).union(alphas).repartition("block").sortWithinPartitions("block", "kind")
     return full.mapInArrow(_scores(model, buckets), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
