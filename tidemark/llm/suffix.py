@@ -80,8 +80,8 @@ def batch_anchors(buf: np.ndarray, offsets: np.ndarray, least: int) -> tuple[np.
 def _anchor_rows(least: int, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, keys = (np.array(batch.column(k).to_pylist(), np.int64) for k in (0, 1))
-            buf, off = text_buffer(batch.column(2))
+            keys = np.array(batch.column(0).to_pylist(), np.int64)
+            buf, off = text_buffer(batch.column(1))
             for i, j in blocks(off, 8 << 20):
                 doc, _, h = batch_anchors(buf[off[i] : off[j]], off[i : j + 1] - off[i], least)
                 order = np.lexsort((doc, h))
@@ -92,15 +92,15 @@ def _anchor_rows(least: int, buckets: int):
                 bucket = (h >> np.uint64(40)) % np.uint64(buckets)
                 by = np.argsort(bucket, kind="stable")
                 cuts = np.searchsorted(bucket[by], np.arange(buckets + 1))
-                rows: list[list] = [[], [], [], [], []]
+                rows: list[list] = [[], [], [], []]
                 for b in range(buckets):
                     own = by[cuts[b] : cuts[b + 1]]
                     if len(own):
                         docs, ref = np.unique(doc[own], return_inverse=True)
-                        for column, x in zip(rows, (b, h[own].tobytes(), ref.astype(np.uint32).tobytes(), ids[i + docs].tobytes(), keys[i + docs].tobytes()), strict=True):
+                        for column, x in zip(rows, (b, h[own].tobytes(), ref.astype(np.uint16 if len(docs) <= 1 << 16 else np.uint32).tobytes(), keys[i + docs].tobytes()), strict=True):
                             column.append(x)
                 if rows[0]:
-                    yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int32()), *(pa.array(c, pa.binary()) for c in rows[1:])], names=["bucket", "h", "ref", "ids", "keys"])
+                    yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int32()), *(pa.array(c, pa.binary()) for c in rows[1:])], names=["bucket", "h", "ref", "keys"])
 
     return run
 
@@ -124,21 +124,21 @@ def _by_key(batches: Iterator[pa.RecordBatch], key: int = 0) -> Iterator[tuple[o
 
 
 def _shared(batches: Iterator[pa.RecordBatch], hot_at: int) -> Iterator[pa.RecordBatch]:
-    """Of one bucket's anchors those in two documents or more, by document; the lowest bit marks frequent ones."""
+    """Of one bucket's anchors those in two texts or more, by text; the lowest bit marks frequent ones."""
     for _, held in _by_key(batches):
-        h, ids, keys = [], [], []
+        h, keys = [], []
         for piece in held:
             for r in range(piece.num_rows):
-                hs, ref, own, key = (np.frombuffer(piece.column(k)[r].as_buffer(), t) for k, t in ((1, np.uint64), (2, np.uint32), (3, np.int64), (4, np.int64)))
+                hs, key = (np.frombuffer(piece.column(k)[r].as_buffer(), t) for k, t in ((1, np.uint64), (3, np.int64)))
+                raw = piece.column(2)[r].as_py()
                 h.append(hs)
-                ids.append(own[ref])
-                keys.append(key[ref])
-        h, ids, keys = (np.concatenate(x) for x in (h, ids, keys))
+                keys.append(key[np.frombuffer(raw, np.uint16 if len(raw) == 2 * len(hs) else np.uint32)])
+        h, keys = (np.concatenate(x) for x in (h, keys))
         order = np.argsort(h, kind="stable")
-        h, ids, keys = h[order], ids[order], keys[order]
+        h, keys = h[order], keys[order]
         first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
         size = np.diff(np.concatenate([first, [len(h)]]))
-        differ = np.minimum.reduceat(ids, first) != np.maximum.reduceat(ids, first)
+        differ = np.minimum.reduceat(keys, first) != np.maximum.reduceat(keys, first)
         keep = np.repeat(differ, size)
         h = (h | np.repeat((size > hot_at).astype(np.uint64), size))[keep]
         keys = keys[keep]
@@ -380,7 +380,7 @@ def remove_repeats(docs: DataFrame, least: int = 50, id_col: str = "doc_id", tex
     smallest = known.groupBy("sha").agg(F.min("doc").alias("low"))
     placed = written(known.join(smallest, "sha").select("key", "n", (F.col("doc") == F.col("low")).alias("first")), "repeat-classes")
     buckets = partitions(spark)
-    found = rows.where(F.octet_length("data") >= least).select("doc", "key", F.col("data").cast("string").alias("text")).mapInArrow(_anchor_rows(least, buckets), "bucket int, h binary, ref binary, ids binary, keys binary")
+    found = rows.where(F.octet_length("data") >= least).select("key", F.col("data").cast("string").alias("text")).mapInArrow(_anchor_rows(least, buckets), "bucket int, h binary, ref binary, keys binary")
     shared = found.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(lambda b: _shared(b, hot_at), "key long, data binary")
     # of equal texts only the smallest id's is searched
     shared = written(shared.join(placed.where("first").select("key"), "key", "left_semi").select("key", F.lit(0).alias("kind"), "data", F.lit(0).cast("long").alias("doc")), "repeat-anchors")
