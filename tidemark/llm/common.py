@@ -45,15 +45,20 @@ def written(df: DataFrame, name: str, batch_rows: int | None = None) -> DataFram
     batch_rows: rows in an Arrow batch meanwhile, for rows that are large.
     """
     spark = df.sparkSession
-    path, key = shared_path(spark, name), "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(key)
+    path = shared_path(spark, name)
+    # the shuffle files behind the table go with the query that writes it
+    held = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
     if batch_rows:
-        spark.conf.set(key, batch_rows)
+        held["spark.sql.execution.arrow.maxRecordsPerBatch"] = str(batch_rows)
+    before = {k: spark.conf.get(k, None) for k in held}
+    for k, v in held.items():
+        spark.conf.set(k, v)
     try:
         df.write.parquet(path)
     finally:
-        spark.conf.set(key, before)
-    # the shuffle files behind the table go as soon as the JVM notices that nothing refers to them
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    # and what is left of them once the JVM notices that nothing refers to it
     spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
