@@ -128,6 +128,35 @@ def test_surrogate_collisions_are_resolved(spark, monkeypatch):
     assert len({x[0] for x in found}) == 5 and all(x[0] == x[1] for x in found)
 
 
+def test_surrogates_leave_no_spelling_in_clear(spark):
+    """Upper-case secrets, cards beside other digits, names without their title."""
+    secret, card = "9233A8EC" * 5, "4111111111111111"
+    texts = [
+        f"TOKEN = \"{secret}\" and {secret.lower()}", f"{card} 123", "123 4111 1111 1111 1111", f"{card} 123-45-6789", f"{card} 10.0.0.1", "12 3456 4111 1111 1111 1111 99", f"{card} 5500000000000004",
+        "Mrs Anna Schmidt came. Later Anna Schmidt left; Schmidt's hat, Dr. Anna Schmidt, Mrs. Schmidt and ANNA\nSCHMIDT.", "Schmidt is no name here, 1 2 3 4 5 6 7 8 9 10 11 12 13 14", "9" * 30000 + " 1" * 30000,
+    ]
+    rows = pii.replace_entities(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()
+    upper, lower = re.findall(r"[0-9A-Fa-f]{40}", rows[0].text)
+    assert upper == lower.upper() != secret and rows[0].n_entities == 2
+    for k in range(1, 7):
+        assert "4111" not in rows[k].text and [e.type for e in rows[k].entities if e.type == "card"], rows[k]
+    one = [[e.surrogate for e in rows[k].entities][0] for k in (1, 3, 4, 6)]
+    assert len(set(one)) == 1 and rows[1].text == one[0] + " 123" and rows[2].text.startswith("123 4")
+    assert re.sub(r"\D", "", rows[2].text[4:]) == one[0] and rows[5].text.startswith("12 3456 4") and rows[5].text.endswith(" 99")
+    assert [e.type for e in rows[3].entities] == ["card", "ssn"] and [e.type for e in rows[4].entities] == ["card", "ip"] and [e.type for e in rows[6].entities] == ["card", "card"]
+    given, family = rows[7].entities[0].surrogate.split()[1:]
+    assert rows[7].text == f"Mrs {given} {family} came. Later {given} {family} left; {family}'s hat, Dr. {given} {family}, Mrs. {family} and {given.upper()}\n{family.upper()}."
+    assert given in pii.GIVEN["latin", "f"].split() and rows[7].n_entities == 6
+    assert rows[8].text == texts[8] and rows[9].text == texts[9]
+
+
+def test_a_surrogate_name_is_no_name_of_the_corpus(spark):
+    of = lambda n: spark.range(1).selectExpr(pii.surrogate("'name'", f"'{n}'", "0", "k") + " AS s").first().s
+    other = "n|" + of("f|anna schmidt").split()[1].lower()
+    odd = pii.exceptions(spark.createDataFrame([("name", "f|anna schmidt"), ("name", other)], "t string, n string"), "k").collect()
+    assert "f|anna schmidt" in {r.n for r in odd}
+
+
 # --- 3 and 7 ------------------------------------------------------------------------------------------------------
 ALPHABET = ["a", "b", " ", "  ", "\n", "'", "'re", "1", "é", "日", "😀", "!", "tion", "the", "<|endoftext|>", "\t", "<unk>", "<s>", "▁", "..."]
 
