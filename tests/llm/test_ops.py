@@ -246,6 +246,27 @@ def test_toxicity_learns_and_deobfuscates(spark, docs, empty):
     assert toxicity.accepted(docs, none).columns == docs.columns
 
 
+def test_toxicity_decodes_spacing_edges_and_long_tokens(spark):
+    rnd = random.Random(6)
+    clean = "the cat sat on mat and a dog ran over hills while you are an owl such as birds sing softly".split()
+    bad = ["stupid", "idiot", "moron"]
+    rows, labels = [], []
+    for k in range(400):
+        words, y = [rnd.choice(clean) for _ in range(30)], int(k % 4 == 0)
+        if y:
+            words[rnd.randrange(30)] = rnd.choice(bad)
+        rows.append((k, " ".join(words)))
+        labels.append((k, y))
+    model = toxicity.fit(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    toxic = ["such a s t u p i d cat", "y o u a r e a n i d i o t", "the !diot sat", "a (|d|ot) sat", "the i d ! o t ran", "you are " + "s" * 50 + "tup" + "i" * 50 + "d", "thecatsatonthematandthedogranoverhillswhileyouareanidiotandbirdssingsoftly", "1d107", "stupid!"]
+    fine = ["such a c a t", "y o u a r e a n o w l", "the cat! sat (on) mat", "t" * 100, "thecatsatonthematandthedogranoverhillswhilebirdssingsoftlyandyouareanowl", "1999", "a b", "! ! !", "x 1 " * 5000]
+    chars = toxicity.CharModel(model["chars"], model["words"])
+    assert toxicity.segmented("astupid", chars) == ["a", "stupid"] and toxicity.segmented("youareanidiot", chars) == "you are an idiot".split()
+    got = {r.doc_id: r.score for r in toxicity.score(spark.createDataFrame(list(enumerate(toxic + fine)), "doc_id long, text string"), model).collect()}
+    wrong = [t[:80] for k, t in enumerate(toxic + fine) if (got[k] > 0.5) != (k < len(toxic))]
+    assert not wrong
+
+
 # --- 5 ------------------------------------------------------------------------------------------------------------
 @pytest.mark.parametrize("digest", [None, lambda t: (F.length(t) % 3).cast("string")])
 def test_exact_dedup_by_bytes(docs, digest):
