@@ -2,8 +2,8 @@
 
 Every arrival is reduced to (digest, stable id, content locator). A Structured Streaming query keeps, for each digest
 and without expiry, the group's stable identifier, the locator of its content and the count, in RocksDB with its
-checkpoint in the shared folder. Rows whose digest is already held (hits) are then compared byte by byte with the
-content that the locator names; should texts only share a digest, groups are formed by their whole bytes instead.
+checkpoint in the shared folder. The locator names a file only, and nothing reads by it. After the stream, rows whose
+digest is held (hits) are compared byte by byte with the text that has the stable id; should texts only share a digest, groups are formed by their whole bytes instead.
 
 Defined results: a null text counts as empty, empty texts are equal to each other, the row with the largest id stays,
 repeated (id, text) rows count as members of one group, an empty table gives an empty result, other columns are ignored
@@ -73,7 +73,7 @@ def _keyed_state(arrivals: DataFrame, path: str, files_per_batch: int) -> DataFr
 
 
 def stream_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest: Callable[[Column], Column] | None = None, files_per_batch: int = 1024) -> DataFrame:
-    """One row a document: id, keep_id, group_size, kept, text_sha256, locator of the content that stays.
+    """One row a document: id, keep_id, group_size, kept, text_sha256.
 
     digest: what keys the state; SHA-256 by default. A weaker one gives the same result, by whole bytes once texts collide.
     """
@@ -94,7 +94,7 @@ def stream_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def _unequal(seen: DataFrame, digest: Callable[[Column], Column], state: DataFrame) -> DataFrame | None:
-    """Hits whose bytes differ from the content that the state's locator names; None if there are none."""
+    """Hits whose bytes differ from the text that has the state's id; None if there are none."""
     groups = state.where("group_size > 1")
     salted = groups.select("digest", "keep_id", "group_size", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     hits = (
