@@ -54,7 +54,7 @@ def written(df: DataFrame, name: str, batch_rows: int | None = None) -> DataFram
     for k, v in held.items():
         spark.conf.set(k, v)
     try:
-        df.write.parquet(path)
+        df.write.option("compression", "zstd").parquet(path)
     finally:
         for k, v in before.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
@@ -69,6 +69,12 @@ def drop_path(spark: SparkSession, path: str) -> None:
     hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
+def drop_table(df: DataFrame) -> None:
+    """Delete the folder of a table that `written` gave."""
+    for path in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        drop_path(df.sparkSession, path)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

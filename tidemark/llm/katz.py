@@ -1,16 +1,17 @@
 """Katz backoff language-model scoring.
 
-P(w | h) is the Good-Turing discounted count where the bigram (h, w) was seen often enough, else alpha(h) P(w), with
-alpha(h) = (1 - sum of the seen P(w' | h)) / (1 - sum of their P(w')), so every distribution sums to 1 exactly; P(w) is
-the discounted unigram share, and what the discounts leave goes to unknown words, as one type. A history whose seen
-followers are all too frequent for a discount counts one occurrence more, which its other followers share. Bigrams below `cutoff`
-training occurrences back off.
-
-Documents are packed once into blocks of bounded size, in the shared folder. A block asks for its distinct n-grams,
-pre-aggregated with its training counts; the counting tables are partitioned by the n-gram's hash, and each partition
-answers every block in the order of its questions. A frequent word costs one entry a block, so no partition is hot. The
-history sums behind alpha come from the block that owns a bigram, and go through a table partitioned by the history. Last,
-each block evaluates the recursion for all its tokens. Nothing is broadcast but the discounts; all counts cover all text.
+P(w | h) is the Good-Turing discounted count where the n-gram (h, w) was seen often enough, else alpha(h) P(w | h') with
+h' the history less its first word, down to the discounted unigram share; what the unigrams' discounts leave goes to
+unknown words, as one type. alpha(h) = (1 - sum of the seen P(w' | h)) / (1 - sum of their P(w' | h')), so every
+distribution sums to 1 exactly. A history whose seen followers are all too frequent for a discount counts one occurrence
+more, which its other followers share. N-grams below `cutoff` training occurrences back off; at 1, the default, none does.
+
+Documents are packed once into blocks of bounded size, in the shared folder. A block asks for its distinct n-grams of all
+orders, pre-aggregated with its training counts; the counting tables are partitioned by the n-gram's hash, and each
+partition answers every block. Then, order by order, the block that owns an n-gram sends what it leaves over and its
+lower-order probability to the table of histories, partitioned alike, which answers with the backoff weights. Last, each
+block evaluates the recursion for all its tokens. No partition is hot, as a frequent n-gram costs one entry a block;
+nothing but the discounts goes to all tasks; all counts cover all text. Tables go once nothing reads them any more.
 
 Defined results: null and empty texts have one token, the end; without training texts every token is unknown, with
 probability 1; a null id is held out of training only if crc32 of its (null) text is, that is, it is not trained on;
@@ -23,120 +24,74 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from .common import _STEP, blocks, mix, partitions, text_buffer, words, written
+from .common import _STEP, drop_table, mix, words, written
+from .packed import ROWS, Asked, Row, Texts, batch, bucket_count, by_block, by_bucket, count_bytes, counts_of, grouped, keys_of, pack, summed
 
-#: Bytes of text in a block, and the count up to which Good-Turing discounts.
-BLOCK, DISCOUNTED = 2 << 20, 5
+#: The count up to which Good-Turing discounts; the kind of rows with backoff weights, besides that of their order.
+DISCOUNTED, WEIGHTS = 5, 100
 END, START = np.uint64(0x9D39247E33776D41), np.uint64(0x2AF7398005AAA5C7)
-#: Rows between the steps: of a block or for it; what (0 its texts, 1 and 2 counts of its uni- and bigrams, 3 alphas); the partition; data.
-ROWS = "block long, kind int, bucket int, a binary, b binary, c binary"
-NAMES = ["block", "kind", "bucket", "a", "b", "c"]
-
-
-def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=NAMES)
-
-
-def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, null, train, text) rows to blocks: a header (ids, nulls, train, offsets) and the compressed texts."""
-    number = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 32
-    for batch in batches:
-        ids, null, train = (np.array(batch.column(k).to_pylist()) for k in range(3))
-        buf, off = text_buffer(batch.column(3))
-        for i, j in blocks(off, BLOCK):
-            head = np.concatenate([ids[i:j].astype(np.int64), null[i:j].astype(np.int64), train[i:j].astype(np.int64), off[i : j + 1] - off[i]])
-            raw = np.ascontiguousarray(buf[off[i] : off[j]])
-            yield _batch([(number, 0, 0, head.tobytes(), np.int64(len(raw)).tobytes(), pa.compress(raw, "zstd", asbytes=True) if len(raw) else b"")])
-            number += 1
 
 
 class _Block:
-    """A block's tokens: per document its words, then the end."""
-
-    def __init__(self, head: bytes, size: bytes, data: bytes):
-        head = np.frombuffer(head, np.int64)
-        n = (len(head) - 1) // 4
-        self.ids, self.null, self.train, off = head[:n], head[n : 2 * n].astype(bool), head[2 * n : 3 * n].astype(bool), head[3 * n :]
-        raw = int(np.frombuffer(size, np.int64)[0])
-        buf = np.frombuffer(pa.decompress(data, raw, "zstd", asbytes=True), np.uint8) if raw else np.zeros(0, np.uint8)
-        h, o, _, _ = words(buf, off)
+    """A block's tokens, per document its words, then the end; `gram[k]` the hash of a token with k words before it."""
+
+    def __init__(self, row: Row, order: int):
+        texts = self.texts = Texts(row)
+        h, o, _, _ = words(texts.buf, texts.offsets)
         count = np.diff(o)
         self.offsets = np.concatenate([[0], np.cumsum(count + 1)])
-        self.word = np.full(self.offsets[-1], END)
-        self.doc = np.repeat(np.arange(n), count + 1)
-        last = np.zeros(len(self.word), bool)
+        word = np.full(self.offsets[-1], END)
+        self.doc = np.repeat(np.arange(len(count)), count + 1)
+        last = np.zeros(len(word), bool)
         last[self.offsets[1:] - 1] = True
-        self.word[~last] = h
-        self.history = np.empty_like(self.word)
-        self.history[1:] = self.word[:-1]
-        self.history[self.offsets[:-1]] = START
-        self.pair = mix(self.history * _STEP[0] + self.word * _STEP[1])
-
-    def asked(self, values: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Distinct values ordered by bucket and value, where each token's is, cuts by bucket, and training counts."""
-        distinct, where = np.unique(values, return_inverse=True)
-        bucket = (distinct >> np.uint64(20)) % np.uint64(buckets)
-        order = np.argsort(bucket, kind="stable")
-        place = np.empty(len(order), np.int64)
-        place[order] = np.arange(len(order))
-        where = place[where]
-        cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
-        return distinct[order], where, cuts, np.bincount(where[self.train[self.doc]], minlength=len(distinct))
-
-
-def _ask(buckets: int):
-    """Blocks to their questions: distinct uni- and bigrams with training counts; starts count as the unigram START."""
+        word[~last] = h
+        self.train = texts.flag[self.doc]
+        self.first = self.offsets[:-1]
+        self.gram = [word]
+        for _ in range(1, order):
+            self.gram.append(mix(self.history(len(self.gram)) * _STEP[0] + word * _STEP[1]))
+
+    def history(self, k: int) -> np.ndarray:
+        """The hash of the k words before each token."""
+        out = np.empty_like(self.gram[0])
+        out[1:] = self.gram[k - 1][:-1]
+        out[self.first] = START
+        return out
+
+
+def _ask(order: int, buckets: int):
+    """Blocks to their questions: the distinct n-grams of each order with training counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for number, _, _, a, b, c in zip(*(x.to_pylist() for x in batch.columns), strict=True):
-                block = _Block(a, b, c)
-                for kind, values in ((1, block.word), (2, block.pair)):
-                    distinct, _, cuts, count = block.asked(values, buckets)
-                    rows = [(number, kind, k, distinct[i:j].tobytes(), count[i:j].astype(np.uint32).tobytes(), None) for k, (i, j) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if i < j]
+        for piece in batches:
+            for row in zip(*(x.to_pylist() for x in piece.columns), strict=True):
+                block = _Block(row, order)
+                for k, gram in enumerate(block.gram, 1):
+                    asked = Asked(gram, buckets)
+                    count = np.bincount(asked.where[block.train], minlength=len(asked.keys))
+                    rows = list(asked.rows(row[0], k, lambda i, j, c=count: count_bytes(c[i:j])[0], lambda i, j, c=count: count_bytes(c[i:j])[1]))
                     if rows:
-                        yield _batch(rows)
+                        yield batch(rows)
 
     return run
 
 
-def _groups(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[list[tuple]]:
-    """Consecutive rows with the same first `width` values of (bucket, kind) or (block)."""
-    key = (lambda r: (r[2], r[1])) if width == 2 else (lambda r: r[0])
-    held: list[tuple] = []
-    for batch in batches:
-        for row in zip(*(x.to_pylist() for x in batch.columns), strict=True):
-            if held and key(row) != key(held[0]):
-                yield held
-                held = []
-            held.append(row)
-    if held:
-        yield held
-
-
 def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One partition of the counting table: to each block its counts, and which n-grams it owns; also the counts of counts (block -1)."""
-    for held in _groups(batches, 2):
-        values = np.concatenate([np.frombuffer(r[3], np.uint64) for r in held])
-        counts = np.concatenate([np.frombuffer(r[4], np.uint32) for r in held]).astype(np.int64)
-        distinct, first, where = np.unique(values, return_index=True, return_inverse=True)
-        total = np.bincount(where, counts, len(distinct)).astype(np.int64)
-        owns = np.zeros(len(values), bool)
-        owns[first] = True
+    """One bucket of the counting table: to each block its counts and which n-grams it owns; also the counts of counts (block -1)."""
+    for held in grouped(batches, 2, 1):
+        keys, total = summed(held, lambda r: counts_of(r[4], r[5])[:, None])
+        total = total[:, 0].astype(np.int64)
         seen = total[total > 0]
         of = np.bincount(np.minimum(seen, DISCOUNTED + 2), minlength=DISCOUNTED + 3)
-        rows = [(-1, held[0][1], held[0][2], np.array([*of[1 : DISCOUNTED + 2], len(seen), seen.sum()], np.int64).tobytes(), None, None)]
-        at = 0
+        yield batch([(-1, held[0][1], held[0][2], np.array([*of[1 : DISCOUNTED + 2], len(seen), seen.sum()], np.int64).tobytes(), None, None)])
+        free = np.ones(len(keys), bool)
         for number, kind, bucket, a, _, _ in held:
-            n = len(a) // 8
-            rows.append((number, kind, bucket, total[where[at : at + n]].astype(np.uint32).tobytes(), np.packbits(owns[at : at + n]).tobytes(), None))
-            at += n
-        yield _batch(rows)
+            at = np.searchsorted(keys, keys_of(a))
+            small, large = count_bytes(total[at])
+            yield batch([(number, kind, bucket, small, np.packbits(free[at]).tobytes(), large)])
+            free[at] = False
 
 
 def discounts(of: list[int], cutoff: int = 1) -> list[float]:
@@ -156,13 +111,14 @@ def discounts(of: list[int], cutoff: int = 1) -> list[float]:
 
 
 class Model:
-    """The discounts and totals: all that is broadcast."""
+    """The discounts and totals: all that goes to every task. of: for each order the counts of counts, the types and the total."""
 
-    def __init__(self, uni: list[int], bi: list[int], cutoff: int):
+    def __init__(self, of: list[list[int]], cutoff: int = 1):
+        uni = of[0]
         self.types, self.total, self.cutoff = uni[-2], uni[-1], cutoff
-        self.d1, self.d2 = np.array(discounts(uni[:-2])), np.array(discounts(bi[:-2], cutoff))
+        self.d = [np.array(discounts(n[:-2], cutoff if k else 1)) for k, n in enumerate(of)]
         n = np.array([0, *uni[: DISCOUNTED + 1]])
-        left = ((1 - self.d1[1 : DISCOUNTED + 1]) * np.arange(1, DISCOUNTED + 1) * n[1 : DISCOUNTED + 1]).sum()
+        left = ((1 - self.d[0][1 : DISCOUNTED + 1]) * np.arange(1, DISCOUNTED + 1) * n[1 : DISCOUNTED + 1]).sum()
         self.unknown = left / self.total if self.total else 1.0
         self.scale = 1.0
         if self.total and not self.unknown > 0:
@@ -170,112 +126,117 @@ class Model:
             self.scale = 1 - self.unknown
 
     def p1(self, c: np.ndarray) -> np.ndarray:
-        known = self.scale * self.d1[np.minimum(c, DISCOUNTED + 1)] * c / max(1, self.total)
+        known = self.scale * self.d[0][np.minimum(c, DISCOUNTED + 1)] * c / max(1, self.total)
         return np.where(c > 0, known, self.unknown)
 
-    def seen(self, c: np.ndarray) -> np.ndarray:
-        """Discounted bigram counts; 0 where they back off."""
-        return np.where(c >= self.cutoff, self.d2[np.minimum(c, DISCOUNTED + 1)] * c, 0.0)
-
-
-def _joined(held: list[tuple], kind: int, dtype) -> np.ndarray:
-    parts = sorted((r[2], r[3]) for r in held if r[1] == kind)
-    return np.concatenate([np.frombuffer(x, dtype) for _, x in parts]) if parts else np.zeros(0, dtype)
-
-
-def _owned(held: list[tuple], kind: int) -> np.ndarray:
-    parts = sorted((r[2], len(r[3]) // 4, r[4]) for r in held if r[1] == kind)
-    return np.concatenate([np.unpackbits(np.frombuffer(x, np.uint8), count=n).astype(bool) for _, n, x in parts])
-
-
-def _histories(model: Model, buckets: int):
-    """Blocks with their counts, to the history table: owned bigrams' sums by history, and the block's histories as questions."""
+    def seen(self, k: int, c: np.ndarray) -> np.ndarray:
+        """Discounted counts of n-grams with k words before the last; 0 where they back off."""
+        return np.where(c >= self.cutoff, self.d[k][np.minimum(c, DISCOUNTED + 1)] * c, 0.0)
+
+
+class _Known:
+    """A block with the answers that it has so far; everything by token."""
+
+    def __init__(self, held: list[Row], order: int, buckets: int, model: Model):
+        of: dict[int, list[Row]] = {}
+        for r in held:
+            of.setdefault(r[1], []).append(r)
+        self.block, self.model, self.rows, self.buckets = _Block(of[0][0], order), model, of, buckets
+        asked = [Asked(g, buckets) for g in self.block.gram]
+        self.asked, self.count = asked, []
+        for k in range(order):
+            counts = np.concatenate([counts_of(r[3], r[5]) for r in of[k + 1]])
+            self.count.append(counts[asked[k].where])
+        self.ends = int(self.count[0][-1])  # the last token is an end; as many starts
+
+    def owned(self, k: int) -> np.ndarray:
+        """One token of each n-gram with k words before its last that this block owns."""
+        bits = np.concatenate([np.unpackbits(np.frombuffer(r[4], np.uint8), count=len(r[3])) for r in self.rows[k + 1]]).astype(bool)
+        token = np.empty(len(bits), np.int64)
+        token[self.asked[k].where] = np.arange(len(self.asked[k].where))
+        return token[bits]
+
+    def of_history(self, k: int) -> np.ndarray:
+        """Training occurrences of the k words before each token: those of the n-gram that they are, as something follows it."""
+        out = np.empty(len(self.block.doc), np.int64)
+        out[1:] = self.count[k - 1][:-1]
+        out[self.block.first] = self.ends
+        return out
+
+    def probability(self, k: int) -> np.ndarray:
+        """P of each token given the k words before it, by recursion."""
+        if not k:
+            return self.model.p1(self.count[0])
+        weight, before = self.model.seen(k, self.count[k]), self.of_history(k)
+        back = np.concatenate([np.frombuffer(r[3], np.float64) for r in self.rows[WEIGHTS + k]])[Asked(self.block.history(k), self.buckets).where]
+        n = before + (back < 0)
+        alpha = np.where(before > 0, np.where(back < 0, -back, back) / np.maximum(n, 1), 1.0)
+        return np.where(weight > 0, weight / np.maximum(n, 1), alpha * self.probability(k - 1))
+
+
+def _leftovers(k: int, order: int, model: Model, buckets: int):
+    """Blocks with their answers, to the table of histories of k words: what owned n-grams leave over, and their lower-order probabilities."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for held in _groups(batches, 1):
-            text = next(r for r in held if r[1] == 0)
-            block = _Block(*text[3:])
-            _, where, _, _ = block.asked(block.word, buckets)
-            c1 = _joined(held, 1, np.uint32).astype(np.int64)
-            _, pair_at, _, _ = block.asked(block.pair, buckets)
-            c2, owns = _joined(held, 2, np.uint32).astype(np.int64), _owned(held, 2)
-            token = np.full(len(c2), -1, np.int64)
-            token[pair_at] = np.arange(len(pair_at))
-            weight = model.seen(c2)
-            own = np.flatnonzero(owns & (weight > 0))
-            at = token[own]
-            history, hw, _, _ = block.asked(block.history, buckets)
-            mass = np.bincount(hw[at], weight[own], len(history))
-            lower = np.bincount(hw[at], model.p1(c1[where[at]]), len(history))
-            bucket = (history >> np.uint64(20)) % np.uint64(buckets)
-            cuts = np.searchsorted(bucket, np.arange(buckets + 1))
-            train = np.bincount(hw[block.train[block.doc]], minlength=len(history))
-            data = np.column_stack([mass, lower, train]).astype(np.float64)
-            rows = [(text[0], 3, k, history[i:j].tobytes(), data[i:j].tobytes(), None) for k, (i, j) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if i < j]
-            if rows:
-                yield _batch(rows)
+        for held in grouped(batches, 0):
+            known = _Known(held, order, buckets, model)
+            own = known.owned(k)
+            c = known.count[k][own]
+            own, c = own[c > 0], c[c > 0]
+            weight = model.seen(k, c)
+            asked = Asked(known.block.history(k), buckets)
+            at = asked.where[own]
+            left = np.bincount(at, c - weight, len(asked.keys))
+            lower = np.bincount(at[weight > 0], known.probability(k - 1)[own[weight > 0]], len(asked.keys))
+            yield batch(list(asked.rows(held[0][0], WEIGHTS + k, lambda i, j: np.concatenate([left[i:j], lower[i:j]]).tobytes())))
 
     return run
 
 
-def _alphas(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One partition of the history table: to each block, its histories' counts and backoff weights."""
-    for held in _groups(batches, 2):
-        values = np.concatenate([np.frombuffer(r[3], np.uint64) for r in held])
-        data = np.concatenate([np.frombuffer(r[4], np.float64).reshape(-1, 3) for r in held])
-        distinct, where = np.unique(values, return_inverse=True)
-        mass, lower, count = (np.bincount(where, data[:, k], len(distinct)) for k in range(3))
+def _weights(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One bucket of the table of histories: to each block its histories' alpha times their count; negative where nothing is left over."""
+    for held in grouped(batches, 2, 1):
+        keys, sums = summed(held, lambda r: np.frombuffer(r[4], np.float64).reshape(2, -1).T)
         # a history whose frequent followers leave nothing gets one occurrence more, for all others
-        count += (count > 0) & (mass >= count * (1 - 1e-9))
-        alpha = np.where(count > 0, (1 - mass / np.maximum(count, 1)) / np.maximum(1 - lower, 1e-300), 1.0)
-        out = np.column_stack([count, alpha])
-        at = 0
-        rows = []
+        back = np.where(sums[:, 0] > 0, sums[:, 0], -1) / np.maximum(1 - sums[:, 1], 1e-300)
         for number, kind, bucket, a, _, _ in held:
-            n = len(a) // 8
-            rows.append((number, kind, bucket, out[where[at : at + n]].tobytes(), None, None))
-            at += n
-        yield _batch(rows)
+            yield batch([(number, kind, bucket, back[np.searchsorted(keys, keys_of(a))].tobytes(), None, None)])
 
 
-def _scores(model: Model, buckets: int):
+def _scores(order: int, model: Model, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for held in _groups(batches, 1):
-            text = next(r for r in held if r[1] == 0)
-            block = _Block(*text[3:])
-            n = len(block.ids)
-            c1 = _joined(held, 1, np.uint32).astype(np.int64)[block.asked(block.word, buckets)[1]]
-            c2 = _joined(held, 2, np.uint32).astype(np.int64)[block.asked(block.pair, buckets)[1]]
-            back = _joined(held, 3, np.float64).reshape(-1, 2)[block.asked(block.history, buckets)[1]]
-            weight = model.seen(c2)
-            p = np.where(weight > 0, weight / np.maximum(back[:, 0], 1), back[:, 1] * model.p1(c1))
-            total = lambda x: np.bincount(block.doc, x, n)
+        for held in grouped(batches, 0):
+            known = _Known(held, order, buckets, model)
+            texts, n = known.block.texts, len(known.block.texts.ids)
+            total = lambda x: np.bincount(known.block.doc, x, n)
+            c1 = known.count[0]
             base = np.log10((c1 + 1) / (model.total + model.types + 1))
-            columns = [pa.array(block.ids, mask=block.null), pa.array(~block.train & ~block.null), pa.array(np.diff(block.offsets)), pa.array(total(c1 > 0).astype(np.int64)), pa.array(np.full(n, model.total, np.int64)), pa.array(total(base)), pa.array(total(np.log10(p)))]
+            score = np.log10(known.probability(order - 1))
+            columns = [pa.array(texts.ids, mask=texts.null), pa.array(~texts.flag & ~texts.null), pa.array(np.diff(known.block.offsets)), pa.array(total(c1 > 0).astype(np.int64)), pa.array(np.full(n, model.total, np.int64)), pa.array(total(base)), pa.array(total(score))]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     return run
 
 
-def score_texts(docs: DataFrame, train: str = "pmod(crc32(cast(doc_id as string)), 7) <> 2", cutoff: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score; train: SQL over doc_id that tells training rows."""
-    spark = docs.sparkSession
-    buckets = partitions(spark)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    rows = rows.select(F.coalesce("doc_id", F.lit(0)).alias("id"), F.col("doc_id").isNull().alias("null"), F.coalesce(F.expr(train), F.lit(False)).alias("train"), "text")
-    packed = written(rows.mapInArrow(_pack, ROWS), "katz-blocks")
-    asked = packed.mapInArrow(_ask(buckets), ROWS)
-    counted = written(asked.repartition(buckets, "bucket").sortWithinPartitions("bucket", "kind").mapInArrow(_answer, ROWS), "katz-counts", 128)
-    # one row of nine numbers a partition and order
-    totals = {1: np.zeros(DISCOUNTED + 3, np.int64), 2: np.zeros(DISCOUNTED + 3, np.int64)}
-    for row in counted.where("block = -1").select("kind", "a").toLocalIterator():
-        totals[row.kind] += np.frombuffer(row.a, np.int64)
-    model = Model(totals[1].tolist(), totals[2].tolist(), cutoff)
-    answers = counted.where("block >= 0")
-    sums = packed.union(answers).repartition("block").sortWithinPartitions("block", "kind").mapInArrow(_histories(model, buckets), ROWS)
-    alphas = written(sums.repartition(buckets, "bucket").sortWithinPartitions("bucket", "kind").mapInArrow(_alphas, ROWS), "katz-alphas", 128)
-    full = packed.union(answers).union(alphas).repartition("block").sortWithinPartitions("block", "kind")
-    return full.mapInArrow(_scores(model, buckets), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+def score_texts(docs: DataFrame, train: str = "pmod(crc32(cast(doc_id as string)), 7) <> 2", cutoff: int = 1, order: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score; train: SQL over doc_id that tells training rows; order: words of the longest n-grams."""
+    packed = pack(docs, "katz-blocks", train, id_col, text_col)
+    buckets = bucket_count(packed)
+    asked = by_bucket(packed.mapInArrow(_ask(order, buckets), ROWS), buckets)
+    counted = written(asked.mapInArrow(_answer, ROWS), "katz-counts", 128)
+    totals = np.zeros((order, DISCOUNTED + 3), np.int64)
+    for row in counted.where("block = -1").select("kind", "a").toLocalIterator():  # eight numbers a bucket and order
+        totals[row.kind - 1] += np.frombuffer(row.a, np.int64)
+    model = Model(totals.tolist(), cutoff)
+    known = [packed, counted.where("block >= 0")]
+    for k in range(1, order):
+        left = by_block(*known).mapInArrow(_leftovers(k, order, model, buckets), ROWS)
+        known.append(written(by_bucket(left, buckets).mapInArrow(_weights, ROWS), "katz-weights", 128))
+    schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    scored = written(by_block(*known).mapInArrow(_scores(order, model, buckets), schema), "katz-scores")
+    for table in (packed, counted, *known[2:]):
+        drop_table(table)
+    return scored
 
 
 def op1_katz_scoring(spark, sf_dir: str) -> DataFrame:

@@ -1,15 +1,17 @@
 """Removal of byte strings that repeat across documents, by interval expansion on a Burrows-Wheeler transform.
 
 A byte goes if a string of `least` bytes that covers it also starts in a document with a smaller id. Every such string
-holds an anchor, the least of its 24-byte hashes, and equal strings hold equal anchors. Anchors that occur in one
-document only are dropped; around the others the bytes of all strings that hold them are the contexts. Contexts meet by
-anchor, equal ones once with the documents that have them, and in blocks of bounded size their suffixes are sorted and
-transformed. From the empty string on, breadth-first backward extension gives the intervals of all strings of length 1,
-2, ... as images under the last-to-first mapping, and so the common prefixes by increasing value; it stops at `least`.
-The suffixes of one interval then start with one string of that length.
-
-Equal texts are one from the start: all but the smallest id's are covered whole. A frequent anchor is dealt to several
-blocks, whose strings are then matched by hash, pre-aggregated to the smallest id. No step holds more than a block.
+has an anchor, the least of its 24-byte hashes, and equal strings have equal anchors, so strings meet by anchor. Strings
+that follow each other with one anchor are its context there. Of the anchors that two documents have, the contexts' bytes
+meet, equal ones once a block with the smallest id; their suffixes are sorted and transformed. From the empty string on,
+breadth-first backward extension gives the intervals of all strings of length 1, 2, ... as images under the last-to-first
+mapping, and so the common prefixes by increasing value; it stops at `least`. The suffixes of one interval then start with
+one string of that length, whose smallest document goes back to all who asked.
+
+Documents are packed once into blocks; a block asks which of its anchors are shared, then what the strings behind these
+are. A text that a third of the rows have costs a block no more than once. An anchor with more than `hot_at` different
+contexts (counted with those of other blocks) would meet in one bucket with them all: its strings are dealt one by one, by
+their own hash, and pass through the same expansion. Hashes only deal out; bytes decide.
 
 Defined results: null and empty texts have no bytes and lose none; a null id counts as the largest; rows of one id don't
 match each other; repeated rows each get a row; an empty table gives an empty result; other columns are ignored.
@@ -23,24 +25,34 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from .common import _BASE, _BASE_INV, _BYTE, _power, blocks, mix, partitions, text_buffer, written
+from .common import _BASE, _BASE_INV, _BYTE, _power, blocks, drop_table, mix, written
+from .packed import ROWS, Asked, Row, Texts, batch, bucket_count, by_block, by_bucket, grouped, key_bytes, keys_of, pack, summed
 
-#: Bytes of an anchor, bytes of contexts in a block, occurrences above which an anchor is dealt to blocks of so many.
-ANCHOR, BLOCK, HOT = 24, 1 << 17, 8192
+#: Bytes of an anchor, of contexts that are transformed at once, and of contexts that a block sends at once; contexts above which an anchor's strings are dealt one by one.
+ANCHOR, PIECE, SENT, HOT = 24, 1 << 17, 4 << 20, 8192
+#: Kinds of rows besides a block's texts: shared anchors, contexts (and above, one for each part that a block sends).
+SHARED, CONTEXTS = 1, 2
 _LOW = np.uint64(63)
 
 
-def anchors(buf: np.ndarray, offsets: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """Positions and 58-bit hashes (six low bits zero) of the anchors of all strings of `least` bytes within a row."""
+def _ranges(begin: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """begin, begin + 1, ... for each range, one behind the other."""
+    return np.arange(int(count.sum())) + np.repeat(begin - (np.cumsum(count) - count), count)
+
+
+def anchors(buf: np.ndarray, offsets: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of starts of `least`-byte strings (within a row) with one anchor: first start, starts, the anchor's hash, and the context's."""
     n, width = len(buf), least - ANCHOR + 1
+    none = np.zeros(0, np.int64)
     if n < least:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        return none, none, np.zeros(0, np.uint64), np.zeros(0, np.uint64)
     total = np.zeros(n + 1, np.uint64)
     np.cumsum(_BYTE[buf] * _power(_BASE, n), dtype=np.uint64, out=total[1:])
     m = n - ANCHOR + 1
-    value = mix((total[ANCHOR:] - total[:m]) * _power(_BASE_INV, n)[:m])
+    inverse = _power(_BASE_INV, n)
+    value = mix((total[ANCHOR:] - total[:m]) * inverse[:m])
+    # of equal ones the place decides, so that a run has one anchor
     value &= ~_LOW
     value |= np.arange(m, dtype=np.uint64) & _LOW
     low, span = value, 1
@@ -50,153 +62,161 @@ def anchors(buf: np.ndarray, offsets: np.ndarray, least: int) -> tuple[np.ndarra
     if span < width:
         low = np.minimum(low[: len(low) - (width - span)], low[width - span :])
     # strings that cross a row's end don't count
-    start = np.arange(len(low))
-    if len(offsets) > 2:
-        inside = np.zeros(len(low) + 1, np.int8)
-        rows = np.flatnonzero(np.diff(offsets) >= least)
-        inside[offsets[rows]] += 1
-        inside[offsets[rows + 1] - least + 1] -= 1
-        start = np.flatnonzero(np.cumsum(inside[:-1], dtype=np.int8))
-        low = low[start]
-    # a string's anchor is mostly its predecessor's
-    new = np.ones(len(low), bool)
-    new[1:] = (low[1:] != low[:-1]) | (start[1:] - start[:-1] > width)
-    low, start = low[new], start[new]
-    at = start + ((low - start.astype(np.uint64)) & _LOW).astype(np.int64)
-    if len(at) > 1 and (at[1:] <= at[:-1]).any():
-        at = np.unique(at)
-    return at, value[at] & ~_LOW
-
-
-def batch_anchors(buf: np.ndarray, offsets: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Row, position and hash of the anchors of many rows, in pieces that stay in the cache."""
-    parts = []
-    for i, j in blocks(offsets, 1 << 16):
-        at, h = anchors(buf[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], least)
-        parts.append((np.searchsorted(offsets[i : j + 1], at + offsets[i], "right") - 1 + i, at + offsets[i], h))
-    return tuple(np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64))
-
-
-def _anchor_rows(least: int, buckets: int):
+    inside = np.zeros(len(low) + 1, np.int8)
+    rows = np.flatnonzero(np.diff(offsets) >= least)
+    inside[offsets[rows]] += 1
+    inside[offsets[rows + 1] - least + 1] -= 1
+    start = np.flatnonzero(np.cumsum(inside[:-1], dtype=np.int8))
+    if not len(start):
+        return none, none, np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+    low = low[start]
+    new = np.ones(len(low) + 1, bool)
+    new[1:-1] = (low[1:] != low[:-1]) | (start[1:] != start[:-1] + 1)
+    edge = np.flatnonzero(new)
+    first, count = start[edge[:-1]], np.diff(edge)
+    return first, count, low[edge[:-1]] & ~_LOW, mix((total[first + count - 1 + least] - total[first]) * inverse[first] + count.astype(np.uint64))
+
+
+class _Block:
+    """A block's contexts: row, first byte, strings, anchor's hash, hash of its own, and the document's id (null: the largest)."""
+
+    def __init__(self, row: Row, least: int, buckets: int):
+        texts = self.texts = Texts(row)
+        self.least, self.buckets = least, buckets
+        parts = []
+        for i, j in blocks(texts.offsets, 1 << 16):  # pieces that stay in the cache
+            at = texts.offsets[i]
+            first, *rest = anchors(texts.buf[at : texts.offsets[j]], texts.offsets[i : j + 1] - at, least)
+            parts.append((first + at, *rest))
+        self.start, self.count, self.anchor, self.own = (np.concatenate(x) for x in zip(*parts, strict=True))
+        self.row = np.searchsorted(texts.offsets, self.start, "right") - 1
+        self.ids = np.where(texts.null, np.iinfo(np.int64).max, texts.ids)
+        self.doc = self.ids[self.row]
+        self.asked = Asked(self.anchor, buckets)
+
+    def question(self) -> list[Row]:
+        """The anchors; of each, whether two documents here have it, and how many contexts it has (127 for all more)."""
+        order = np.argsort(self.asked.where, kind="stable")
+        where, doc, own = self.asked.where[order], self.doc[order], self.own[order]
+        first = np.flatnonzero(np.concatenate([[True], where[1:] != where[:-1]])) if len(where) else np.zeros(0, int)
+        two = np.minimum.reduceat(doc, first) != np.maximum.reduceat(doc, first) if len(where) else np.zeros(0, bool)
+        change = np.ones(len(own), np.int64)
+        change[1:] = own[1:] != own[:-1]
+        change[first] = 1
+        several = np.minimum(np.add.reduceat(change, first), 127) if len(where) else np.zeros(0, np.int64)
+        data = (two + 2 * several).astype(np.uint8)
+        return list(self.asked.rows(self.texts.number, SHARED, lambda i, j: data[i:j].tobytes()))
+
+    def parts(self, answers: list[Row]) -> Iterator[_Part]:
+        """What to ask of the shared anchors, and what is asked, in parts of bounded size."""
+        bits = [[np.unpackbits(np.frombuffer(r[k], np.uint8), count=int.from_bytes(r[5], "little")) for r in answers] for k in (3, 4)]
+        shared, hot = (np.concatenate(b).astype(bool)[self.asked.where] if b else np.zeros(len(self.asked.where), bool) for b in bits)
+        own = np.flatnonzero(shared)
+        begin = 0
+        size = np.cumsum(np.where(hot[own], self.count[own] * self.least, self.count[own] + self.least - 1))
+        while begin < len(own):
+            end = max(begin + 1, int(np.searchsorted(size, (size[begin - 1] if begin else 0) + SENT, "right")))
+            part = own[begin:end]
+            begin = end
+            whole, single = part[~hot[part]], part[hot[part]]
+            of = np.repeat(single, self.count[single])
+            start = np.concatenate([self.start[whole], _ranges(self.start[single], self.count[single])])
+            count = np.concatenate([self.count[whole], np.ones(len(of), np.int64)])
+            key = np.concatenate([self.anchor[whole], self._hashes(start[len(whole) :])])
+            yield _Part(self, np.concatenate([whole, of]), start, count, key)
+
+    def _hashes(self, start: np.ndarray) -> np.ndarray:
+        out = np.empty(len(start), np.uint64)
+        for i in range(0, len(start), 4096):
+            out[i : i + 4096] = mix((_BYTE[self.texts.buf[start[i : i + 4096, None] + np.arange(self.least)]] * _power(_BASE, self.least)).sum(axis=1, dtype=np.uint64))
+        return out
+
+
+class _Part:
+    """Places of contexts in a block, and the different contexts that they are, in the order in which these are asked."""
+
+    def __init__(self, block: _Block, of: np.ndarray, start: np.ndarray, count: np.ndarray, key: np.ndarray):
+        size = count + block.least - 1
+        data = block.texts.buf[_ranges(start, size)]
+        coded = pa.Array.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(np.concatenate([[0], np.cumsum(size)])), pa.py_buffer(data)]).dictionary_encode()
+        code, distinct = coded.indices.to_numpy(), coded.dictionary
+        at = np.empty(len(distinct), np.int64)  # a place of each
+        at[code[::-1]] = np.arange(len(code))[::-1]
+        key = key[at]
+        bucket = (mix(key) >> np.uint64(20)) % np.uint64(block.buckets)
+        order = np.lexsort((key, bucket))
+        self.place = np.empty(len(order), np.int64)
+        self.place[order] = np.arange(len(order))
+        self.code, self.start, self.doc, self.row = self.place[code], start, block.doc[of], block.row[of]
+        self.count, self.key, self.bucket = count[at][order], key[order], bucket[order].astype(np.int64)
+        self.low = np.full(len(order), np.iinfo(np.int64).max)
+        np.minimum.at(self.low, self.code, self.doc)
+        self.distinct, self.order = distinct, order
+
+    def question(self, number: int, kind: int) -> list[Row]:
+        data = self.distinct.take(pa.array(self.order))
+        offsets = np.frombuffer(data.buffers()[1], np.int64)[: len(data) + 1]
+        raw = memoryview(data.buffers()[2]) if len(data) else b""
+        cuts = np.flatnonzero(np.concatenate([[True], self.bucket[1:] != self.bucket[:-1], [True]])).tolist()
+        return [(number, kind, int(self.bucket[i]), key_bytes(self.key[i:j]) + self.count[i:j].astype(np.uint8).tobytes(), self.low[i:j].tobytes(), bytes(raw[offsets[i] : offsets[j]])) for i, j in zip(cuts[:-1], cuts[1:], strict=True)]
+
+    def covered(self, answers: list[Row], least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Row, first and last byte (and one) of what goes; answers: runs of strings with one smallest document, where there is a smaller one."""
+        runs = np.concatenate([np.frombuffer(r[3], np.uint8) for r in answers]).astype(np.int64)
+        end = np.concatenate([np.frombuffer(r[4], np.uint8) for r in answers]).astype(np.int64)
+        low = np.concatenate([np.frombuffer(r[5], np.int64) for r in answers])
+        # no run: the block's own smallest document is it
+        none = runs == 0
+        at = np.cumsum(np.maximum(runs, 1)) - np.maximum(runs, 1)
+        all_end, all_low = (np.empty(int(np.maximum(runs, 1).sum()), np.int64) for _ in range(2))
+        told = np.ones(len(all_end), bool)
+        told[at[none]] = False
+        all_end[told], all_low[told] = end, low
+        all_end[~told], all_low[~told] = self.count[none], self.low[none]
+        runs = np.maximum(runs, 1)
+        begin = np.zeros(len(all_end), np.int64)
+        begin[1:] = all_end[:-1]
+        begin[at] = 0
+        times = runs[self.code]
+        place, run = np.repeat(np.arange(len(self.code)), times), _ranges(at[self.code], times)
+        gone = all_low[run] < self.doc[place]
+        place, run = place[gone], run[gone]
+        return self.row[place], self.start[place] + begin[run], self.start[place] + all_end[run] - 1 + least
+
+
+def _ask(least: int, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys = np.array(batch.column(0).to_pylist(), np.int64)
-            buf, off = text_buffer(batch.column(1))
-            for i, j in blocks(off, 8 << 20):
-                doc, _, h = batch_anchors(buf[off[i] : off[j]], off[i : j + 1] - off[i], least)
-                order = np.lexsort((doc, h))
-                h, doc = h[order], doc[order]
-                same = np.zeros(len(h), bool)
-                same[1:] = (h[1:] == h[:-1]) & (doc[1:] == doc[:-1])
-                h, doc = h[~same], doc[~same]
-                bucket = (h >> np.uint64(40)) % np.uint64(buckets)
-                by = np.argsort(bucket, kind="stable")
-                cuts = np.searchsorted(bucket[by], np.arange(buckets + 1))
-                rows: list[list] = [[], [], [], []]
-                for b in range(buckets):
-                    own = by[cuts[b] : cuts[b + 1]]
-                    if len(own):
-                        docs, ref = np.unique(doc[own], return_inverse=True)
-                        for column, x in zip(rows, (b, h[own].tobytes(), ref.astype(np.uint16 if len(docs) <= 1 << 16 else np.uint32).tobytes(), keys[i + docs].tobytes()), strict=True):
-                            column.append(x)
-                if rows[0]:
-                    yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int32()), *(pa.array(c, pa.binary()) for c in rows[1:])], names=["bucket", "h", "ref", "keys"])
+        for piece in batches:
+            for row in zip(*(x.to_pylist() for x in piece.columns), strict=True):
+                if rows := _Block(row, least, buckets).question():
+                    yield batch(rows)
 
     return run
 
 
-def _by_key(batches: Iterator[pa.RecordBatch], key: int = 0) -> Iterator[tuple[object, list[pa.RecordBatch]]]:
-    """Consecutive rows with one key, as slices."""
-    last, held = None, []
-    for batch in batches:
-        values = batch.column(key).to_pylist()
-        start = 0
-        for r in range(1, len(values) + 1):
-            if r == len(values) or values[r] != values[start]:
-                if held and values[start] != last:
-                    yield last, held
-                    held = []
-                last = values[start]
-                held.append(batch.slice(start, r - start))
-                start = r
-    if held:
-        yield last, held
-
-
-def _shared(batches: Iterator[pa.RecordBatch], hot_at: int) -> Iterator[pa.RecordBatch]:
-    """Of one bucket's anchors those in two texts or more, by text; the lowest bit marks frequent ones."""
-    for _, held in _by_key(batches):
-        h, keys = [], []
-        for piece in held:
-            for r in range(piece.num_rows):
-                hs, key = (np.frombuffer(piece.column(k)[r].as_buffer(), t) for k, t in ((1, np.uint64), (3, np.int64)))
-                raw = piece.column(2)[r].as_py()
-                h.append(hs)
-                keys.append(key[np.frombuffer(raw, np.uint16 if len(raw) == 2 * len(hs) else np.uint32)])
-        h, keys = (np.concatenate(x) for x in (h, keys))
-        order = np.argsort(h, kind="stable")
-        h, keys = h[order], keys[order]
-        first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-        size = np.diff(np.concatenate([first, [len(h)]]))
-        differ = np.minimum.reduceat(keys, first) != np.maximum.reduceat(keys, first)
-        keep = np.repeat(differ, size)
-        h = (h | np.repeat((size > hot_at).astype(np.uint64), size))[keep]
-        keys = keys[keep]
-        order = np.argsort(keys, kind="stable")
-        h, keys = h[order], keys[order]
-        cut = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, int)
-        for lo in range(0, len(cut), 4096):
-            part = cut[lo : lo + 4096]
-            stop = cut[lo + 4096] if lo + 4096 < len(cut) else len(keys)
-            ends = np.concatenate([part[1:], [stop]])
-            yield pa.RecordBatch.from_arrays([pa.array(keys[part]), pa.array([h[a:b].tobytes() for a, b in zip(part, ends, strict=True)], pa.binary())], names=["key", "data"])
-
-
-def _context_rows(least: int):
-    """Texts behind their shared anchors, sorted by key: the contexts."""
+def _shared(hot_at: int):
+    """One bucket's anchors: to each block which of its own two documents have, and which have many contexts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        waiting: list[tuple[int, int, bytes, np.ndarray]] = []
-        size = 0
-        for _, held in _by_key(batches):
-            found, text, doc = [], None, None
-            for piece in held:
-                for r in range(piece.num_rows):
-                    if piece.column(1)[r].as_py() == 0:
-                        found.append(np.frombuffer(piece.column(2)[r].as_py(), np.uint64))
-                    elif found and text is None:  # a repeated row has the same text
-                        doc, text = piece.column(3)[r].as_py(), piece.column(2)[r].as_py()
-            if text is not None:
-                waiting.append((doc, held[0].column(0)[0].as_py(), text, np.concatenate(found)))
-                size += len(text)
-                if size >= 1 << 20:
-                    yield from contexts(waiting)
-                    waiting, size = [], 0
-        yield from contexts(waiting)
-
-    def contexts(texts: list[tuple[int, int, bytes, np.ndarray]]) -> Iterator[pa.RecordBatch]:
-        if not texts:
-            return
-        offsets = np.concatenate([[0], np.cumsum([len(t) for _, _, t, _ in texts])])
-        row, at, h = batch_anchors(np.frombuffer(b"".join(t for _, _, t, _ in texts), np.uint8), offsets, least)
-        at -= offsets[row]
-        cut = np.searchsorted(row, np.arange(len(texts) + 1))
-        out: list[list] = [[] for _ in range(6)]
-        for k, (doc, key, text, found) in enumerate(texts):
-            own, places = h[cut[k] : cut[k + 1]], at[cut[k] : cut[k + 1]]
-            found = np.sort(found)
-            where = np.minimum(np.searchsorted(found, own), len(found) - 1)
-            hit = (found[where] & ~np.uint64(1)) == own
-            last = len(text) - least
-            groups: dict[tuple[int, bytes], list[int]] = {}
-            for p, x in zip(places[hit].tolist(), found[where[hit]].view(np.int64).tolist(), strict=True):
-                lo = max(0, p + ANCHOR - least)
-                groups.setdefault((x, text[lo : min(p, last) + least]), []).append(lo)
-            for (x, context), starts in groups.items():
-                for column, v in zip(out, (x, (key & 0xFFFF) if x & 1 else 0, doc, key, np.array(starts, np.int32).tobytes(), context), strict=True):
-                    column.append(v)
-        kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=["anchor", "salt", "doc", "key", "starts", "context"])
+        def values(row: Row) -> np.ndarray:
+            data = np.frombuffer(row[4], np.uint8).astype(np.int64)
+            return np.column_stack([np.ones(len(data), np.int64), data & 1, data >> 1])
+
+        for held in grouped(batches, 2):
+            keys, sums = summed(held, values)
+            shared, hot = (sums[:, 0] > 1) | (sums[:, 1] > 0), sums[:, 2] > hot_at
+            for number, kind, bucket, a, _, _ in held:
+                at = np.searchsorted(keys, keys_of(a))
+                yield batch([(number, kind, bucket, np.packbits(shared[at]).tobytes(), np.packbits(hot[at]).tobytes(), len(at).to_bytes(8, "little"))])
+
+    return run
+
+
+def _contexts(least: int, buckets: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for held in grouped(batches, 0):
+            for k, part in enumerate(_Block(held[0], least, buckets).parts(held[1:])):
+                yield batch(part.question(held[0][0], CONTEXTS + k))
 
     return run
 
@@ -253,150 +273,126 @@ def expand(text: np.ndarray, least: int) -> np.ndarray:
     return number
 
 
-def _spans(least: int, hot_at: int):
-    """Contexts sorted by anchor and salt, to covered spans (key, start, stop) and, for frequent anchors, strings (hash, doc)."""
+def smallest(contexts: list[bytes], low: np.ndarray, least: int) -> np.ndarray:
+    """For every string of every context (in order) the smallest of the documents that have it; low: those of the contexts."""
+    length = np.array([len(c) for c in contexts])
+    begin = np.concatenate([[0], np.cumsum(length + 1)])[:-1]
+    text = np.empty(int((length + 1).sum()), np.int64)
+    text[begin + length] = -1 - np.arange(len(contexts))
+    where = np.ones(len(text), bool)
+    where[begin + length] = False
+    text[where] = np.frombuffer(b"".join(contexts), np.uint8)
+    many = length - least + 1
+    string = expand(text, least)[_ranges(begin, many)]
+    of = np.full(int(string.max()) + 1, np.iinfo(np.int64).max)
+    np.minimum.at(of, string, np.repeat(low, many))
+    return of[string]
+
+
+def _answers(least: int):
+    """One bucket's contexts, to each block the smallest documents of the strings in its own."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size, hot, last = [], 0, False, None
-        for batch in batches:
-            keys = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
-            cut = [0, *(r for r in range(1, len(keys)) if keys[r] != keys[r - 1]), len(keys)]
-            for a, b in zip(cut[:-1], cut[1:], strict=True):
-                if a == b:
-                    continue
-                is_hot = bool(keys[a][0] & 1)
-                piece = batch.slice(a, b - a)
-                if held and keys[a] != last and (size >= BLOCK or is_hot != hot):
-                    yield from block(held, hot)
-                    held, size = [], 0
-                # a frequent anchor's strings are matched across blocks, so it may be cut anywhere
-                while is_hot and piece.num_rows > hot_at:
-                    if held:
-                        yield from block(held, hot)
-                        held, size = [], 0
-                    yield from block([piece.slice(0, hot_at)], True)
-                    piece = piece.slice(hot_at)
-                held.append(piece)
-                size += piece.column(5).nbytes
-                hot, last = is_hot, keys[a]
-                if is_hot and size >= BLOCK:
-                    yield from block(held, hot)
-                    held, size = [], 0
-        if held:
-            yield from block(held, hot)
-
-    def block(held: list[pa.RecordBatch], hot: bool) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(held).combine_chunks()
-        coded = table.column("context").chunk(0).dictionary_encode()
-        code, distinct = coded.indices.to_numpy(), coded.dictionary.to_pylist()
-        length = np.array([len(c) for c in distinct])
-        begin = np.concatenate([[0], np.cumsum(length + 1)])[:-1]
-        text = np.empty(int((length + 1).sum()), np.int64)
-        text[begin + length] = -1 - np.arange(len(distinct))
-        where = np.ones(len(text), bool)
-        where[begin + length] = False
-        text[where] = np.frombuffer(b"".join(distinct), np.uint8)
-        number = expand(text, least)
-        doc, key = table.column("doc").to_numpy(), table.column("key").to_numpy()
-        # strings of a context, and the smallest document of each interval
-        many = length - least + 1
-        string_context = np.repeat(np.arange(len(distinct)), many)
-        offset = np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many)
-        string = number[begin[string_context] + offset]
-        low = np.full(len(distinct), np.iinfo(np.int64).max)
-        np.minimum.at(low, code, doc)
-        least_doc = np.full(int(number.max()) + 1, np.iinfo(np.int64).max)
-        np.minimum.at(least_doc, string, low[string_context])
-        first = np.cumsum(many) - many
-        starts = [np.frombuffer(x.as_buffer(), np.int32) for x in table.column("starts").chunk(0)]
-        times = np.array([len(x) for x in starts])
-        lows = np.concatenate(starts).astype(np.int64)
-        row = np.repeat(np.arange(len(code)), times)
-        # every string of every occurrence
-        per = many[code[row]]
-        occurrence = np.repeat(np.arange(len(row)), per)
-        at = np.arange(int(per.sum())) - np.repeat(np.cumsum(per) - per, per)
-        which = string[first[code[row[occurrence]]] + at]
-        begins, owner = lows[occurrence] + at, row[occurrence]
-        if hot:
-            raw = text[(begin[string_context] + offset)[:, None] + np.arange(least)].astype(np.uint8)
-            a, b = ((_BYTE[raw] * _power(_BASE, least + s)[s:]).sum(axis=1, dtype=np.uint64) for s in (0, 1))
-            a, b = mix(a), mix(b ^ np.uint64(0x5851F42D4C957F2D) + (raw.astype(np.uint64) ** np.uint64(3)).sum(axis=1, dtype=np.uint64))
-            of = np.zeros((len(least_doc), 2), np.uint64)
-            of[string, 0], of[string, 1] = a, b
-            h = of[which].view(np.int64)
-            yield rows(key[owner], begins, begins + least, h[:, 0], h[:, 1], doc[owner])
-            return
-        covered = doc[owner] > least_doc[which]
-        own, begins, occurrence = owner[covered], begins[covered], occurrence[covered]
-        if not len(own):
-            return
-        # neighbouring strings of one occurrence are one span
-        new = np.concatenate([[True], (occurrence[1:] != occurrence[:-1]) | (begins[1:] != begins[:-1] + 1)])
-        stop = np.concatenate([np.flatnonzero(new)[1:] - 1, [len(new) - 1]])
-        yield rows(key[own[new]], begins[new], begins[stop] + least)
-
-    def rows(key, start, stop, a=None, b=None, doc=None) -> pa.RecordBatch:
-        none = lambda x: pa.nulls(len(key), pa.int64()) if x is None else pa.array(x)
-        return pa.RecordBatch.from_arrays([pa.array(key), pa.array(start), pa.array(stop), none(a), none(b), none(doc)], names=["key", "start", "stop", "a", "b", "doc"])
+        for held in grouped(batches, 2):
+            size = [len(r[3]) // 7 for r in held]
+            key = np.concatenate([keys_of(r[3][: 6 * n]) for r, n in zip(held, size, strict=True)])
+            count = np.concatenate([np.frombuffer(r[3], np.uint8, n, 6 * n) for r, n in zip(held, size, strict=True)]).astype(np.int64)
+            lows = [np.frombuffer(r[4], np.int64) for r in held]
+            offsets = np.concatenate([[0], np.cumsum(count + least - 1)])
+            coded = pa.Array.from_buffers(pa.large_binary(), len(key), [None, pa.py_buffer(offsets), pa.py_buffer(b"".join(r[5] for r in held))]).dictionary_encode()
+            code, distinct = np.split(coded.indices.to_numpy(), np.cumsum(size)[:-1]), coded.dictionary
+            low, key_of = np.full(len(distinct), np.iinfo(np.int64).max), np.empty(len(distinct), np.uint64)
+            key_of[coded.indices.to_numpy()] = key
+            for c, own in zip(code, lows, strict=True):  # a question has a context once
+                low[c] = np.minimum(low[c], own)
+            runs, ends, values = _runs(distinct, key_of, low, least)
+            at = np.cumsum(runs) - runs
+            for (number, kind, bucket, *_), c, own in zip(held, code, lows, strict=True):
+                told = np.where((runs[c] == 1) & (values[at[c]] == own), 0, runs[c])
+                pick = _ranges(at[c], told)
+                yield batch([(number, kind, bucket, told.astype(np.uint8).tobytes(), ends[pick].tobytes(), values[pick].tobytes())])
 
     return run
 
 
-def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts behind their spans, sorted by key and start: what is left of them."""
-    for _, held in _by_key(batches):
-        starts, stops, texts = [], [], []
-        for piece in held:
-            for kind, start, stop, ident, null, text in zip(*(piece.column(k).to_pylist() for k in range(1, 7)), strict=True):
-                if kind:
-                    texts.append((ident, null, text))
-                elif stops and start <= stops[-1]:
-                    stops[-1] = max(stops[-1], stop)
-                else:
-                    starts.append(start)
-                    stops.append(stop)
-        rows = []
-        for ident, null, text in texts:
-            digest, at = hashlib.sha256(), 0
-            for a, b in zip(starts, stops, strict=True):
-                digest.update(text[at:a])
-                at = b
-            digest.update(text[at:])
-            rows.append((None if null else ident, len(text), sum(stops) - sum(starts), len(starts), digest.hexdigest(), list(zip(starts, stops, strict=True))))
-        if rows:
-            ids, size, removed, spans, sha, runs = zip(*rows, strict=True)
+def _runs(distinct: pa.Array, key: np.ndarray, low: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each context its runs of strings with one smallest document: their number, ends and documents."""
+    order = np.argsort(key, kind="stable")
+    length = np.diff(np.frombuffer(distinct.buffers()[1], np.int64)[distinct.offset : distinct.offset + len(distinct) + 1])[order]
+    change = np.flatnonzero(np.concatenate([[True], key[order][1:] != key[order][:-1], [True]]))
+    total = np.concatenate([[0], np.cumsum(length)])
+    parts, i = [], 0
+    while i < len(change) - 1:  # contexts of one anchor stay together
+        j = max(i + 1, int(np.searchsorted(total[change], total[change[i]] + PIECE, "right")) - 1)
+        own = order[change[i] : change[j]]
+        parts.append(smallest(distinct.take(pa.array(own)).to_pylist(), low[own], least))
+        i = j
+    of = np.concatenate(parts)
+    many = length - least + 1
+    first = np.cumsum(many) - many
+    new = np.ones(len(of), bool)
+    new[1:] = of[1:] != of[:-1]
+    new[first] = True
+    edge = np.flatnonzero(new)
+    context = np.searchsorted(first, edge, "right") - 1
+    stop = np.concatenate([edge[1:], [len(of)]]) - first[context]
+    runs = np.empty(len(order), np.int64)
+    runs[order] = np.bincount(context, minlength=len(order))
+    # from the order of the anchors back to that of the contexts
+    by = np.argsort(order[context], kind="stable")
+    return runs, stop[by].astype(np.uint8), of[edge][by]
+
+
+def _kept(least: int, buckets: int):
+    """Blocks behind all answers: what is left of their texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for held in grouped(batches, 0):
+            block = _Block(held[0], least, buckets)
+            texts, found = block.texts, [tuple(np.zeros(0, np.int64) for _ in range(3))]
+            for k, part in enumerate(block.parts([r for r in held if r[1] == SHARED])):
+                found.append(part.covered([r for r in held if r[1] == CONTEXTS + k], least))
+            row, start, stop = (np.concatenate(x) for x in zip(*found, strict=True))
+            order = np.argsort(start, kind="stable")
+            row, start, stop = row[order], start[order], np.maximum.accumulate(stop[order]) if len(stop) else stop
+            new = np.ones(len(row) + 1, bool)
+            new[1:-1] = (row[1:] != row[:-1]) | (start[1:] > stop[:-1])
+            edge = np.flatnonzero(new)
+            row, start, stop = row[edge[:-1]], start[edge[:-1]], stop[edge[1:] - 1]
+            cut, raw = np.searchsorted(row, np.arange(len(texts.ids) + 1)), memoryview(texts.buf)
+            removed, spans, sha, runs = [], [], [], []
+            for r, (a, b) in enumerate(zip(texts.offsets[:-1].tolist(), texts.offsets[1:].tolist(), strict=True)):
+                own = list(zip(start[cut[r] : cut[r + 1]].tolist(), stop[cut[r] : cut[r + 1]].tolist(), strict=True))
+                digest, at = hashlib.sha256(), a
+                for x, y in own:
+                    digest.update(raw[at:x])
+                    at = y
+                digest.update(raw[at:b])
+                removed.append(sum(y - x for x, y in own))
+                spans.append(len(own))
+                sha.append(digest.hexdigest())
+                runs.append([{"start": x - a, "stop": y - a} for x, y in own])
             spans_type = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(size, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(sha), pa.array([[{"start": a, "stop": b} for a, b in r] for r in runs], spans_type)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"])
+            columns = [pa.array(texts.ids, mask=texts.null), pa.array(np.diff(texts.offsets)), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(sha), pa.array(runs, spans_type)]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"])
+
+    return run
 
 
 def remove_repeats(docs: DataFrame, least: int = 50, id_col: str = "doc_id", text_col: str = "text", hot_at: int = HOT) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans (byte runs that go) of every row."""
-    spark = docs.sparkSession
-    text = F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8")
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), text.alias("data"))
-    rows = rows.select(F.coalesce("id", F.lit(2**63 - 1)).alias("doc"), F.col("id").isNull().alias("null"), F.xxhash64("id", "data").alias("key"), "data")
-    known = written(rows.select("doc", "key", F.octet_length("data").alias("n"), F.sha2("data", 256).alias("sha")).where(f"n >= {least}").distinct(), "repeat-texts")
-    smallest = known.groupBy("sha").agg(F.min("doc").alias("low"))
-    placed = written(known.join(smallest, "sha").select("key", "n", (F.col("doc") == F.col("low")).alias("first")), "repeat-classes")
-    buckets = partitions(spark)
-    found = rows.where(F.octet_length("data") >= least).select("key", F.col("data").cast("string").alias("text")).mapInArrow(_anchor_rows(least, buckets), "bucket int, h binary, ref binary, keys binary")
-    shared = found.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(lambda b: _shared(b, hot_at), "key long, data binary")
-    # of equal texts only the smallest id's is searched
-    shared = written(shared.join(placed.where("first").select("key"), "key", "left_semi").select("key", F.lit(0).alias("kind"), "data", F.lit(0).cast("long").alias("doc")), "repeat-anchors")
-    searched = shared.union(rows.where(F.octet_length("data") >= least).select("key", F.lit(1), "data", "doc"))
-    contexts = searched.repartition("key").sortWithinPartitions("key", "kind").mapInArrow(_context_rows(least), "anchor long, salt int, doc long, key long, starts binary, context binary")
-    spans = contexts.repartition("anchor", "salt").sortWithinPartitions("anchor", "salt").mapInArrow(_spans(least, hot_at), "key long, start long, stop long, a long, b long, doc long")
-    spans = written(spans, "repeat-spans")
-    frequent = spans.where("a IS NOT NULL")
-    low = frequent.groupBy("a", "b").agg(F.min("doc").alias("low"))
-    matched = frequent.join(low, ["a", "b"]).where("doc > low").select("key", "start", "stop")
-    whole = placed.where("NOT first").select("key", F.lit(0).cast("long").alias("start"), F.col("n").cast("long").alias("stop")).distinct()
-    all_spans = spans.where("a IS NULL").select("key", "start", "stop").union(matched).union(whole)
-    final = all_spans.select("key", F.lit(0).alias("kind"), "start", "stop", F.lit(0).cast("long").alias("doc"), F.lit(False).alias("null"), F.lit(None).cast("binary").alias("data"))
-    final = final.union(rows.select("key", F.lit(1), F.lit(0).cast("long"), F.lit(0).cast("long"), "doc", "null", "data"))
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans (byte runs that go) of every row; least: 24 to 87 bytes."""
+    if not ANCHOR <= least <= ANCHOR + 63:
+        raise ValueError("least must be 24 to 87 bytes")
+    packed = pack(docs, "repeat-blocks", id_col=id_col, text_col=text_col)
+    buckets = bucket_count(packed)
+    shared = written(by_bucket(packed.mapInArrow(_ask(least, buckets), ROWS), buckets).mapInArrow(_shared(hot_at), ROWS), "repeat-shared", 128)
+    asked = by_bucket(by_block(packed, shared).mapInArrow(_contexts(least, buckets), ROWS), buckets)
+    answers = written(asked.mapInArrow(_answers(least), ROWS), "repeat-answers", 128)
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start: long, stop: long>>"
-    return final.repartition("key").sortWithinPartitions("key", "kind", "start").mapInArrow(_kept, schema)
+    out = written(by_block(packed, shared, answers).mapInArrow(_kept(least, buckets), schema), "repeat-spans")
+    for table in (packed, shared, answers):
+        drop_table(table)
+    return out
 
 
 def op10_suffix_dedup(spark, sf_dir: str) -> DataFrame:
