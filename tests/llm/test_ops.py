@@ -52,49 +52,84 @@ def test_agrees_with_sql(spark, sf, oracle, name):
 
 
 # --- 1 ------------------------------------------------------------------------------------------------------------
-def katz_brute(rows, train, cutoff):
-    """Scores by the definition; checks that every distribution sums to 1."""
+def good_turing(of: Counter, cutoff: int) -> dict[int, float]:
+    """Katz's discounted counts r* of r = 1 .. 5, from the counts of counts; where they give none in (0, r], absolute ones."""
+    n = {r: of[r] for r in range(1, 7)}
+    plain = n[1] / (n[1] + 2 * n[2]) if n[1] and n[2] else 0.5
+    tail = 6 * n[6] / n[1] if n[1] else 1.0
+    out = {}
+    for r in range(1, 6):
+        star = (r + 1) * n[r + 1] / n[r] if n[r] else 0.0
+        d = (star / r - tail) / (1 - tail) if tail < 1 and n[r] else 0.0
+        out[r] = 0.0 if r < cutoff else r * d if 0 < d <= 1 else r - plain
+    return out
+
+
+def katz_brute(rows, train, cutoff, order):
+    """Scores by the definition, with an estimator of its own; checks that distributions sum to 1."""
     tok = [(i, WORD.findall((t or "").translate(LOW)) + [None]) for i, t in rows]
-    c1, c2, ch = Counter(), Counter(), Counter()
+    count = [Counter() for _ in range(order)]
+    grams = lambda w, at, k: (*(["<s>"] if at < k else []), *w[max(0, at - k) : at + 1])
     for i, w in tok:
         if train(i):
-            c1.update(w)
-            h = ["<s>", *w[:-1]]
-            c2.update(zip(h, w, strict=True))
-            ch.update(h)
-    of = lambda c: [sum(v == r for v in c.values()) for r in range(1, 7)]
-    m = katz.Model([*of(c1), len(c1), sum(c1.values())], [*of(c2), len(c2), sum(c2.values())], cutoff)
-    p1 = {w: float(m.p1(np.array([c]))[0]) for w, c in c1.items()}
-    assert sum(p1.values()) + m.unknown == pytest.approx(1) or not c1
-    mass, low = Counter(), Counter()
-    for (h, w), c in c2.items():
-        if c >= cutoff:
-            mass[h] += float(m.seen(np.array([c]))[0])
-            low[h] += p1[w]
-    n = {h: c + (mass[h] >= c * (1 - 1e-9)) for h, c in ch.items()}
-    alpha = lambda h: (1 - mass[h] / n[h]) / (1 - low[h]) if h in n else 1.0
-
-    def p(h, w):
-        c = c2[h, w]
-        return float(m.seen(np.array([c]))[0]) / n[h] if c >= cutoff else alpha(h) * p1.get(w, m.unknown)
-
-    for h in list(n)[:20]:
-        assert sum(p(h, w) for w in p1) + alpha(h) * m.unknown == pytest.approx(1)
-    return [(i, len(w), sum(c1[x] > 0 for x in w), sum(math.log10((c1[x] + 1) / (sum(c1.values()) + len(c1) + 1)) for x in w), sum(math.log10(p(h, x)) for h, x in zip(["<s>", *w[:-1]], w, strict=True))) for i, w in tok]
-
-
-def test_katz_is_brute_force(spark, docs, empty):
+            for k in range(order):
+                count[k].update(grams(w, at, k) for at in range(len(w)))
+    star = [good_turing(Counter(c.values()), cutoff if k else 1) for k, c in enumerate(count)]
+    held = lambda k, c: 0.0 if k and c < cutoff else star[k].get(c, float(c))
+    total = sum(count[0].values())
+    free = sum(c - held(0, c) for c in count[0].values())
+    unknown = free / total if total else 1.0
+    scale = 1.0
+    if total and not unknown:
+        unknown = 1 / (total + len(count[0]) + 1)
+        scale = 1 - unknown
+    p1 = {g[0]: scale * held(0, c) / total for g, c in count[0].items()}
+    assert not total or sum(p1.values()) + unknown == pytest.approx(1)
+    followers: dict = {}
+    for k in range(1, order):
+        for g, c in count[k].items():
+            followers.setdefault((k, g[:-1]), {})[g[-1]] = c
+    known: dict = {}
+
+    def p(k, h, w):
+        if not k:
+            return p1.get(w, unknown)
+        shorter = h[1:] if k > 1 and len(h) == k else h if k > 1 and h[:1] == ("<s>",) else ()
+        seen = followers.get((k, h))
+        if seen is None:
+            return p(k - 1, shorter, w)
+        if (k, h) not in known:
+            n = sum(seen.values())
+            mass = sum(held(k, c) for c in seen.values())
+            n += mass == n
+            lower = sum(p(k - 1, shorter, x) for x, c in seen.items() if held(k, c))
+            known[k, h] = n, (1 - mass / n) / (1 - lower)
+        n, alpha = known[k, h]
+        mine = held(k, seen.get(w, 0))
+        return mine / n if mine else alpha * p(k - 1, shorter, w)
+
+    for k in range(1, order):
+        for _, h in list(followers)[:40]:
+            if (k, h) in followers:
+                assert sum(p(k, h, w) for w in p1) + known[k, h][1] * p(k - 1, h[1:] if len(h) == k > 1 else h if k > 1 else (), "no word") == pytest.approx(1)
+    return [(i, len(w), sum(x in p1 for x in w), sum(math.log10((count[0][x,] + 1) / (total + len(p1) + 1)) for x in w), sum(math.log10(p(order - 1, grams(w, at, order - 1)[:-1], x)) for at, x in enumerate(w))) for i, w in tok]
+
+
+@pytest.mark.parametrize(("order", "cutoff"), [(1, 1), (2, 1), (2, 2), (3, 1), (3, 2), (4, 1)])
+def test_katz_is_brute_force(spark, order, cutoff):
     rnd = random.Random(1)
     rows = [*ROWS, *((100 + k, " ".join(rnd.choice("the a of cat dog sat on mat".split()) for _ in range(rnd.randint(0, 30)))) for k in range(60))]
     df = spark.createDataFrame([(i, t) for i, t in rows], "doc_id long, text string")
-    held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 7 != 2
-    for cutoff in (1, 2):
-        got = katz.score_texts(df, cutoff=cutoff).toPandas()
-        want = katz_brute(rows, held, cutoff)
-        key = lambda r: (str(r[0]), r[1], round(r[4], 6))
-        have = sorted(((None if i != i else int(i), n, k, b, s) for i, n, k, b, s in zip(got.doc_id, got.n_tokens, got.n_known, got.base_score, got.score, strict=True)), key=key)
-        for a, b in zip(have, sorted(want, key=key), strict=True):
-            assert a == pytest.approx(b)
+    trained = lambda i: i is not None and zlib.crc32(str(i).encode()) % 7 != 2
+    got = katz.score_texts(df, cutoff=cutoff, order=order).toPandas()
+    want = katz_brute(rows, trained, cutoff, order)
+    key = lambda r: (str(r[0]), r[1], round(r[4], 6))
+    have = sorted(((None if i != i else int(i), n, k, b, s) for i, n, k, b, s in zip(got.doc_id, got.n_tokens, got.n_known, got.base_score, got.score, strict=True)), key=key)
+    for a, b in zip(have, sorted(want, key=key), strict=True):
+        assert a == pytest.approx(b)
+
+
+def test_katz_of_nothing_and_without_training(spark, docs, empty):
     assert katz.score_texts(empty).count() == 0
     assert katz.score_texts(docs, train="false").where("score <> 0").count() == 0
 
