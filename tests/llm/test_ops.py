@@ -359,8 +359,8 @@ def test_near_dedup_is_brute_force(spark, empty):
 
 def test_links_across_components_of_a_bucket_are_found(spark):
     """Members that only meet the pivot's bucket, but not the pivot itself, are compared with each other in blocks."""
-    rows = [(1, k, 100, [9 + k, 1], bytes([255 * (k % 2)]) * (near.BITS // 8), k, k % 3) for k in range(9)]
-    df = spark.createDataFrame(rows, "key long, sig long, n long, bands array<long>, sketch binary, doc_id long, component long")
+    rows = [(1, k, 100, [9 + k, 1], bytes([255 * (k % 2)]) * (near.BITS // 8), str(k), k % 3) for k in range(9)]
+    df = spark.createDataFrame(rows, "key long, sig long, n long, bands array<long>, sketch binary, ref string, component long")
     found = {(r.a, r.b) for r in near._across(df, 85).collect()}
     assert found == {(a, b) for a in range(9) for b in range(a + 1, 9) if a % 3 != b % 3 and a % 2 == b % 2}
 

@@ -21,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import blocks, mix, row_sets, shingles, text_buffer, words, written
@@ -79,12 +79,12 @@ def likely(n_a: np.ndarray, n_b: np.ndarray, odd: np.ndarray, percent: int) -> n
     return (100 * small >= percent * big) & (odd <= np.minimum(differ, mean + spread) + 1e-6)
 
 
-def signatures(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
-    """doc_id, n_shingles, sig (of the set), bands, sketch."""
+def signatures(docs: DataFrame, size: int) -> DataFrame:
+    """ref, doc_id, n, sig (of the set), bands, sketch of each row; docs: ref, doc_id, text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            buf, off = text_buffer(batch.column(1))
+            buf, off = text_buffer(batch.column(2))
             for i, j in blocks(off):
                 h, o, _, _ = words(buf[off[i] : off[j]], off[i : j + 1] - off[i])
                 values, so = row_sets(*shingles(h, o, size))
@@ -94,10 +94,9 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFr
                 sig = mix(total[so[1:]] - total[so[:-1]] + count.astype(np.uint64)).view(np.int64)
                 bands, sketch = band_keys(samples), odd_sketch(values, so)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(count) * BANDS + 1, BANDS), pa.int32()), pa.array(bands.ravel()))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(count), pa.array(sig), lists, pa.array([r.tobytes() for r in sketch], pa.binary())], names=["doc_id", "n", "sig", "bands", "sketch"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), pa.array(count), pa.array(sig), lists, pa.array([r.tobytes() for r in sketch], pa.binary())], names=["ref", "doc_id", "n", "sig", "bands", "sketch"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n long, sig long, bands array<long>, sketch binary")
+    return docs.select("ref", "doc_id", "text").mapInArrow(run, "ref string, doc_id long, n long, sig long, bands array<long>, sketch binary")
 
 
 def _bits(column: pa.Array) -> np.ndarray:
@@ -106,7 +105,7 @@ def _bits(column: pa.Array) -> np.ndarray:
 
 def _filtered(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) whose sizes and sketches allow the similarity."""
-    side = lambda x: nodes.select(F.col("sig").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"s_{x}"), F.col("doc_id").alias(f"d_{x}"))
+    side = lambda x: nodes.select(F.col("sig").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"s_{x}"), F.col("ref").alias(f"d_{x}"))
     full = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "d_a", "d_b", "n_a", "n_b", "s_a", "s_b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -116,17 +115,17 @@ def _filtered(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
                 keep = likely(batch.column(4).to_numpy(), batch.column(5).to_numpy(), odd, percent)
                 yield batch.select(["a", "b", "d_a", "d_b"]).filter(pa.array(keep))
 
-    return full.mapInArrow(run, "a long, b long, d_a long, d_b long")
+    return full.mapInArrow(run, "a long, b long, d_a string, d_b string")
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
     """Pairs whose full sets are similar enough. Only texts of classes in a pair are fetched, once."""
     pairs = written(pairs, "near-pairs")
-    wanted = pairs.select(F.col("a").alias("sig"), F.col("d_a").alias("id")).union(pairs.select("b", "d_b")).distinct()
-    rows = docs.join(wanted.hint("shuffle_hash"), docs["doc_id"].eqNullSafe(wanted["id"])).select("sig", "text")
+    wanted = pairs.select(F.col("a").alias("sig"), F.col("d_a").alias("ref")).union(pairs.select("b", "d_b")).distinct()
+    rows = docs.join(wanted.hint("shuffle_hash"), "ref").select("sig", "text")
 
     def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows of a repeated id with another text go."""
+        """Rows whose reference only happens to be the same go."""
         for batch in batches:
             buf, off = text_buffer(batch.column(1))
             for i, j in blocks(off):
@@ -157,7 +156,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> Dat
 
 
 def _across(rows: DataFrame, percent: int) -> DataFrame:
-    """Pairs of one bucket but different components that sizes and sketches allow; rows: key, sig, n, bands, sketch, doc_id, component.
+    """Pairs of one bucket but different components that sizes and sketches allow; rows: key, sig, n, bands, sketch, ref, component.
 
     A pair comes from the first of the buckets that it shares.
     """
@@ -166,7 +165,7 @@ def _across(rows: DataFrame, percent: int) -> DataFrame:
     dealt = rows.join(sizes.select("key", parts.alias("parts")), "key").withColumn("part", F.pmod(F.xxhash64("sig"), F.col("parts")).cast("int"))
     # each pair of parts of a large bucket is a group of its own
     other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")
-    dealt = dealt.select("*", other).select("key", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), "part", "sig", "n", "bands", "sketch", "doc_id", "component")
+    dealt = dealt.select("*", other).select("key", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), "part", "sig", "n", "bands", "sketch", "ref", "component")
     grouped = dealt.repartition("key", "p", "q").sortWithinPartitions("key", "p", "q")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -187,7 +186,7 @@ def _across(rows: DataFrame, percent: int) -> DataFrame:
 
     def pairs_of(held: list) -> Iterator[pa.RecordBatch]:
         (key, p, q), table = held[0][0], pa.Table.from_batches([x for _, x in held])
-        part, sig, n, ids, comp = (np.array(table.column(c).to_pylist()) for c in ("part", "sig", "n", "doc_id", "component"))
+        part, sig, n, ids, comp = (np.array(table.column(c).to_pylist()) for c in ("part", "sig", "n", "ref", "component"))
         bits = _bits(table.column("sketch"))
         bands = table.column("bands").combine_chunks().flatten().to_numpy().reshape(len(sig), -1)
         left = np.flatnonzero(part == p)
@@ -201,18 +200,25 @@ def _across(rows: DataFrame, percent: int) -> DataFrame:
             for j in js:
                 x, y = (i, j) if sig[i] < sig[j] else (j, i)
                 for column, v in zip(out, (sig[x], sig[y], ids[x], ids[y]), strict=True):
-                    column.append(None if v is None else int(v))
+                    column.append(v)
         if out[0]:
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], names=["a", "b", "d_a", "d_b"])
+            kinds = (pa.int64(), pa.int64(), pa.string(), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array([str(x) for x in c] if t == pa.string() else c, t) for c, t in zip(out, kinds, strict=True)], names=["a", "b", "d_a", "d_b"])
+
+    return grouped.mapInArrow(run, "a long, b long, d_a string, d_b string").distinct()
 
-    return grouped.mapInArrow(run, "a long, b long, d_a long, d_b long").distinct()
 
+def near_dedup(docs: DataFrame, percent: int = 85, size: int = 5, id_col: str = "doc_id", text_col: str = "text", ref: Column | None = None) -> DataFrame:
+    """One row a document: doc_id, n_shingles, component_id, kept, ref, component, sig. Links are pairs with 100 * intersection >= percent * union.
 
-def near_dedup(docs: DataFrame, percent: int = 85, size: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row a document: doc_id, n_shingles, component_id, kept. Links are pairs with 100 * intersection >= percent * union."""
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    rows = written(signatures(docs, "doc_id", "text", size), "near-signatures")
-    nodes = written(rows.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), "near-classes")
+    ref: a string that tells a row from others (never null), by default from its id and text. component and sig are the
+    internal names of the component and of the row's set, for rows with words.
+    """
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    ref = F.hex(F.xxhash64(F.col(id_col).cast("long"), text)) if ref is None else ref
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), ref.alias("ref"))
+    rows = written(signatures(docs, size), "near-signatures")
+    nodes = written(rows.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("doc_id"), F.min("ref").alias("ref"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), "near-classes")
     banded = nodes.select("sig", F.explode("bands").alias("key"))
     shared = banded.groupBy("key").agg(F.min("sig").alias("a"), F.count(F.lit(1)).alias("m")).where("m > 1").select("key", "a")
     members = written(banded.join(shared, "key"), "near-buckets")
@@ -231,14 +237,14 @@ def near_dedup(docs: DataFrame, percent: int = 85, size: int = 5, id_col: str =
 def _result(rows: DataFrame, nodes: DataFrame, final: DataFrame) -> DataFrame:
     of = nodes.select("sig", "doc_id").join(final.withColumnRenamed("node", "sig"), "sig", "left").withColumn("component", F.coalesce("component", "sig"))
     least = of.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    named = of.join(least, "component").select("sig", "component_id")
-    joined = rows.select("doc_id", "n", "sig").join(named, "sig", "left")
+    named = of.join(least, "component").select("sig", "component", "component_id")
+    joined = rows.select("doc_id", "n", "sig", "ref").join(named, "sig", "left")
     component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    return joined.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
+    return joined.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"), "ref", F.when(F.col("n") > 0, F.col("component")).alias("component"), F.when(F.col("n") > 0, F.col("sig")).alias("sig"))
 
 
 def op6_near_dedup(spark, sf_dir: str) -> DataFrame:
-    return near_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return near_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("ref", "component", "sig")
 
 
 #: Words as in the contract, and distinct 5-word shingles of a table (documents or benchmark).
