@@ -6,8 +6,9 @@ with a ending there applies in one run and not in the other; b then starts with
 it before, of a smaller rank. The longest such chain, found in one pass over the merges in rank order, is the bound.
 The transducer keeps at most that lookahead and one chunk, emits tokens once they are stable, and goes on with the rest.
 
-Texts are cut by the tokenizer's pattern in chunks; a piece longer than a chunk passes through in parts. Short pieces
-are kept in a bounded cache, which changes no result.
+All text passes through the transducer in chunks. It cuts pieces by the tokenizer's pattern, whose own lookahead is three
+characters; pieces that are complete become tokens at once (short ones from a bounded cache, which changes no result), and
+a piece longer than a chunk passes through the byte transducer in parts.
 
 Defined results: a null text counts as empty and has no tokens; repeated rows each get their own row; an empty table
 gives an empty result; other columns are ignored; strings of added tokens in a text become those tokens.
@@ -29,7 +30,8 @@ from pyspark.sql import functions as F
 
 #: The pattern of byte-level tokenizers (a fixed value of the file format).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-CHUNK, CACHE = 1 << 16, 200_000
+#: Characters in a chunk, and pieces in the cache.
+CHUNK, CACHE = 1 << 14, 200_000
 _RUNS = [regex.compile(r"\p{L}+"), regex.compile(r"\p{N}+"), regex.compile(r"[^\s\p{L}\p{N}]+")]
 _WHITE = regex.compile(r"\s+")
 
@@ -104,7 +106,7 @@ def sufficient_lookahead(merges: list[tuple[bytes, bytes]]) -> int:
     return most + max((len(a) + len(b) for a, b in merges), default=1)
 
 
-class Transducer:
+class PieceTransducer:
     """Bytes of one piece in, stable tokens out; what is held stays under the lookahead plus a chunk."""
 
     def __init__(self, merges: Merges, chunk: int = 4096):
@@ -145,6 +147,53 @@ class _Cache(dict):
         return ids
 
 
+class Transducer:
+    """Text in, stable tokens out; what is held stays under a chunk and the lookaheads of the pattern and the merge list."""
+
+    def __init__(self, bpe: ByteBpe):
+        self.get, self.find, self.merges, self.most = bpe.cache.__getitem__, bpe.pattern.findall, bpe.merges, max(bpe.chunk, 4)
+        self.held = ""
+        self.run: PieceTransducer | None = None  # of the piece that the text is in, if that is longer than a chunk
+        self.kind, self.first = _WHITE, 0
+
+    def feed(self, text: str) -> list[int]:
+        out: list[int] = []
+        self.held += text
+        while True:
+            if self.run is None:
+                pieces = self.find(self.held)
+                open_ = 0  # characters of the pieces that what follows may change
+                while pieces and open_ < 3:
+                    open_ += len(pieces.pop())
+                out += chain.from_iterable(map(self.get, pieces))
+                self.held = self.held[len(self.held) - open_ :] if open_ else ""
+                if open_ <= self.most:
+                    return out
+                self.run = PieceTransducer(self.merges)
+                self.kind = _WHITE if self.held[:2].isspace() else next(k for k in _RUNS if k.match(self.held, 1 if self.held[0] == " " else 0))
+                self.first = 1 if self.kind is not _WHITE and self.held[0] == " " else 0
+            m = self.kind.match(self.held, self.first)
+            end = m.end() if m else self.first
+            self.first = 0
+            over = end < len(self.held)
+            # of white space before something else, the last character belongs to what follows
+            end -= self.kind is _WHITE
+            out += self.run.feed(self.held[:end].encode())
+            self.held = self.held[end:]
+            if not over:
+                return out
+            out += self.run.close()
+            self.run = None
+
+    def close(self) -> list[int]:
+        if self.run is None:
+            out = list(chain.from_iterable(map(self.get, self.find(self.held))))
+        else:
+            out = self.run.feed(self.held.encode()) + self.run.close()
+        self.held, self.run = "", None
+        return out
+
+
 class ByteBpe:
     """A byte-level BPE tokenizer from a tokenizer file."""
 
@@ -175,57 +224,10 @@ class ByteBpe:
             yield from self._plain(text)
 
     def _plain(self, text: str) -> Iterator[list[int]]:
-        get, find = self.cache.__getitem__, self.pattern
-        if len(text) <= self.chunk:
-            yield list(chain.from_iterable(map(get, find.findall(text))))
-            return
-        at, held, size = 0, "", len(text)
-        while at < size or held:
-            held += text[at : at + self.chunk]
-            at = min(size, at + self.chunk)
-            if at == size:
-                yield list(chain.from_iterable(map(get, find.findall(held))))
-                return
-            # what ends in the last three characters may still change
-            pieces, end = [], 0
-            for m in find.finditer(held):
-                if m.end() > len(held) - 3:
-                    break
-                pieces.append(m[0])
-                end = m.end()
-            yield list(chain.from_iterable(map(get, pieces)))
-            held = held[end:]
-            if len(held) > self.chunk // 2:
-                held, at = (yield from self._run(text, at, held))
-
-    def _run(self, text: str, at: int, held: str) -> Iterator[list[int]]:
-        """A piece that a chunk doesn't hold, in parts; returns what comes after it."""
-        out, size = Transducer(self.merges), len(text)
-        kind = _WHITE if held[:2].isspace() else next(k for k in _RUNS if k.match(held, 1 if held[0] == " " else 0))
-        first = 1 if kind is not _WHITE and held[0] == " " else 0
-        while True:
-            m = kind.match(held, first)
-            end = m.end() if m else first
-            first = 0
-            if kind is _WHITE:
-                if end < len(held):  # the last one belongs to what follows
-                    yield out.feed(held[: end - 1].encode())
-                    yield out.close()
-                    return held[end - 1 :], at
-                if at == size:
-                    yield out.feed(held.encode())
-                    yield out.close()
-                    return "", at
-                yield out.feed(held[:-1].encode())
-                held = held[-1:]
-            else:
-                yield out.feed(held[:end].encode())
-                held = held[end:]
-                if held or at == size:
-                    yield out.close()
-                    return held, at
-            held += text[at : at + self.chunk]
-            at = min(size, at + self.chunk)
+        out = Transducer(self)
+        for at in range(0, len(text), self.chunk):
+            yield out.feed(text[at : at + self.chunk])
+        yield out.close()
 
     def decode(self, ids: Iterator[list[int]]) -> Iterator[str]:
         """Text as soon as its bytes are complete; bytes that form no character become U+FFFD."""
