@@ -230,12 +230,25 @@ def test_lookahead_is_sufficient():
             if end > len(text) - merges.lookahead:
                 break
             assert a == b
-    stream = bpe.Transducer(merges, chunk=64)
+    stream = bpe.PieceTransducer(merges, chunk=64)
     text = b"antidisestablishmentarianism" * 200
     out = stream.feed(text)
     assert len(stream.held) < merges.lookahead + 2 * 64 and out + stream.close() == merges.encode(text)
 
 
+def test_tokens_come_before_a_text_ends():
+    """Whatever is fed, all but the last pieces are out at once, and little is held."""
+    b = bpe.ByteBpe(bpe.vocabulary_path(), chunk=32)
+    for text, most in (("the cat sat on the mat and went home again " * 3, 3), ("a" * 9000 + " b", 4096), (" " * 9000 + "\n" * 900 + "x", 4096), ("!?" * 6000, 4096)):
+        out, whole, held, got = bpe.Transducer(b), b.encode(text), 0, []
+        for c in text:
+            got += out.feed(c)
+            held = max(held, len(out.held) + len(out.run.held if out.run else b""))
+        late = out.close()
+        assert got + late == whole and len(got) > 0 and len(late) <= most and held <= b.chunk + b.merges.lookahead + 4096
+    assert bpe.Transducer(b).feed("one two three") == b.encode("one two")
+
+
 def test_decoder_replaces_broken_bytes():
     b = bpe.loaded(bpe.vocabulary_path())
     ids = b.encode("日")
@@ -318,6 +331,21 @@ def test_exact_dedup_of_nothing_and_over_batches(docs, empty):
     assert one == sorted(map(str, exact.stream_dedup(docs).collect()))
 
 
+def test_exact_dedup_goes_on_from_its_state(spark, docs, tmp_path):
+    """Two calls that share a folder give what one call gives; a locator leads to the content that stays."""
+    key = lambda df: sorted(map(str, df.drop("locator").collect()))
+    folder, half = f"file://{tmp_path}/state", F.xxhash64("doc_id", "text") % 2 == 0
+    first = exact.stream_dedup(docs.where(half), state=folder)
+    assert key(first) == key(exact.stream_dedup(docs.where(half)))
+    assert key(exact.stream_dedup(docs.where(~half), state=folder)) == key(exact.stream_dedup(docs))
+    docs.coalesce(2).write.parquet(f"{tmp_path}/docs")
+    files = spark.read.parquet(f"{tmp_path}/docs")
+    rows = exact.stream_dedup(files)
+    at = files.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha"))
+    found = rows.select("locator.*", "text_sha256").join(at, ["file", "row"])
+    assert found.count() == len(ROWS) and found.where("sha <> text_sha256").count() == 0
+
+
 # --- 6 and 8 ------------------------------------------------------------------------------------------------------
 def near_rows() -> list[tuple]:
     rnd = random.Random(7)
