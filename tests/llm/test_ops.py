@@ -306,7 +306,7 @@ def test_toxicity_decodes_spacing_edges_and_long_tokens(spark):
         rows.append((k, " ".join(words)))
         labels.append((k, y))
     model = toxicity.fit(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int"))
-    toxic = ["such a s t u p i d cat", "y o u a r e a n i d i o t", "the !diot sat", "a (|d|ot) sat", "the i d ! o t ran", "you are " + "s" * 50 + "tup" + "i" * 50 + "d", "thecatsatonthematandthedogranoverhillswhileyouareanidiotandbirdssingsoftly", "1d107", "stupid!"]
+    toxic = ["such a s t u p i d cat", "y o u a r e a n i d i o t", "the !diot sat", "a (|d|ot) sat", "the i d ! o t ran", "you are " + "s" * 50 + "tup" + "i" * 50 + "d", "thecatsatonthematandthedogranoverhillswhileyouareanidiotandbirdssingsoftly", "1d107", "stupid!", "you stuupiid cat"]
     fine = ["such a c a t", "y o u a r e a n o w l", "the cat! sat (on) mat", "t" * 100, "thecatsatonthematandthedogranoverhillswhilebirdssingsoftlyandyouareanowl", "1999", "a b", "! ! !", "x 1 " * 5000]
     chars = toxicity.CharModel(model["chars"], model["words"])
     assert toxicity.segmented("astupid", chars) == ["a", "stupid"] and toxicity.segmented("youareanidiot", chars) == "you are an idiot".split()
@@ -315,6 +315,35 @@ def test_toxicity_decodes_spacing_edges_and_long_tokens(spark):
     assert not wrong
 
 
+def test_viterbi_is_the_best_path_of_the_lattice():
+    """Against all paths, on short tokens; equal probabilities are told apart by the letters."""
+    rnd = random.Random(8)
+    words = "stupid idiot cat sat mat noon seen too bee".split()
+    grams: Counter = Counter()
+    for w in words:
+        s = "^^" + w + "$"
+        grams.update(s[i : i + 3] for i in range(len(s) - 2))
+    model = toxicity.CharModel(dict(grams), dict.fromkeys(words, 2))
+    for _ in range(150):
+        token = "".join(rnd.choice("ato0135s$!*-.iide") for _ in range(rnd.randint(1, 7)))
+        edges, paths = toxicity.lattice(token), []
+
+        def walk(i, letters, p, edges=edges, paths=paths):
+            if i == len(edges):
+                paths.append((letters, p))
+                return
+            for j, x, q in edges[i]:
+                walk(j, letters + x, p + q)
+
+        walk(0, "", 0.0)
+        def score(letters, p):
+            s = "^^" + letters + "$"
+            return p + sum(model.log(s[i : i + 2], s[i + 2]) for i in range(len(s) - 2))
+
+        scored = sorted(((round(score(x, p), 9), x) for x, p in paths), key=lambda r: (-r[0], r[1]))
+        assert toxicity.viterbi(token, model) == scored[0][1]
+
+
 # --- 5 ------------------------------------------------------------------------------------------------------------
 @pytest.mark.parametrize("digest", [None, lambda t: (F.length(t) % 3).cast("string")])
 def test_exact_dedup_by_bytes(docs, digest):
