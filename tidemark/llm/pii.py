@@ -13,11 +13,13 @@ entities finds collisions (two entities with one surrogate, or a surrogate that
 takes its next surrogate until none is left, and only documents with such an entity are joined.
 
 Defined results: null and empty texts stay as they are with no entities; repeated rows get equal texts; an empty table
-gives an empty result; other columns are ignored.
+gives an empty result; other columns are ignored; formats that are used up are as `exceptions` says.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -47,7 +49,7 @@ SYLLABLES = {
 _TITLES = "|".join(sorted((*FEMALE, *MALE, *NEUTRAL), key=len, reverse=True))
 #: What is found, in the order in which types are told apart.
 PATTERNS = {
-    "email": r"[\p{L}\p{N}_.+-]+@[\p{L}\p{N}_-]+(?:\.[\p{L}\p{N}_-]+)+",
+    "email": r"(?<![\p{L}\p{N}_.+-])[\p{L}\p{N}_.+-]++@[\p{L}\p{N}_-]+(?:\.[\p{L}\p{N}_-]+)+",
     "secret": r"(?<![\p{L}\p{N}])[0-9a-fA-F]{32,64}(?![\p{L}\p{N}])",
     "iban": r"(?<![\p{L}\p{N}])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])",
     "ip": r"(?<![\p{N}.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\.?\p{N})",
@@ -76,6 +78,24 @@ def _luhn(digits: str) -> str:
     return f"(aggregate(transform(reverse(split({digits}, '')), (c, i) -> CASE WHEN i % 2 = 0 THEN cast(c AS int) ELSE element_at(array(0, 2, 4, 6, 8, 1, 3, 5, 7, 9), cast(c AS int) + 1) END), 0, (s, x) -> s + x) % 10 = 0)"
 
 
+def _mod97(s: str) -> str:
+    """The remainder by 97 of digits and capitals (A is 10), as SQL."""
+    return f"aggregate(split({s}, ''), 0, (a, c) -> if(c BETWEEN '0' AND '9', (a * 10 + cast(c AS int)) % 97, (a * 100 + ascii(c) - 55) % 97))"
+
+
+def _subkeys(key: str) -> tuple[str, str]:
+    """The inner and outer pads of HMAC-SHA256 as hexadecimal text: all that plans show of the key."""
+    raw = key.encode() if len(key.encode()) <= 64 else hashlib.sha256(key.encode()).digest()
+    raw = raw.ljust(64, b"\0")
+    return tuple(hashlib.sha256(bytes(b ^ pad for b in raw)).hexdigest() for pad in (0x36, 0x5C))
+
+
+def _mac(key: str, message: str) -> str:
+    """A keyed hash of an SQL string, with the nesting of HMAC."""
+    inner, outer = _subkeys(key)
+    return f"sha2(concat('{outer}', sha2(concat('{inner}', {message}), 256)), 256)"
+
+
 def entity_type(v: str) -> str:
     """The type of a match; a run of digits may hold cards, what else there is are names without title."""
     cases = " ".join(f"WHEN {v} RLIKE {_q('^(?:' + p + ')$')} THEN '{t}'" for t, p in PATTERNS.items() if t != "card")
@@ -147,19 +167,21 @@ def _letters(s: str, h: str) -> str:
 
 def surrogate(t: str, n: str, attempt: str, key: str) -> str:
     """The surrogate of a normal form, itself in normal form (a name: as it is written)."""
-    seed = lambda x: f"concat(sha2(concat('{key}|a|', {t}, '|', {x}, '|', {attempt}), 256), sha2(concat('{key}|b|', {t}, '|', {x}, '|', {attempt}), 256))"
-    h = seed(n)
+    message = lambda part: f"concat('{part}|', {t}, '|', {n}, '|', {attempt})"
+    h = f"concat({_mac(key, message('a'))}, {_mac(key, message('b'))})"
     domain = f"substring_index({n}, '@', -1)"
     host = f"left({domain}, length({domain}) - length(substring_index({domain}, '.', -1)))"
-    # the domain has a surrogate of its own, so addresses of one domain stay together
-    dh = f"concat(sha2(concat('{key}|d|', {domain}), 256), sha2(concat('{key}|e|', {domain}), 256))"
+    # the domain has a surrogate of its own, so addresses of one domain stay together, but for the rare that find no mailbox there
+    of_domain = lambda part: f"concat('{part}|', {domain}, if({attempt} > 8, concat('|', {attempt}), ''))"
+    dh = f"concat({_mac(key, of_domain('d'))}, {_mac(key, of_domain('e'))})"
     email = f"concat({_letters(f'''substring_index({n}, '@', 1)''', h)}, '@', {_letters(host, dh)}, substring_index({domain}, '.', -1))"
     ip = f"array_join(transform(split({n}, '[.]'), (o, i) -> cast(1 + {_byte(h, 'i')} % 254 AS string)), '.')"
     hexes = f"array_join(transform(split({n}, ''), (c, i) -> substr('0123456789abcdef', {_byte(h, 'i')} % 16 + 1, 1)), '')"
     body = f"concat(left({n}, 1), {_letters(f'substr({n}, 2, length({n}) - 2)', h)})"
     card = f"element_at(filter(transform(sequence(0, 9), z -> concat({body}, cast(z AS string))), w -> {_luhn('w')}), 1)"
     phone = f"concat(regexp_extract({n}, '^(\\\\+1|\\\\+[0-9]{{2}}|)', 1), {_letters(f'''regexp_replace({n}, '^(\\\\\\\\+1|\\\\\\\\+[0-9]{{{{2}}}})', '')'''.replace('{{', '{').replace('}}', '}'), h)})"
-    iban = f"concat(left({n}, 2), {_letters(f'substr({n}, 3)', h)})"
+    account = _letters(f"substr({n}, 5)", h)
+    iban = f"element_at(transform(array({account}), w -> concat(left({n}, 2), lpad(cast(98 - {_mod97(f"concat(w, left({n}, 2), '00')")} AS string), 2, '0'), w)), 1)"
     script = f"CASE WHEN {n} RLIKE '[а-яё]' THEN 'cyrillic' WHEN {n} RLIKE '[α-ωά-ώ]' THEN 'greek' ELSE 'latin' END"
     choose = lambda names, k: f"element_at(split('{names}', ' '), {_byte(h, k)} % {len(names.split())} + 1)"
     given = "CASE " + " ".join(f"WHEN {script} = '{s}' AND left({n}, 1) = '{g}' THEN {choose(names, '0')}" for (s, g), names in GIVEN.items()) + " END"
@@ -195,7 +217,10 @@ def _found(docs: DataFrame) -> DataFrame:
 
 
 def exceptions(entities: DataFrame, key: str, most: int = 64) -> DataFrame:
-    """(t, n, attempt, s) of the distinct entities whose first surrogate was taken; entities: distinct (t, n)."""
+    """(t, n, attempt, s) of the distinct entities whose first surrogate was taken; entities: distinct (t, n).
+
+    An entity that is in collision still after `most` attempts keeps its last surrogate: its format has too few.
+    """
     now = written(entities.withColumn("attempt", F.lit(0)).withColumn("s", F.expr(surrogate("t", "n", "attempt", key))), "pii-entities")
     for _ in range(most):
         # names are compared by surname, as that may stand alone
@@ -209,11 +234,15 @@ def exceptions(entities: DataFrame, key: str, most: int = 64) -> DataFrame:
             return now.where("attempt > 0")
         moved = now.join(again.withColumn("move", F.lit(1)), ["t", "n"], "left").withColumn("attempt", F.col("attempt") + F.coalesce("move", F.lit(0)))
         now = written(moved.withColumn("s", F.when(F.col("move") == 1, F.expr(surrogate("t", "n", "attempt", key))).otherwise(F.col("s"))).select("t", "n", "attempt", "s"), "pii-entities")
-    raise RuntimeError("a format has too few surrogates for its entities")
+    return now.where("attempt > 0")
+
 
+def replace_entities(docs: DataFrame, key: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, text with surrogates, n_entities, entities (type, surrogate in order of appearance).
 
-def replace_entities(docs: DataFrame, key: str = "tidemark", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, text with surrogates, n_entities, entities (type, surrogate in order of appearance)."""
+    key: a secret; where it isn't given, the session's setting spark.tidemark.pii.key, and a public one without that.
+    """
+    key = key or docs.sparkSession.conf.get("spark.tidemark.pii.key", None) or "tidemark"
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     found = _found(rows)
     entities = found.where("exists(hits, e -> e.t IS NOT NULL)").select(F.explode(F.expr("filter(hits, e -> e.t IS NOT NULL)")).alias("e")).select("e.t", "e.n").distinct()
