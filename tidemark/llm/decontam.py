@@ -6,8 +6,9 @@ partition an item's MinHash sample is its set's least hashes (all of a small set
 document's set that a true containment falls short with a probability under 1e-8 (never, for a whole set). What is
 found is verified on the full sets in the same task.
 
-The items go to the executors in blocks of bounded size, so what is broadcast doesn't grow with the benchmark; each block
-is a stated query set against all documents, which are read map-side only, in whole texts, without a shuffle.
+The items go to the executors in blocks of bounded size, `PASS` of them broadcast at once, so what is broadcast at a time
+doesn't grow with the benchmark; they are a stated query set against all documents, which are read map-side only, in whole
+texts, without a shuffle, once for every `PASS` blocks (64 MB of items).
 
 Defined results: null and empty texts hold nothing and are contained nowhere; an item of fewer words than a shingle is
 contained where all its words follow each other; repeated items or documents each give their rows; a null id is
@@ -20,14 +21,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import blocks, row_sets, shingles, text_buffer, words
+from .common import blocks, row_sets, shingles, text_buffer, words, written
 from .near import SHINGLES
 
 #: Bytes of item texts in a block, least hashes in a sample, and deviations left for a sample to fall short.
 BLOCK_BYTES, SAMPLE, DEVIATIONS = 8 << 20, 32, 6.0
+#: Blocks that one pass over the documents searches for.
+PASS = 8
 _FILTER = 1 << 20
 
 
@@ -84,30 +88,39 @@ def contained(docs: DataFrame, items: DataFrame, threshold: float = 0.8, size: i
     schema = "doc_id long, item_id long, n_shingles long, n_shared long, containment double"
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     out = None
-    for block in _blocks(items, threshold, size, item_id, item_text, block_bytes):
-        found = rows.mapInArrow(_searcher(block), schema)
+    for sent in _passes(docs.sparkSession, items, threshold, size, item_id, item_text, block_bytes):
+        found = rows.mapInArrow(_searcher(sent), schema)
         out = found if out is None else out.union(found)
     return docs.sparkSession.createDataFrame([], schema) if out is None else out
 
 
-def _blocks(items: DataFrame, threshold: float, size: int, item_id: str, item_text: str, block_bytes: int) -> Iterator[Block]:
+def _passes(spark: SparkSession, items: DataFrame, threshold: float, size: int, item_id: str, item_text: str, block_bytes: int) -> Iterator[Broadcast]:
+    """Broadcasts of up to PASS blocks of items each."""
     items = items.select(F.col(item_id).cast("long").alias("item_id"), F.coalesce(F.col(item_text), F.lit("")).alias("text"))
     total = items.agg(F.sum(F.octet_length("text") + 64)).head()[0] or 0
     n_blocks = -(-total // block_bytes)
-    for k in range(n_blocks):
-        # a hash deals the items evenly, so a block stays near block_bytes
-        own = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks)) == k).orderBy("item_id", "text").toPandas()
-        yield Block([None if x != x else int(x) for x in own["item_id"].tolist()], own["text"].tolist(), threshold, size)
+    if n_blocks > 1:
+        # a hash deals the items evenly, so a block stays near block_bytes; sorted by block, a read of one skips the others' row groups
+        dealt = items.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks)))
+        items = written(dealt.repartition(n_blocks, "block").sortWithinPartitions("block"), "contained-items")
+    for k in range(0, n_blocks, PASS):
+        held = []
+        for b in range(k, min(n_blocks, k + PASS)):
+            own = (items.where(F.col("block") == b) if n_blocks > 1 else items).orderBy("item_id", "text").select("item_id", "text").toPandas()
+            held.append(Block([None if x != x else int(x) for x in own["item_id"].tolist()], own["text"].tolist(), threshold, size))
+        yield spark.sparkContext.broadcast(held)
 
 
 def without(docs: DataFrame, items: DataFrame, threshold: float = 0.8, size: int = 5, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """The rows, all columns, that contain no item; map-side, one pass of blocks after another."""
+    """The rows, all columns, that contain no item; map-side."""
     at = docs.columns.index(text_col)
-    for block in _blocks(items, threshold, size, item_id, item_text, block_bytes):
+    for sent in _passes(docs.sparkSession, items, threshold, size, item_id, item_text, block_bytes):
 
-        def run(batches: Iterator[pa.RecordBatch], block: Block = block) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], sent: Broadcast = sent) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                clean = [not found for found in _found(block, batch.column(at))]
+                clean = np.ones(batch.num_rows, bool)
+                for block in sent.value:
+                    clean &= np.array([not found for found in _found(block, batch.column(at))], bool)
                 yield batch.filter(pa.array(clean, pa.bool_()))
 
         docs = docs.mapInArrow(run, docs.schema)
@@ -124,10 +137,11 @@ def _found(block: Block, texts: pa.Array) -> Iterator[list[tuple[int, int, int]]
             yield block.search(np.unique(np.concatenate([v[so[r] : so[r + 1]] for v, so in parts])))
 
 
-def _searcher(block: Block):
+def _searcher(sent: Broadcast):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [(doc, block.ids[x], n, both, both / n) for doc, own in zip(batch.column(0).to_pylist(), _found(block, batch.column(1)), strict=True) for x, n, both in own]
+            ids = batch.column(0).to_pylist()
+            found = [(doc, block.ids[x], n, both, both / n) for block in sent.value for doc, own in zip(ids, _found(block, batch.column(1)), strict=True) for x, n, both in own]
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(c) if k > 1 else pa.array(c, pa.int64()) for k, c in enumerate(zip(*found, strict=True))], names=["doc_id", "item_id", "n_shingles", "n_shared", "containment"])
 
