@@ -9,6 +9,7 @@ from __future__ import annotations
 from ..plans.dialect import Group, Ols, across, at_lag, average_rank, div, lag, log, paren, root, rows, rows_full, so_far, where, within
 from ..sources.frames import INDEX, INDEX2
 
+#: Names of features, their windows and their thresholds are fixed values throughout.
 GROUPS: dict[str, Group] = {}
 RET = {"ret": f"close / nullif({lag('close')}, 0) - 1"}
 
@@ -63,10 +64,10 @@ add("momentum", "bars", [RET, {"up": where("ret IS NOT NULL", where("ret > 0", "
 
 W = (5, 10, 15, 20, 30, 60)
 add("momentum_consistency", "bars", [RET | {"t0": "t"}, {"sg": "sign(ret)", "flip": where(f"sign(ret) * sign({lag('ret')}) < 0", "1.0", "0.0")},
-    {f"{k}{w}": e for w in W for k, e in (("net", within("sum", "ret", w)), ("pos", within("sum", where("ret > 0", "1.0", "0.0"), w)), ("neg", within("sum", where("ret < 0", "1.0", "0.0"), w)), ("cnt", within("count", "ret", w)), ("flips", within("sum", "flip", w)),
+    {f"{k}{w}": e for w in W for k, e in (("net", f"close - {lag('close', w)}"), ("sum", within("sum", "ret", w)), ("pos", within("sum", where("ret > 0", "1.0", "0.0"), w)), ("neg", within("sum", where("ret < 0", "1.0", "0.0"), w)), ("cnt", within("count", "ret", w)), ("flips", within("sum", "flip", w)),
      ("near_s", within("sum", "ret", max(1, w // 2))), ("near_n", within("count", "ret", max(1, w // 2))))}],
-    per(W, ("consistent_direction_{w}m", lambda w: f"CASE WHEN cnt{w} = 0 THEN NULL WHEN net{w} > 0 THEN pos{w} / nullif(cnt{w}, 0) WHEN net{w} < 0 THEN neg{w} / nullif(cnt{w}, 0) ELSE 0.5 END"), ("reversal_count_{w}m", lambda w: f"flips{w} / {w}.0"),
-        ("momentum_acceleration_{w}m", lambda w: f"({div(f'near_s{w}', f'near_n{w}')} - {div(f'net{w} - near_s{w}', f'cnt{w} - near_n{w}')}) * 100")))
+    per(W, ("consistent_direction_{w}m", lambda w: f"CASE WHEN cnt{w} = 0 OR net{w} IS NULL THEN NULL WHEN net{w} > 0 THEN pos{w} / nullif(cnt{w}, 0) WHEN net{w} < 0 THEN neg{w} / nullif(cnt{w}, 0) ELSE 0.5 END"), ("reversal_count_{w}m", lambda w: where(f"cnt{w} > 0", f"flips{w} / {w}.0")),
+        ("momentum_acceleration_{w}m", lambda w: f"({div(f'near_s{w}', f'near_n{w}')} - {div(f'sum{w} - near_s{w}', f'cnt{w} - near_n{w}')}) * 100")))
 
 W = (5, 10, 15, 20, 30, 45, 60, 90, 120)
 add("efficiency", "bars", [{"step": f"abs(close - {lag('close')})"} | {f"b{w}": lag("close", w) for w in W}, {f"path{w}": within("sum", "step", w) for w in W}],
@@ -104,7 +105,7 @@ rel = lambda w: f"({div(resid[w].slope, resid[w].mean_y)})"
 pct = lambda w: f"({div(resid[w].residual_std, resid[w].mean_y)} * 100)"
 ols_group("clean_momentum", "bars", [TIME], resid,
     per(W, ("clean_momentum_score_{w}m", lambda w: f"0.4 * CASE WHEN abs({rel(w)}) / 0.001 < 1 THEN abs({rel(w)}) / 0.001 ELSE 1.0 END + 0.3 * {paren(resid[w].r2)} + 0.3 * CASE WHEN {pct(w)} < 0.5 THEN 1 - {pct(w)} / 0.5 ELSE 0.0 END + 0 * {pct(w)} + 0 * {rel(w)}"),
-        ("momentum_quality_flag_{w}m", lambda w: where(f"{rel(w)} > 0.0002 AND {paren(resid[w].r2)} > 0.7 AND {pct(w)} < 0.3", "1", "0"))), digits=5)
+        ("momentum_quality_flag_{w}m", lambda w: where(f"{pct(w)} IS NOT NULL", where(f"abs({rel(w)}) > 0.0002 AND {paren(resid[w].r2)} > 0.7 AND {pct(w)} < 0.3", "1", "0")))), digits=5)
 
 W = (3, 5, 10, 15, 20, 30, 45, 60, 90, 120)
 pv = {w: Ols("pv", "ret", "volume", w) for w in W}
@@ -115,8 +116,8 @@ ols_group("price_volume", "bars", [RET | TIME, {"mfm": where("high > low", "((cl
         ("buying_pressure_{w}m", lambda w: div(f"bp{w}", f"v{w}")), ("pv_correlation_{w}m", lambda w: pv[w].corr), ("obv_slope_{w}m", lambda w: div(obv[w].slope, f"v{w} / {obv[w].p}_n"))), digits=5)
 
 down, upv = where("close < open", "volume", "0.0"), where("close > open", "volume", "0.0")
-add("volume_exhaustion", "bars", [{f"{k}{w}": e for w in (5, 10, 15, 30, 60) for k, e in (("d", within("sum", down, w)), ("u", within("sum", upv, w)), ("s", within("sum", "volume", w)), ("m", within("avg", "volume", w)))}],
-    per((5, 15, 30, 60), ("vol_down_up_ratio_{w}m", lambda w: where(f"u{w} > 1e-9 * s{w}", f"d{w} / u{w}")), ("vol_dryup_{w}m", lambda w: div("volume", f"m{w}"))) | {f"vol_contraction_{a}_{b}m": div(f"m{a}", f"m{b}") for a, b in ((5, 30), (10, 60))})
+add("volume_exhaustion", "bars", [{f"{k}{w}": e for w in (5, 10, 15, 30, 60) for k, e in (("d", within("sum", down, w)), ("u", within("sum", upv, w)), ("m", within("avg", "volume", w)))}],
+    per((5, 15, 30, 60), ("vol_down_up_ratio_{w}m", lambda w: where(f"u{w} > 1e-9 * (u{w} + d{w})", f"d{w} / u{w}")), ("vol_dryup_{w}m", lambda w: div("volume", f"m{w}"))) | {f"vol_contraction_{a}_{b}m": div(f"m{a}", f"m{b}") for a, b in ((5, 30), (10, 60))})
 
 leads = {(k, w): Ols(f"vl{k}", f"v{k}", "ret", w) for k in (1, 2, 3, 5) for w in (15, 30, 60)}
 ols_group("volume_leads_price", "bars", [RET | {f"v{k}": lag("volume", k) for k in (1, 2, 3, 5)}], leads, {f"vol_leads_corr_lag{k}_{w}m": o.corr for (k, w), o in leads.items()}, digits=5)
@@ -161,14 +162,26 @@ breadth_out = lambda tags: {k: v for g in tags for k, v in {f"breadth_up_{g}": f
 tags = {f"{w}m": f"r{w}" for w in B3}
 add("breadth", "bars", [LAGS, *breadth_layers(tags)], breadth_out(tags))
 dtags = {f"{w}d": f"d{w}" for w in (1, 5)}
-add("breadth_daily", "daily", [{f"d{w}": div("close", lag("close", w)) + " - 1" for w in (1, 5)}, *breadth_layers(dtags)], breadth_out(dtags))
+#: Daily returns as of yesterday's close, the last that a minute of the day knows.
+AS_OF = [{"known": lag("close")}, {f"d{w}": div("known", lag("known", w)) + " - 1" for w in (1, 5)}]
+add("breadth_daily", "daily", [*AS_OF, *breadth_layers(dtags)], breadth_out(dtags))
 add("sector_return", "bars", [LAGS, {f"sec{w}": across("avg", f"r{w}", "t, sector") for w in W}], per(W, ("sector_return_{w}m", lambda w: f"sec{w}"), ("sector_excess_{w}m", lambda w: f"r{w} - sec{w}")))
 sb = {w: Ols("sb", "sec", "own", w) for w in (15, 30, 60)}
 enough = lambda w, e: where(f"{sb[w].p}_n >= 5", e)
 ols_group("sector_beta", "bars", [{"own": div("close", at_lag("close", 1)) + " - 1"}, {"sec": across("avg", "own", "t, sector")}], sb, per(sb, ("sector_beta_{w}m", lambda w: enough(w, capped(sb[w].slope))), ("sector_corr_{w}m", lambda w: enough(w, clip(paren(sb[w].corr))))), digits=5)
 add("peer_relative", "bars", [LAGS], per((5, 15, 30), ("peer_relative_ret_{w}m", lambda w: f"r{w} - {across('avg', f'r{w}', 't, cluster_id')}")))
-NEAR = lambda x, q: f"[[element_at(sort_array(array_compact(collect_list({x}) OVER (PARTITION BY t))), CAST(floor({q} * (count({x}) OVER (PARTITION BY t) - 1) + 0.5) AS int) + 1)::list_extract(list_sort(list({x}) FILTER ({x} IS NOT NULL) OVER (PARTITION BY t)), CAST(floor({q} * (count({x}) OVER (PARTITION BY t) - 1) + 0.5) AS INT) + 1)]]"
-add("return_dispersion", "bars", [LAGS], {f"return_dispersion_std_{w}m": across("stddev_samp", f"r{w}") for w in B3} | {f"return_dispersion_iqr_{w}m": where(across("count", f"r{w}") + " > 0", f"{NEAR(f'r{w}', 0.75)} - {NEAR(f'r{w}', 0.25)}") for w in B3})
+#: The nearest-rank quantile of a cross-section, by place: a number a row, no list.
+place = lambda x: f"row_number() OVER (PARTITION BY t, {x} IS NULL ORDER BY {x})"
+nearest = lambda x, q: across("max", where(f"{x} IS NOT NULL AND {x}_k = floor({q} * ({x}_n - 1) + 0.5) + 1", x))
+
+
+def dispersion(name: str, frame: str, before: list[dict], tags: dict[str, str]) -> None:
+    add(name, frame, [*before, {f"{x}_{k}": e for x in tags.values() for k, e in (("k", place(x)), ("n", across("count", x)))}, {f"{x}_{k}": nearest(x, q) for x in tags.values() for k, q in (("hi", 0.75), ("lo", 0.25))}],
+        {k: v for g, x in tags.items() for k, v in {f"return_dispersion_std_{g}": across("stddev_samp", x), f"return_dispersion_iqr_{g}": f"{x}_hi - {x}_lo"}.items()})
+
+
+dispersion("return_dispersion", "bars", [LAGS], tags)
+dispersion("return_dispersion_daily", "daily", AS_OF, dtags)
 pr = lambda x: where(f"count({x}) OVER (PARTITION BY t) >= 2", f"({average_rank(x)} - 1) / nullif(count({x}) OVER (PARTITION BY t) - 1, 0)")
 add("cross_sectional_rank", "bars", [LAGS | {"dvol": "close * volume"}], per(W, ("return_rank_{w}m", lambda w: pr(f"r{w}"))) | {"volume_rank_1m": pr("volume"), "dollar_volume_rank_1m": pr("dvol")})
 
@@ -207,23 +220,29 @@ add("prior_day", "daily", [{"ph": lag("high"), "pl": lag("low"), "pc": lag("clos
 
 # --- session-cumulative -----------------------------------------------------------------------------------------
 S = "symbol, session, rth"
-RTH = {"rth": "minute_et >= 540 AND minute_et < 960"}
+#: From the open at 9:30 on; what has an end of its own says so.
+RTH = {"rth": "minute_et >= 570"}
 in_rth = lambda e: where("rth", e)
 
 
+#: Prior closes of names that move so, and the move that makes one active; fixed values.
+BAND, ACTIVE = (2, 20), 0.3
+
+
 def mover(name: str, prefix: str, agg: str, price: str, sign: str, rename: dict[str, str]) -> None:
-    early = f"{sign}({div('ext', 'prev_close')} - 1)"
+    early, band = f"{sign}({div('ext', 'prev_close')} - 1)", f"prev_close >= {BAND[0]} AND prev_close <= {BAND[1]}"
     add(name, "sessions", [RTH, {"ext": so_far(agg, price, S), "dv": so_far("sum", "close * volume", S), "o0": f"first_value(open) OVER (PARTITION BY {S} ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"}],
         {f"{prefix}_{rename['move']}": in_rth(f"{div('ext', 'prev_close')} - 1"), f"{prefix}_gap_open": in_rth(f"{div('o0', 'prev_close')} - 1"), f"{prefix}_{rename['back']}": in_rth(f"{div('close', 'ext')} - 1"), f"{prefix}_log_dollar_vol": in_rth("ln(1 + dv)"),
-         f"{prefix}_in_band": in_rth(f"CASE WHEN prev_close IS NOT NULL THEN CASE WHEN close >= 2 AND close <= 20 THEN 1 ELSE 0 END END"), f"{prefix}_is_active": in_rth(f"CASE WHEN {early} IS NOT NULL THEN CASE WHEN {early} >= 0.3 THEN 1 ELSE 0 END END")})
+         f"{prefix}_in_band": in_rth(f"CAST(({band}) AS int)"), f"{prefix}_is_active": in_rth(f"CAST(({band} AND {early} >= {ACTIVE}) AS int)")})
 
 
 mover("runner_state", "runner", "max", "high", "", {"move": "early_move", "back": "pullback_from_high"})
 mover("dumper_state", "dumper", "min", "low", "-", {"move": "early_drop", "back": "bounce_from_low"})
 FILL = where("abs(prev_close - o0) > 1e-9", "(close - o0) / nullif(prev_close - o0, 0)")
 add("gap_fill_state", "sessions", [RTH, {"o0": f"first_value(open) OVER (PARTITION BY {S} ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"}], {"gap_fill_fraction": in_rth(FILL), "gap_extended": in_rth(f"CASE WHEN {FILL} IS NOT NULL THEN CASE WHEN {FILL} < 0 THEN 1 ELSE 0 END END")})
-BUCKET = f"1 + 0.5 * abs(minute_et - 750) / 210.0"
-add("intraday_seasonality", "sessions", [RTH, {"base": BUCKET, "cumv": so_far("avg", "volume", S)}], {"absret_vs_tod": in_rth(div("abs(close / nullif(open, 0) - 1)", "0.001 * base")), "volume_vs_tod": in_rth(div("volume", "cumv * base"))})
+#: Typical moves and volume shape of each clock bucket come with the frame, fitted on earlier sessions only.
+OPEN_HOURS = "minute_et >= 570 AND minute_et < 960"
+add("intraday_seasonality", "clock", [{"rth": OPEN_HOURS}, {"cumv": so_far("avg", "volume", S)}], {"absret_vs_tod": in_rth(where("baseline_absret > 0", "abs(close / nullif(open, 0) - 1) / baseline_absret")), "volume_vs_tod": in_rth(where("cumv > 0 AND vol_shape > 0", "volume / (cumv * vol_shape)"))})
 
 # --- pointwise --------------------------------------------------------------------------------------------------
 flag = lambda cond: f"CASE WHEN {cond} THEN 1 ELSE 0 END"
@@ -243,7 +262,9 @@ UP = "[[aggregate(path, named_struct('m', CAST(1e300 AS double), 'd', CAST(0 AS
 add("draw_range", "bars", [{"path": PATH, "n": within("count", "close", 60)}, {"dd": where("n >= 2", DOWN), "du": where("n >= 2", UP)}], {"draw_range_60m": "du - dd", "max_drawup_60m": "du", "max_drawdown_60m": "-dd"})
 # runs of one sign: the run's start, cut by the window's start
 W = (5, 10, 15, 20, 30, 60)
-add("longest_streak", "bars", [RET, {"sg": "sign(ret)"}, {"new": where(f"sg = {lag('sg')}", "0", "1"), "i": "row_number() OVER (PARTITION BY symbol ORDER BY t)"}, {"run": so_far("sum", "new", "symbol")}, {"pos": "row_number() OVER (PARTITION BY symbol, run ORDER BY t)"},
-    {f"l{w}": f"[[sort_array(collect_list(CASE WHEN sg IS NOT NULL THEN struct(run, pos) END) OVER (PARTITION BY symbol ORDER BY t RANGE BETWEEN {w - 1} PRECEDING AND CURRENT ROW))::list(run) FILTER (sg IS NOT NULL) OVER (PARTITION BY symbol ORDER BY t RANGE BETWEEN {w - 1} PRECEDING AND CURRENT ROW)]]" for w in W},
-    {f"s{w}": f"[[array_max(transform(array_distinct(transform(l{w}, x -> x.run)), r -> size(filter(l{w}, x -> x.run = r))))::list_max(list_transform(list_distinct(l{w}), lambda r: len(list_filter(l{w}, lambda x: x = r))))]]" for w in W}],
+STREAK = "PARTITION BY symbol ORDER BY t"
+# a row's run, cut where the window starts, ends at the row: at most so many rows as the run has so far or the window holds
+add("longest_streak", "bars", [RET, {"sg": "sign(ret)"}, {"new": where(f"sg = {lag('sg')}", "0", "1"), "i": f"row_number() OVER ({STREAK})"}, {"run": so_far("sum", "new", "symbol")}, {"pos": "row_number() OVER (PARTITION BY symbol, run ORDER BY t)"},
+    {f"{k}{w}": e for w in W for k, e in (("path", f"[[transform(filter(sort_array(collect_list(struct(i, pos, sg)) OVER ({STREAK} RANGE BETWEEN {w - 1} PRECEDING AND CURRENT ROW)), x -> x.sg IS NOT NULL), (x, k) -> CAST(least(x.pos, k + 1) AS bigint))::list(CAST(pos AS BIGINT) ORDER BY i) FILTER (sg IS NOT NULL) OVER ({STREAK} RANGE BETWEEN {w - 1} PRECEDING AND CURRENT ROW)]]"),)},
+    {f"s{w}": f"[[array_max(path{w})::list_max(list_transform(range(1, len(path{w}) + 1), lambda k: least(path{w}[k], k)))]]" for w in W}],
     per(W, ("longest_streak_{w}m", lambda w: where(f"{within('count', 'ret', w)} >= 2", f"s{w} / {w}.0"))))

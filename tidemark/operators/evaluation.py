@@ -2,59 +2,97 @@
 
 from __future__ import annotations
 
-from ..sources.frames import BARS, DAILY
+from ..sources.frames import BARS, DAILY, TAPE_QUOTES, lexicon_score
+from .ticks import half_spread_at
 
 N = 1.7e-10
 r = lambda e, d=6: f"round(CAST({e} AS double) + {N}, {d})"
 PCT = lambda p, x: f"[[percentile({x}, {p})::quantile_cont({x}, {p})]]"
 WS = "PARTITION BY symbol ORDER BY t"
-#: Names a cross-section must have, and the least price of both legs.
+#: The given tables have 20 symbols, few of them on one day, so queries ask for less breadth than the defaults below.
 NAMES, FLOOR = 5, 1.0
 RANK = lambda x, p: f"(rank() OVER (PARTITION BY {p} ORDER BY {x}) + (count(*) OVER (PARTITION BY {p}, {x}) - 1) / 2.0)"
-PANEL = f"SELECT symbol, sector, t, close, open, volume, open / nullif(lag(close) OVER ({WS}), 0) - 1 AS pred, lead(close) OVER ({WS}) / nullif(close, 0) - 1 AS realized, (high - low) / nullif(close, 0) * 100 AS half_spread_bps FROM ({DAILY}) d0"
-LIVE = f"SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY t) AS names FROM ({PANEL}) p0 WHERE pred IS NOT NULL AND realized IS NOT NULL) p1 WHERE names >= {NAMES}"
+PANEL = f"SELECT symbol, sector, t, close, open, volume, open / nullif(lag(close) OVER ({WS}), 0) - 1 AS pred, lead(close) OVER ({WS}) / nullif(close, 0) - 1 AS realized, lead(close) OVER ({WS}) AS ahead, (high - low) / nullif(close, 0) * 100 AS half_spread_bps FROM ({DAILY}) d0"
+
+
+def live(panel: str = PANEL, names: int = 20, floor: float = 1.0) -> str:
+    """The panel's rows with a signal and a return between two prices of at least `floor`, in cross-sections of at least `names`."""
+    return f"SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY t) AS names FROM ({panel}) p0 WHERE pred IS NOT NULL AND realized IS NOT NULL AND close >= {floor} AND ahead >= {floor}) p1 WHERE names >= {names}"
+
+
+def excess_median(panel: str = PANEL, names: int = 20, floor: float = 1.0) -> str:
+    """Returns less the cross-section's median."""
+    return f"WITH p AS ({live(panel, names, floor)}), m AS (SELECT t, {PCT(0.5, 'realized')} AS mid FROM p GROUP BY t) SELECT p.symbol, p.t, {r('realized - mid')} AS excess FROM p JOIN m ON p.t = m.t"
+
+
+def excess_mean(panel: str = PANEL, names: int = 20, floor: float = 1.0) -> str:
+    return f"SELECT symbol, t, {r('realized - avg(realized) OVER (PARTITION BY t)')} AS excess FROM ({live(panel, names, floor)}) p"
+
+
+def excess_winsor(panel: str = PANEL, names: int = 20, floor: float = 1.0, tail: float = 0.005) -> str:
+    """Returns clipped to the cross-section's tails, less the median of what that gives."""
+    return f"""
+WITH p AS ({live(panel, names, floor)}), q AS (SELECT t, {PCT(tail, 'realized')} AS lo, {PCT(1 - tail, 'realized')} AS hi FROM p GROUP BY t),
+c AS (SELECT p.symbol, p.t, least(greatest(realized, lo), hi) AS x FROM p JOIN q ON p.t = q.t), m AS (SELECT t, {PCT(0.5, 'x')} AS mid FROM c GROUP BY t)
+SELECT c.symbol, c.t, {r('x - mid')} AS excess FROM c JOIN m ON c.t = m.t"""
+
+
+def upper_tail(z: str) -> str:
+    """P(Z > z) of the normal distribution, 0.5 erfc(z / sqrt 2), by a rational approximation that is right to 1e-7."""
+    x = f"(abs({z}) / sqrt(2.0))"
+    k = f"(1 / (1 + 0.3275911 * {x}))"  # fixed values, as the five below
+    half = f"(0.5 * {k} * (0.254829592 + {k} * (-0.284496736 + {k} * (1.421413741 + {k} * (-1.453152027 + {k} * 1.061405429)))) * exp(-{x} * {x}))"
+    return f"CASE WHEN {z} >= 0 THEN {half} ELSE 1 - {half} END"
+
+
+LIVE = live(names=NAMES, floor=FLOOR)
 
 QUERIES: dict[str, str] = {}
 ahead = lambda x, h: f"max({x}) OVER ({WS} RANGE BETWEEN {h} FOLLOWING AND {h} FOLLOWING)"
 QUERIES["fwd_return_exact"] = f"SELECT symbol, t, {', '.join(r(f'{ahead('close', h)} / nullif(close, 0) - 1') + f' AS fwd_{h}' for h in (1, 5, 30))} FROM ({BARS}) b"
 QUERIES["overnight_return"] = f"SELECT symbol, t, {r(f'lead(open) OVER ({WS}) / nullif(close, 0) - 1')} AS overnight FROM ({DAILY}) d"
 QUERIES["ratio_with_floor"] = f"SELECT symbol, t, {r(f'CASE WHEN close >= {FLOOR} AND lead(close) OVER ({WS}) >= {FLOOR} THEN lead(close) OVER ({WS}) / close - 1 END')} AS label FROM ({DAILY}) d"
-QUERIES["xs_excess_median"] = f"WITH p AS ({LIVE}), m AS (SELECT t, {PCT(0.5, 'realized')} AS mid FROM p GROUP BY t) SELECT p.symbol, p.t, {r('realized - mid')} AS excess FROM p JOIN m ON p.t = m.t"
-QUERIES["xs_excess_mean"] = f"SELECT symbol, t, {r('realized - avg(realized) OVER (PARTITION BY t)')} AS excess FROM ({LIVE}) p"
+QUERIES["xs_excess_median"] = excess_median(names=NAMES)
+QUERIES["xs_excess_mean"] = excess_mean(names=NAMES)
 QUERIES["daily_fwd_k"] = f"SELECT symbol, t, {', '.join(r(f'lead(close, {k}) OVER ({WS}) / nullif(close, 0) - 1') + f' AS fwd_{k}d' for k in (1, 5, 20))} FROM ({DAILY}) d"
-QUERIES["winsor_excess"] = f"""
-WITH p AS ({LIVE}), q AS (SELECT t, {PCT(0.005, 'realized')} AS lo, {PCT(0.995, 'realized')} AS hi FROM p GROUP BY t),
-c AS (SELECT p.symbol, p.t, least(greatest(realized, lo), hi) AS x FROM p JOIN q ON p.t = q.t), m AS (SELECT t, {PCT(0.5, 'x')} AS mid FROM c GROUP BY t)
-SELECT c.symbol, c.t, {r('x - mid')} AS excess FROM c JOIN m ON c.t = m.t"""
+QUERIES["winsor_excess"] = excess_winsor(names=NAMES)
 QUERIES["daily_panel_reduce"] = f"SELECT symbol, CAST(floor(t / 24) AS bigint) AS day, max(CASE WHEN t % 24 BETWEEN 9 AND 15 THEN high END) AS rth_high, min(CASE WHEN t % 24 BETWEEN 9 AND 15 THEN low END) AS rth_low, sum(CASE WHEN t % 24 BETWEEN 9 AND 15 THEN volume END) AS rth_volume, {r('sum(CASE WHEN t % 24 BETWEEN 9 AND 15 THEN close * volume END)', 3)} AS rth_dollar, max(CASE WHEN t % 24 = 9 THEN close END) AS close_open, max(CASE WHEN t % 24 = 15 THEN close END) AS close_last FROM ({BARS}) b GROUP BY symbol, CAST(floor(t / 24) AS bigint)"
 back = lambda k: f"close / nullif(lag(close, {k}) OVER ({WS}), 0) - 1"
 roll = lambda f, x, n: f"{f}({x}) OVER ({WS} ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW)"
+#: A day's dollars from which a name can be entered, the half spread that a name's dollars stand for, and that of names without quotes; fixed values.
+ENTERABLE, DEFAULT_HALF = 50000.0, 3.0
+SPREAD_PROXY = "greatest(1.5, least(25.0, 12.0 - 2.1 * greatest(0.0, least(5.0, ln(1 + dollar20) / 2.302585 - 4.0))))"
 QUERIES["daily_panel_features"] = f"""
 WITH a AS (SELECT *, close / nullif(lag(close) OVER ({WS}), 0) - 1 AS r1, row_number() OVER ({WS}) AS n FROM ({DAILY}) d),
-b AS (SELECT symbol, t, n, close, r1, {', '.join(f'{back(k)} AS r{k}' for k in (2, 5, 10, 20))}, {roll('stddev_samp', 'r1', 20)} AS vol20, {roll('avg', 'volume', 20)} AS adv20, {roll('max', 'high', 20)} AS hi20, {roll('min', 'low', 20)} AS lo20, {roll('avg', 'close', 20)} AS sma20, (high - low) / nullif(close, 0) AS range1, lead(close) OVER ({WS}) / nullif(close, 0) - 1 AS fwd1, abs(lead(close) OVER ({WS}) / nullif(close, 0) - 1) AS mag1 FROM a)
-SELECT symbol, t, {', '.join(r(e, 5) + f' AS {n}' for n, e in {'r1': 'r1', 'r2': 'r2', 'r5': 'r5', 'r10': 'r10', 'r20': 'r20', 'vol20': 'vol20', 'log_adv': 'ln(1 + adv20)', 'dist_hi': 'close / nullif(hi20, 0) - 1', 'dist_lo': 'close / nullif(lo20, 0) - 1', 'dist_sma': 'close / nullif(sma20, 0) - 1', 'range1': 'range1', 'fwd1': 'fwd1', 'mag1': 'mag1'}.items())}, CASE WHEN sma20 < close THEN 1 ELSE 0 END AS regime FROM b WHERE n >= 21 AND close >= {FLOOR}"""
+b AS (SELECT symbol, t, n, close, r1, {', '.join(f'{back(k)} AS r{k}' for k in (2, 5, 10, 20))}, {roll('stddev_samp', 'r1', 20)} AS vol20, {roll('avg', 'volume', 20)} AS adv20, {roll('avg', 'close * volume', 20)} AS dollar20, close * volume AS dollar1, {roll('max', 'high', 20)} AS hi20, {roll('min', 'low', 20)} AS lo20, {roll('avg', 'close', 20)} AS sma20, (high - low) / nullif(close, 0) AS range1, lead(close) OVER ({WS}) / nullif(close, 0) - 1 AS fwd1, abs(lead(close) OVER ({WS}) / nullif(close, 0) - 1) AS mag1 FROM a)
+SELECT symbol, t, {', '.join(r(e, 5) + f' AS {n}' for n, e in {'r1': 'r1', 'r2': 'r2', 'r5': 'r5', 'r10': 'r10', 'r20': 'r20', 'vol20': 'vol20', 'log_adv': 'ln(1 + adv20)', 'dist_hi': 'close / nullif(hi20, 0) - 1', 'dist_lo': 'close / nullif(lo20, 0) - 1', 'dist_sma': 'close / nullif(sma20, 0) - 1', 'range1': 'range1', 'fwd1': 'fwd1', 'mag1': 'mag1', 'half_spread_bps': SPREAD_PROXY}.items())}, CASE WHEN sma20 < close THEN 1 ELSE 0 END AS regime FROM b WHERE n >= 21 AND close >= {FLOOR} AND dollar1 >= {ENTERABLE}"""
+#: The cost is the half spread measured on the tape, else half the bar's mean spread, else the default.
 QUERIES["intraday_panel"] = f"""
-WITH f AS (SELECT symbol, t, close / nullif(lag(close) OVER ({WS}), 0) - 1 AS feature FROM ({BARS}) b), k AS (SELECT DISTINCT symbol, t FROM f WHERE t % 24 BETWEEN 9 AND 21)
-SELECT b.symbol, b.t, {r('f.feature')} AS feature, {r('coalesce(CASE WHEN b.n_trades > 1 THEN (b.high - b.low) / nullif(b.close, 0) * 5000 END, CASE WHEN b.volume > 50 THEN b.volume / 2 END, 3.0)')} AS cost_bps
-FROM ({BARS}) b JOIN k ON b.symbol = k.symbol AND b.t = k.t JOIN f ON b.symbol = f.symbol AND b.t = f.t"""
+WITH b AS (SELECT symbol, t, close, volume, close / nullif(lag(close) OVER ({WS}), 0) - 1 AS feature FROM ({BARS}) b0), h AS ({half_spread_at(f"SELECT symbol, t * 3600000000 AS us FROM ({BARS}) e0", TAPE_QUOTES, window_us=86_400_000_000)}),
+q AS (SELECT symbol, t, avg(CASE WHEN bid + ask > 0 AND ask >= bid THEN (ask - bid) / ((ask + bid) / 2) * 10000 END) AS spread FROM ({TAPE_QUOTES}) z0 GROUP BY symbol, t)
+SELECT b.symbol, b.t, {r('b.feature')} AS feature, {r(f'coalesce(h.half_spread_bps, q.spread / 2.0, {DEFAULT_HALF})', 4)} AS cost_bps
+FROM b LEFT JOIN h ON b.symbol = h.symbol AND h.us = b.t * 3600000000 LEFT JOIN q ON b.symbol = q.symbol AND b.t = q.t WHERE b.t % 24 BETWEEN 9 AND 21"""
 H = 5
 look = lambda f, x: f"{f}({x}) OVER ({WS} ROWS BETWEEN 1 FOLLOWING AND {H} FOLLOWING)"
 hit = " ".join(f"WHEN h{k} >= close * 1.05 AND l{k} <= close * 0.95 THEN -1 WHEN h{k} >= close * 1.05 THEN 1 WHEN l{k} <= close * 0.95 THEN -1" for k in range(1, H + 1))
 QUERIES["triple_barrier"] = f"SELECT symbol, t, CASE WHEN h{H} IS NULL THEN NULL {hit} ELSE 0 END AS label FROM (SELECT symbol, t, close, {', '.join(f'lead(high, {k}) OVER ({WS}) AS h{k}, lead(low, {k}) OVER ({WS}) AS l{k}' for k in range(1, H + 1))} FROM ({DAILY}) d) x"
 QUERIES["fwd_max_runup"] = f"SELECT symbol, t, {r(look('max', 'high') + ' / nullif(close, 0) - 1')} AS runup FROM ({DAILY}) d"
-#: Half-even rounding of i * size / folds, as integer arithmetic.
+#: Half-even rounding of k * size / 6, as integer arithmetic: where each block of periods starts.
+start = lambda k: f"(CAST(floor({k} * n / 6) AS bigint) + CASE WHEN {k} * n % 6 > 3 OR ({k} * n % 6 = 3 AND CAST(floor({k} * n / 6) AS bigint) % 2 = 1) THEN 1 ELSE 0 END)"
+PURGED = 5
 QUERIES["walk_forward_folds"] = f"""
 WITH d AS (SELECT t, row_number() OVER (ORDER BY t) - 1 AS i, count(*) OVER () AS n FROM (SELECT DISTINCT t FROM ({LIVE}) p) x),
-f AS (SELECT t, i, n, CAST(least(5, floor(i * 6.0 / n)) AS int) AS fold FROM d), b AS (SELECT fold, min(t) AS test_start, max(t) AS test_end, count(*) AS n_test FROM f WHERE fold >= 1 GROUP BY fold)
-SELECT b.fold, b.test_start, b.test_end, b.n_test, count(CASE WHEN f.t <= b.test_start - 5 THEN 1 END) AS n_train FROM b CROSS JOIN f GROUP BY b.fold, b.test_start, b.test_end, b.n_test"""
+f AS (SELECT t, i, n, {' + '.join(f'CASE WHEN i >= {start(k)} THEN 1 ELSE 0 END' for k in range(1, 6))} AS fold FROM d), b AS (SELECT fold, min(t) AS test_start, max(t) AS test_end, count(*) AS n_test FROM f WHERE fold >= 1 GROUP BY fold)
+SELECT b.fold, b.test_start, b.test_end, b.n_test, count(CASE WHEN f.t <= b.test_start - {PURGED} THEN 1 END) AS n_train FROM b CROSS JOIN f GROUP BY b.fold, b.test_start, b.test_end, b.n_test"""
 RANKED = f"SELECT *, {RANK('pred', 't')} AS rp, {RANK('realized', 't')} AS rr FROM ({LIVE}) l"
 IC = f"SELECT t, count(*) AS n, (avg(rp * rr) - avg(rp) * avg(rr)) / nullif(sqrt(avg(rp * rp) - avg(rp) * avg(rp)) * sqrt(avg(rr * rr) - avg(rr) * avg(rr)), 0) AS ic FROM ({RANKED}) q GROUP BY t"
 QUERIES["rank_ic_ts"] = f"SELECT t, n, {r('ic')} AS ic FROM ({IC}) q"
 QUERIES["mean_ic"] = f"SELECT {r('avg(ic)')} AS mean_ic, count(ic) AS n FROM ({IC}) q"
-QUERIES["newey_west_t"] = f"""
-WITH i AS (SELECT row_number() OVER (ORDER BY t) AS k, ic - avg(ic) OVER () AS e, ic FROM ({IC}) q WHERE ic IS NOT NULL), n AS (SELECT CAST(count(*) AS double) AS n, avg(ic) AS m, sum(e * e) / count(*) AS g0 FROM i),
-g AS (SELECT b.k - a.k AS l, sum(a.e * b.e) AS s FROM i a JOIN i b ON b.k > a.k AND b.k <= a.k + 5 GROUP BY b.k - a.k)
-SELECT {r('max(m) / sqrt((max(g0) + 2 * sum((1 - l / 6.0) * s / n)) / max(n))', 4)} AS t_stat, CAST(max(n) AS bigint) AS n FROM n CROSS JOIN g"""
+#: Bartlett weights on the autocovariances of five lags, each from one window over the periods.
+NEWEY = f"""
+WITH i AS (SELECT t, ic - avg(ic) OVER () AS e, ic FROM ({IC}) q WHERE ic IS NOT NULL), l AS (SELECT ic, e, {', '.join(f'lag(e, {k}) OVER (ORDER BY t) AS e{k}' for k in range(1, 6))} FROM i)
+SELECT avg(ic) / nullif(sqrt((sum(e * e) + 2 * ({' + '.join(f'{1 - k / 6} * coalesce(sum(e * e{k}), 0)' for k in range(1, 6))})) / count(*) / count(*)), 0) AS t_stat, count(*) AS n FROM l"""
+QUERIES["newey_west_t"] = f"SELECT {r('t_stat', 4)} AS t_stat, n FROM ({NEWEY}) z"
 BOOK = f"""
 SELECT *, CASE WHEN top <= k AND names >= 2 * k THEN 1.0 / k WHEN bottom <= k AND names >= 2 * k THEN -1.0 / k ELSE 0.0 END AS w
 FROM (SELECT *, greatest(1, CAST(floor(0.2 * names) AS int)) AS k, row_number() OVER (PARTITION BY t ORDER BY pred DESC, symbol) AS top, row_number() OVER (PARTITION BY t ORDER BY pred, symbol) AS bottom FROM ({LIVE}) l) z"""
@@ -75,7 +113,7 @@ SELECT {r('sum(s - p * (p + 1) / 2) / nullif(sum(p * q), 0)')} AS auc, CAST(sum(
 QUERIES["by_fdr"] = f"""
 WITH i AS (SELECT symbol, CAST(count(*) AS double) AS n, avg(realized) / nullif(stddev_samp(realized) / sqrt(count(*)), 0) AS tt FROM ({LIVE}) l GROUP BY symbol),
 p AS (SELECT symbol, tt, row_number() OVER (ORDER BY tt DESC, symbol) AS k, count(*) OVER () AS m FROM i), c AS (SELECT sum(1.0 / k) AS cm FROM p),
-q AS (SELECT symbol, k, m, cm, {r("exp(-0.717 * greatest(tt, 0) - 0.416 * greatest(tt, 0) * greatest(tt, 0)) / 2", 9)} AS p FROM p CROSS JOIN c)
+q AS (SELECT symbol, k, m, cm, {upper_tail('tt')} AS p FROM p CROSS JOIN c)
 SELECT symbol, k, {r('p')} AS p_value, {r('least(1, min(p * m * cm / k) OVER (ORDER BY k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))')} AS q_value FROM q"""
 QUERIES["partial_own_vol"] = f"""
 WITH v AS (SELECT *, {RANK('half_spread_bps', 't')} AS rv, {RANK('pred', 't')} AS rp, {RANK('realized', 't')} AS rr FROM ({LIVE}) l),
@@ -85,10 +123,23 @@ SELECT t, {r('(avg(res * rr) - avg(res) * avg(rr)) / nullif(sqrt(CASE WHEN avg(r
 TERC = f"SELECT *, row_number() OVER (PARTITION BY t ORDER BY pred, symbol) AS pos FROM ({LIVE}) l"
 QUERIES["terciles"] = f"SELECT symbol, t, CAST(CASE WHEN pos * 3 <= names THEN 0 WHEN pos * 3 <= 2 * names THEN 1 ELSE 2 END AS int) AS tercile FROM ({TERC}) z WHERE names >= 3"
 QUERIES["stratify"] = f"SELECT CASE WHEN mkt > 0 THEN 'up' ELSE 'down' END AS regime, lt AS liquidity, count(*) AS n, {r('avg(realized)')} AS mean_return FROM (SELECT *, avg(realized) OVER (PARTITION BY t) AS mkt, CAST(floor((row_number() OVER (PARTITION BY t ORDER BY volume, symbol) - 1) * 3.0 / names) AS int) AS lt FROM ({LIVE}) l) z GROUP BY 1, 2"
-QUERIES["verdict_gates"] = f"SELECT {r('ic')} AS ic, {r('edge')} AS edge, CASE WHEN ic >= 0.01 AND edge >= 0.01 THEN 'pass' ELSE 'fail' END AS verdict FROM (SELECT avg(ic) AS ic, avg(ic) / nullif(stddev_samp(ic), 0) AS edge FROM ({IC}) q) z"
 QUERIES["label_transforms"] = f"SELECT symbol, t, {r('2 * (row_number() OVER (PARTITION BY t ORDER BY realized, symbol) - 1) / nullif(names - 1.0, 0) - 1')} AS rank_label, CAST(floor(31.0 * (row_number() OVER (PARTITION BY t ORDER BY realized, symbol) - 1) / names) AS int) AS relevance, {r('realized / greatest(half_spread_bps / 100, 0.001)')} AS vol_scaled FROM ({LIVE}) l"
 QUERIES["decision_cores"] = f"SELECT symbol, t, {r('1 / (1 + exp(greatest(-50, least(50, 400 * dev))))')} AS vwap_reversion, {r('1 / (1 + exp(greatest(-50, least(50, -200 * mom))))')} AS momentum FROM (SELECT symbol, t, close / nullif(vwap, 0) - 1 AS dev, close / nullif(lag(close) OVER ({WS}), 0) - 1 AS mom FROM ({DAILY}) d) z"
-POS = ["good", "great", "up", "the", "and"]
-NEG = ["bad", "loss", "down", "of", "to"]
-QUERIES["lexicon_sentiment"] = f"SELECT doc_id, {r('CASE WHEN p + n > 0 THEN (p - n) * 1.0 / (p + n) ELSE 0 END')} AS sentiment FROM (SELECT doc_id, {' + '.join(f'''CASE WHEN [[array_contains(w, '{x}')::list_contains(w, '{x}')]] THEN 1 ELSE 0 END''' for x in POS)} AS p, {' + '.join(f'''CASE WHEN [[array_contains(w, '{x}')::list_contains(w, '{x}')]] THEN 1 ELSE 0 END''' for x in NEG)} AS n FROM (SELECT doc_id, [[split(lower(text), ' ')::string_split(lower(text), ' ')]] AS w FROM documents) a) b"
-QUERIES["shuffle_canary"] = f"WITH a AS (SELECT t, symbol, pred, realized, row_number() OVER (PARTITION BY t ORDER BY symbol) AS i, row_number() OVER (PARTITION BY t ORDER BY (t * 31 + ascii(substr(symbol, 2, 1)) * 17) % 101, symbol DESC) AS j FROM ({LIVE}) l) SELECT x.t, x.symbol, {r('x.pred')} AS pred, {r('y.realized')} AS realized FROM a x JOIN a y ON x.t = y.t AND x.i = y.j"
+QUERIES["lexicon_sentiment"] = f"SELECT doc_id, {r('sentiment')} AS sentiment FROM {lexicon_score('text')} x"
+
+
+def shuffled(seed: int = 17) -> str:
+    """The panel with its returns dealt anew within each period, by a seeded hash."""
+    return f"SELECT x.t, x.symbol, x.pred, y.realized FROM (SELECT *, row_number() OVER (PARTITION BY t ORDER BY symbol) AS i FROM ({LIVE}) l0) x JOIN (SELECT *, row_number() OVER (PARTITION BY t ORDER BY md5(concat('{seed}|', CAST(t AS [[STRING::VARCHAR]]), '|', symbol)), symbol) AS i FROM ({LIVE}) l1) y ON x.t = y.t AND x.i = y.i"
+
+
+QUERIES["shuffle_canary"] = f"SELECT t, symbol, {r('pred')} AS pred, {r('realized')} AS realized FROM ({shuffled()}) z"
+ic_of = lambda rows: f"SELECT t, (avg(rp * rr) - avg(rp) * avg(rr)) / nullif(sqrt(avg(rp * rp) - avg(rp) * avg(rp)) * sqrt(avg(rr * rr) - avg(rr) * avg(rr)), 0) AS ic FROM (SELECT *, {RANK('pred', 't')} AS rp, {RANK('realized', 't')} AS rr FROM ({rows}) r0) r1 GROUP BY t"
+#: Least mean rank correlation, edge over shuffled returns, |t| and breakeven cost of a signal that passes; fixed values.
+GATES = {"ic": 0.01, "edge": 0.01, "nw_t": 2.0, "breakeven_bps": 10.0}
+QUERIES["verdict_gates"] = f"""
+WITH real AS (SELECT avg(ic) AS ic FROM ({IC}) q1), chance AS (SELECT avg(ic) AS ic FROM ({ic_of(shuffled())}) q2), nw AS ({NEWEY}), book AS ({BOOKS} SELECT avg(gross) / nullif(avg(turnover), 0) * 10000 AS breakeven FROM e),
+g AS (SELECT real.ic AS ic, real.ic - chance.ic AS edge, t_stat AS nw_t, breakeven FROM real CROSS JOIN chance CROSS JOIN nw CROSS JOIN book)
+SELECT {r('ic')} AS ic, {r('edge')} AS edge, {r('nw_t', 4)} AS nw_t, {r('breakeven', 3)} AS breakeven_bps,
+  coalesce(ic >= {GATES['ic']}, FALSE) AS ic_ok, coalesce(edge >= {GATES['edge']}, FALSE) AS edge_ok, coalesce(abs(nw_t) >= {GATES['nw_t']}, FALSE) AS t_ok, coalesce(breakeven > {GATES['breakeven_bps']}, FALSE) AS breakeven_ok,
+  CASE WHEN ic >= {GATES['ic']} AND edge >= {GATES['edge']} AND abs(nw_t) >= {GATES['nw_t']} AND breakeven > {GATES['breakeven_bps']} THEN 'pass' ELSE 'fail' END AS verdict FROM g"""

@@ -10,6 +10,7 @@ import math
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..plans.dialect import duckdb_text
 from ..sources.frames import BARS, DAILY, frame
@@ -22,8 +23,10 @@ FIB_MOST = 10.0
 LEVELS = (0.382, 0.5, 0.618, 0.786)
 
 
-def _by_symbol(df: DataFrame, f, schema: str) -> DataFrame:
-    return df.groupBy("symbol").applyInPandas(lambda pdf: f(pdf.sort_values("t", kind="stable")), schema)
+def _by_symbol(df: DataFrame, f, schema: str, daily: bool = False) -> DataFrame:
+    """f over each symbol's rows in order, or over those of one day where the fold starts anew each day."""
+    by = ["symbol", F.floor(F.col("t") / DAY)] if daily else ["symbol"]
+    return df.groupBy(*by).applyInPandas(lambda pdf: f(pdf.sort_values("t", kind="stable")), schema)
 
 
 def nullable(x: np.ndarray) -> np.ndarray:
@@ -64,8 +67,8 @@ class Swing:
 
     def turn(self, t: int, close: float, pivot: tuple[float, int], to: int) -> None:
         if self.start is not None and self.start[0] > 0:
-            gain = pivot[0] / self.start[0] - 1
-            self.legs = [*self.legs, (gain, gain / max(1, pivot[1] - self.start[1]))][-self.ring :]
+            gain, span = pivot[0] / self.start[0] - 1, pivot[1] - self.start[1]
+            self.legs = [*self.legs, (gain, gain / span if span > 0 else 0.0)][-self.ring :]
             self.before = (self.start[0], pivot[0])
             self.turns += 1
         self.pivots += 1
@@ -79,8 +82,8 @@ class Swing:
             self.day = t // DAY
         self.last = t
         if self.high is None:
-            self.high = self.low = (close, t)
-        if self.dir == 0:
+            self.high = self.low = self.start = self.end = (close, t)
+        elif self.dir == 0:
             self.high, self.low = max(self.high, (close, t), key=lambda p: p[0]), min(self.low, (close, t), key=lambda p: p[0])
             down = (self.high[0] - close) / self.high[0] if self.high[0] > 0 else 0.0
             up = (close - self.low[0]) / self.low[0] if self.low[0] > 0 else 0.0
@@ -96,15 +99,16 @@ class Swing:
 
     def emit(self, t: int, close: float) -> tuple:
         """since pivot, retracement, direction, steepness, length, pivots, alternations, persistence, resolved."""
-        length = close / self.start[0] - 1 if self.dir and self.start[0] else 0.0
-        steep = length / max(1, t - self.start[1]) if self.dir else 0.0
-        since = float(t - self.start[1]) if self.dir else math.nan
+        length = close / self.start[0] - 1 if self.start[0] > 0 else 0.0
+        span = t - self.start[1]
+        steep = length / span if span > 0 else 0.0
+        since = float(span) if self.dir else math.nan
         fib = math.nan
-        if self.before and abs(self.before[0] - self.before[1]) > 1e-12:
+        if self.before and abs(self.before[0] - self.before[1]) > 0:
             fib = (close - self.before[1]) / (self.before[0] - self.before[1])
             fib = fib if abs(fib) <= FIB_MOST else math.nan
-        longest = len(self.legs) >= 2 and length * self.dir > 0 and all(abs(length) > abs(g) and abs(steep) > abs(s) for g, s in self.legs)
-        return since, fib, float(self.dir), steep, length * 100, float(self.pivots), float(self.turns), sum(g for g, _ in self.legs) + length, float(longest)
+        longest = len(self.legs) >= 2 and self.dir and length * self.dir > 0 and all(abs(length) > abs(g) and abs(steep) > abs(s) for g, s in self.legs)
+        return since, fib, float(self.dir), steep, length, float(self.pivots), float(self.turns), sum(g for g, _ in self.legs) + length, float(longest)
 
 
 SWING = ("minutes_since_pivot", "fib_retracement", "swing_dir", "swing_steepness", "swing_len_pct", "n_pivots_today", "n_alternations", "swing_persistence", "trend_resolved")
@@ -270,7 +274,7 @@ def positions(pdf: pd.DataFrame) -> pd.DataFrame:
         net += q
         rows.append((net, cost if net else 0.0, realized))
     out = np.array(rows).reshape(-1, 3)
-    return pd.DataFrame({"symbol": pdf["symbol"], "t": pdf["t"], "net": out[:, 0], "average_cost": nullable(out[:, 1]), "realized": np.round(out[:, 2], 4)})
+    return pd.DataFrame({"symbol": pdf["symbol"], "t": pdf["t"], "net": out[:, 0], "average_cost": np.round(out[:, 1] + 1.7e-7, 4), "realized": np.round(out[:, 2] + 1.7e-7, 4)})
 
 
 def holds(pdf: pd.DataFrame, hold: int = 3) -> pd.DataFrame:
@@ -306,15 +310,15 @@ def implied_vol(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"symbol": pdf["symbol"], "t": pdf["t"], "implied_vol": np.where(ok, np.round((lo + hi) / 2, 6), np.nan), "status": np.where(ok, "ok", "out_of_range")})
 
 
-def _query(name: str, f, columns: str):
-    return lambda spark, sf_dir: _by_symbol(frame(spark, sf_dir, name), f, f"symbol string, t long, {columns}")
+def _query(name: str, f, columns: str, daily: bool = False):
+    return lambda spark, sf_dir: _by_symbol(frame(spark, sf_dir, name), f, f"symbol string, t long, {columns}", daily)
 
 
 doubles = lambda names: ", ".join(f"{n} double" for n in names)
 QUERIES = {
     "macd": _query("bars", macd, doubles(("macd_line", "macd_signal", "macd_hist"))),
-    "swing": _query("bars", swings, doubles(SWING)),
-    "swing_dc": _query("bars", directional, doubles(DC)),
+    "swing": _query("bars", swings, doubles(SWING), daily=True),
+    "swing_dc": _query("bars", directional, doubles(DC), daily=True),
     "momentum_run": _query("bars", residual_skew, doubles(f"residual_skew_{w}m" for w in (5, 10, 15, 20, 30, 60))),
     "apply_fill": _query("daily", positions, doubles(("net", "average_cost", "realized"))),
     "nonoverlap_hold_overlay": _query("bars", holds, "position double"),
@@ -328,6 +332,23 @@ def _ewm_sql(x: str, span: int) -> str:
     return f"sum({x} * power({k}::DOUBLE, -i)) {over} / sum(power({k}::DOUBLE, -i)) {over}"
 
 
+#: The same folds row by row, as recursive queries.
+_STEPS = "WITH RECURSIVE b AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY t) AS i FROM ({frame}) q), w AS (SELECT symbol, CAST(0 AS BIGINT) AS i, CAST(0 AS BIGINT) AS t, {first} FROM (SELECT DISTINCT symbol FROM b) s UNION ALL SELECT b.symbol, b.i, b.t, {step} FROM w JOIN b ON b.symbol = w.symbol AND b.i = w.i + 1) SELECT symbol, t, {out} FROM w WHERE i > 0"
+_Q = "(CASE WHEN b.t % 2 = 0 THEN b.volume ELSE -b.volume END)"
+_FILLS_SQL = _STEPS.format(
+    frame=duckdb_text(DAILY), first="0.0::DOUBLE AS net, 0.0::DOUBLE AS cost, 0.0::DOUBLE AS realized",
+    step=f"net + {_Q}, CASE WHEN net * {_Q} >= 0 THEN coalesce((cost * abs(net) + close * abs({_Q})) / nullif(abs(net) + abs({_Q}), 0), 0) WHEN abs({_Q}) > abs(net) THEN close ELSE cost END, realized + CASE WHEN net * {_Q} < 0 THEN least(abs({_Q}), abs(net)) * (close - cost) * sign(net) ELSE 0 END",
+    out="net, round(CASE WHEN net <> 0 THEN cost ELSE 0 END + 1.7e-7, 4) AS average_cost, round(realized + 1.7e-7, 4) AS realized",
+)
+_TAKEN = "(CASE WHEN w.left_ = 0 AND sign(b.close - b.open) <> 0 THEN 3 ELSE w.left_ END)"
+_SIDE = "(CASE WHEN w.left_ = 0 AND sign(b.close - b.open) <> 0 THEN sign(b.close - b.open) ELSE w.side END)"
+_HOLDS_SQL = _STEPS.format(frame=duckdb_text(BARS), first="0 AS left_, 0.0::DOUBLE AS side, 0.0::DOUBLE AS position", step=f"greatest(0, {_TAKEN} - 1), {_SIDE}, CASE WHEN {_TAKEN} > 0 THEN {_SIDE} ELSE 0 END", out="position")
+_SKEW = "(SELECT symbol, t, CASE WHEN n >= 4 AND m2 > (1e-6 * my) * (1e-6 * my) THEN round(m3 / power(m2, 1.5), 6) END AS v FROM (SELECT l.symbol, l.t, any_value(l.n) AS n, any_value(l.my) AS my, avg(power(c.close - l.my - l.slope * (c.t - l.mt), 2)) AS m2, avg(power(c.close - l.my - l.slope * (c.t - l.mt), 3)) AS m3 FROM (SELECT a.symbol, a.t, count(*) AS n, avg(c.close) AS my, avg(c.t) AS mt, regr_slope(c.close, c.t - a.t) AS slope FROM b a JOIN b c ON a.symbol = c.symbol AND c.t > a.t - {w} AND c.t <= a.t GROUP BY a.symbol, a.t) l JOIN b c ON l.symbol = c.symbol AND c.t > l.t - {w} AND c.t <= l.t GROUP BY l.symbol, l.t) z)"
+_RUNS = (5, 10, 15, 20, 30, 60)
+_RUN_SQL = f"WITH b AS MATERIALIZED ({duckdb_text(BARS)}) SELECT x5.symbol, x5.t, {', '.join(f'x{w}.v AS residual_skew_{w}m' for w in _RUNS)} FROM " + " JOIN ".join(_SKEW.format(w=w) + f" x{w}" + ("" if w == 5 else f" ON x{w}.symbol = x5.symbol AND x{w}.t = x5.t") for w in _RUNS)
 SQL = {
+    "apply_fill": _FILLS_SQL,
+    "nonoverlap_hold_overlay": _HOLDS_SQL,
+    "momentum_run": _RUN_SQL,
     "macd": f"WITH b AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY t) AS i FROM ({duckdb_text(BARS)}) q), l AS (SELECT symbol, t, i, {_ewm_sql('close', 12)} - {_ewm_sql('close', 26)} AS line FROM b), s AS (SELECT *, {_ewm_sql('line', 9)} AS signal FROM l) SELECT symbol, t, round(line + {N}, 6) AS macd_line, round(signal + {N}, 6) AS macd_signal, round(line - signal + {N}, 6) AS macd_hist FROM s",
 }

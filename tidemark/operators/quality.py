@@ -40,13 +40,13 @@ QUERIES["contract_range_check"] = f"SELECT {cnt('close < low OR close > high', '
 QUERIES["feature_scan"] = f"SELECT feature, n, {r('missing * 1.0 / n')} AS nan_share, n_distinct <= 1 AS constant FROM (SELECT 'vwap' AS feature, count(*) AS n, {cnt('vwap IS NULL', 'missing')}, count(DISTINCT vwap) AS n_distinct FROM ({BARS}) a UNION ALL SELECT 'flag' AS feature, count(*) AS n, {cnt('high < low', 'missing')}, count(DISTINCT high < low) AS n_distinct FROM ({BARS}) b) z"
 QUERIES["healthcheck"] = f"SELECT symbol, max(t) AS newest, count(DISTINCT CAST(floor(t / 24) AS bigint)) AS days, {r('avg(CASE WHEN signed_volume = 0 THEN 1.0 ELSE 0.0 END)')} AS zero_rate FROM ({BARS}) b GROUP BY symbol"
 rank_q = lambda q: f"max(CASE WHEN i = floor({q} * (n - 1) + 0.5) + 1 THEN lag_us END)"
-QUERIES["news_lag"] = f"SELECT symbol, {rank_q(0.5)} AS p50, {rank_q(0.9)} AS p90, {rank_q(0.99)} AS p99 FROM (SELECT symbol, lag_us, row_number() OVER (PARTITION BY symbol ORDER BY lag_us) AS i, count(*) OVER (PARTITION BY symbol) AS n FROM (SELECT symbol, event_id % 997 AS lag_us FROM ({NEWS}) n0) n1) z GROUP BY symbol"
+QUERIES["news_lag"] = f"SELECT symbol, {rank_q(0.5)} AS p50, {rank_q(0.9)} AS p90, {rank_q(0.99)} AS p99 FROM (SELECT symbol, lag_us, row_number() OVER (PARTITION BY symbol ORDER BY lag_us) AS i, count(*) OVER (PARTITION BY symbol) AS n FROM (SELECT symbol, available_us - published_us AS lag_us FROM ({NEWS}) n0) n1) z GROUP BY symbol"
 QUERIES["qa_extreme_jump"] = f"SELECT symbol, t, {r('ratio')} AS ratio FROM (SELECT symbol, t, close / nullif(lag(close) OVER (PARTITION BY symbol ORDER BY t), 0) AS ratio FROM ({DAILY}) d) z WHERE ratio > 3 OR ratio < 1 / 3.0"
 QUERIES["qa_bars_integrity"] = f"SELECT {cnt('high < low', 'high_low')}, {cnt('open > high OR open < low', 'open_range')}, {cnt('close > high OR close < low', 'close_range')}, {cnt('volume < 0', 'negative_volume')}, {cnt('n_trades < 1', 'empty')}, {r('avg(CASE WHEN t % 24 BETWEEN 9 AND 15 THEN 0.0 ELSE 1.0 END)')} AS ext_share FROM ({BARS}) b"
 QUERIES["qa_stream_backfill"] = f"{JOINED}, s2 AS (SELECT DISTINCT symbol FROM j WHERE symbol LIKE 'error%') SELECT {r('avg(CASE WHEN abs(live - back) > 1e-9 THEN 1.0 ELSE 0.0 END)')} AS mismatch_share, count(*) AS overlap FROM j WHERE live IS NOT NULL AND back IS NOT NULL AND NOT EXISTS (SELECT 1 FROM s2 WHERE s2.symbol = j.symbol)"
 QUERIES["qa_nan_report"] = "SELECT pos, count(*) AS n, sum(CASE WHEN v < 0 THEN 1 ELSE 0 END) AS below FROM [[(SELECT posexplode(embedding) AS (pos, v) FROM embeddings)::(SELECT unnest(range(0, len(embedding))) AS pos, unnest(embedding) AS v FROM embeddings)]] z GROUP BY pos"
 QUERIES["qa_label_median"] = f"SELECT {r('avg(m)')} AS avg_median, {r('max(m)')} AS max_median FROM (SELECT t, {PCT(0.5, 'close')} AS m FROM ({DAILY}) d GROUP BY t) z"
-QUERIES["qa_pit_membership"] = f"SELECT b.symbol, count(*) AS orphans FROM ({BARS}) b LEFT JOIN (SELECT DISTINCT symbol, CAST(floor(t / 24) AS bigint) AS day FROM ({STREAM}) s WHERE t % 5 <> 0) m ON m.symbol = b.symbol AND m.day = CAST(floor(b.t / 24) AS bigint) WHERE m.day IS NULL GROUP BY b.symbol"
+QUERIES["qa_pit_membership"] = f"SELECT b.symbol, count(*) AS orphans FROM ({BARS}) b LEFT JOIN (SELECT DISTINCT symbol, CAST(floor(t / 24) AS bigint) AS day FROM ({STREAM}) s WHERE t % 24 BETWEEN 3 AND 4) m ON m.symbol = b.symbol AND m.day = CAST(floor(b.t / 24) AS bigint) WHERE m.day IS NULL GROUP BY b.symbol"
 FILLS = "SELECT o_orderkey, concat(c_mktsegment, '-', CAST(c_nationkey % 4 AS [[STRING::VARCHAR]])) AS symbol, CASE WHEN o_orderkey % 2 = 0 THEN 1 ELSE -1 END AS side, o_totalprice AS price, [[unix_date(to_date(o_orderdate))::date_diff('day', DATE '1970-01-01', CAST(o_orderdate AS DATE))]] AS t, o_orderstatus AS auction FROM orders JOIN customer ON o_custkey = c_custkey"
 QUERIES["realized_pnl_by_name"] = f"SELECT t, symbol, {r('sum(-side * price)', 4)} AS cash_flow FROM ({FILLS}) f GROUP BY t, symbol"
 QUERIES["execution_slippage"] = f"""
@@ -78,8 +78,8 @@ QUERIES["settled_window_compare"] = f"{JOINED}, m AS (SELECT max(t) - 2 AS stop
 QUERIES["settle_lag"] = f"SELECT layer, top - last AS lag FROM (SELECT layer, last, max(last) OVER () AS top FROM (SELECT 'bars' AS layer, max(t) AS last FROM ({BACK}) b UNION ALL SELECT 'trades', max(t) FROM ({SIGNED}) s WHERE side > 0) a) z"
 QUERIES["news_sentiment"] = f"""
 WITH k AS (SELECT symbol, (t + 1) * 3600000000 AS us FROM ({BARS}) b), u AS (SELECT symbol, us, 1 AS kind, CAST(NULL AS double) AS s FROM k UNION ALL SELECT symbol, available_us, 0, CAST(sentiment AS double) FROM ({NEWS}) n),
-w AS (SELECT *, {', '.join(f"{f}(s) OVER (PARTITION BY symbol ORDER BY us RANGE BETWEEN {h * 3600000000 - 1} PRECEDING AND CURRENT ROW) AS {f}{h}" for h in (24, 168) for f in ('avg', 'sum', 'count'))}, [[last(s, true)::last_value(s IGNORE NULLS)]] OVER (PARTITION BY symbol ORDER BY us, kind ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS held, max(CASE WHEN kind = 0 THEN us END) OVER (PARTITION BY symbol ORDER BY us, kind ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS seen_us FROM u)
-SELECT symbol, us, {', '.join(f"{r(f'avg{h}')} AS news_sentiment_mean_{n}, {r(f'coalesce(sum{h}, 0)')} AS news_sentiment_sum_{n}, count{h} AS news_count_{n}" for h, n in ((24, '1d'), (168, '7d')))}, {r('held')} AS news_sentiment_last, {r('(us - seen_us) / 60000000.0', 4)} AS news_minutes_since_last FROM w WHERE kind = 1"""
+w AS (SELECT *, {', '.join(f"{f}(s) OVER (PARTITION BY symbol ORDER BY us RANGE BETWEEN {h * 3600000000 - 1} PRECEDING AND CURRENT ROW) AS {f}{h}" for h in (1, 24, 168) for f in ('avg', 'sum', 'count'))}, [[last(s, true)::last_value(s IGNORE NULLS)]] OVER (PARTITION BY symbol ORDER BY us, kind ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS held, max(CASE WHEN kind = 0 THEN us END) OVER (PARTITION BY symbol ORDER BY us, kind ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS seen_us FROM u)
+SELECT symbol, us, {', '.join(f"{r(f'avg{h}')} AS news_sentiment_mean_{n}, {r(f'coalesce(sum{h}, 0)')} AS news_sentiment_sum_{n}, count{h} AS news_count_{n}" for h, n in ((1, '60m'), (24, '1d'), (168, '7d')))}, {r('held')} AS news_sentiment_last, {r('(us - seen_us) / 60000000.0', 4)} AS news_minutes_since_last FROM w WHERE kind = 1"""
 day_us = 86400000000
 QUERIES["edgar_filing_frequency"] = f"""
 WITH k AS (SELECT DISTINCT symbol, (CAST(floor(available_us / {day_us}) AS bigint) + 1) * {day_us} AS us FROM ({FILINGS}) f), u AS (SELECT symbol, us, 1 AS kind, CAST(NULL AS [[string::varchar]]) AS form FROM k UNION ALL SELECT symbol, available_us, 0, form_type FROM ({FILINGS}) g),

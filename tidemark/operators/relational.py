@@ -29,7 +29,7 @@ QUERIES["row_index"] = "SELECT o_orderkey, row_number() OVER (ORDER BY o_orderda
 QUERIES["join_inner"] = "SELECT o_orderkey, c_name FROM orders JOIN customer ON o_custkey = c_custkey"
 QUERIES["join_left_broadcast"] = "SELECT c_custkey, n_name, r_name FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey LEFT JOIN region ON n_regionkey = r_regionkey"
 QUERIES["join_full_coalesce"] = f"SELECT coalesce(a.symbol, b.symbol) AS symbol, coalesce(a.t, b.t) AS t, {r('a.close')} AS live, {r('b.close')} AS back FROM (SELECT * FROM ({BARS}) x WHERE t % 5 <> 0) a FULL OUTER JOIN (SELECT * FROM ({BARS}) y WHERE t % 7 <> 0) b ON a.symbol = b.symbol AND a.t = b.t"
-QUERIES["join_left_anti"] = "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)"
+QUERIES["join_left_anti"] = "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 200000)"
 QUERIES["join_left_semi"] = "SELECT c_custkey FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 200000)"
 QUERIES["join_right"] = f"SELECT g.symbol, g.t, {r('b.close')} AS close FROM (SELECT symbol, t, close FROM ({BARS}) x WHERE t % 2 = 0) b RIGHT JOIN (SELECT DISTINCT symbol, t FROM ({BARS}) y) g ON b.symbol = g.symbol AND b.t = g.t"
 QUERIES["minute_grid"] = f"SELECT symbol, day * 24 + h AS t FROM (SELECT DISTINCT symbol FROM ({TRADES}) q) s CROSS JOIN (SELECT DISTINCT CAST(floor(us / 86400000000) AS bigint) AS day FROM ({TRADES}) p) d CROSS JOIN (SELECT [[explode(sequence(9, 15))::unnest(range(9, 16))]] AS h) x"
@@ -49,7 +49,7 @@ QUERIES["agg_hhi_entropy"] = f"SELECT symbol, {r('sum(n * n) / (sum(n) * sum(n))
 QUERIES["pivot_long_wide"] = "SELECT o_custkey, " + ", ".join(f"{r(f'''coalesce(sum(CASE WHEN o_orderstatus = '{s}' THEN o_totalprice END), 0)''', 2)} AS total_{s.lower()}" for s in "FOP") + " FROM orders GROUP BY o_custkey"
 QUERIES["unpivot_wide_long"] = f"SELECT symbol, t, name, {r('value')} AS value FROM (SELECT symbol, t, 'open' AS name, open AS value FROM ({BARS}) a UNION ALL SELECT symbol, t, 'close', close FROM ({BARS}) b) z"
 QUERIES["having_ntile"] = "WITH t AS (SELECT l_partkey, " + r("sum(l_extendedprice)", 2) + " AS v FROM lineitem GROUP BY l_partkey HAVING count(*) >= 10) SELECT l_partkey, v, ntile(4) OVER (ORDER BY v, l_partkey) AS quartile FROM t"
-QUERIES["unnest_ordinality"] = "SELECT vec_id, pos, " + r("v") + " AS v FROM [[(SELECT vec_id, posexplode(embedding) AS (pos, v) FROM embeddings)::(SELECT vec_id, unnest(range(0, len(embedding))) AS pos, unnest(embedding) AS v FROM embeddings)]] z WHERE pos < 4"
+QUERIES["unnest_ordinality"] = "SELECT vec_id, pos, " + r("v") + " AS v FROM [[(SELECT vec_id, posexplode(embedding) AS (pos, v) FROM embeddings)::(SELECT vec_id, unnest(range(0, len(embedding))) AS pos, unnest(embedding) AS v FROM embeddings)]] z"
 # windows
 O = "PARTITION BY symbol ORDER BY t"
 QUERIES["window_row_frames"] = f"SELECT symbol, t, {', '.join(r(f'{f}(close) OVER ({O} ROWS BETWEEN 9 PRECEDING AND CURRENT ROW)') + f' AS {f}_10' for f in ('avg', 'sum', 'max', 'min', 'stddev_samp'))} FROM ({DAILY}) d"
@@ -68,15 +68,17 @@ QUERIES["top_bottom_k"] = f"SELECT symbol, t, CASE WHEN hi <= k THEN 1 WHEN lo <
 QUERIES["basket_select"] = f"WITH s AS (SELECT symbol, t, row_number() OVER (PARTITION BY t ORDER BY close DESC, symbol) AS hi, row_number() OVER (PARTITION BY t ORDER BY close, symbol) AS lo, cluster_id FROM ({BARS}) b) SELECT symbol, t, 'long' AS side FROM s WHERE hi <= 2 UNION ALL SELECT symbol, t, 'short' FROM s WHERE lo <= 2 AND cluster_id <> 3 AND hi > 2"
 QUERIES["rank_by_dollar_volume"] = f"SELECT symbol, row_number() OVER (ORDER BY sum(close * volume) DESC, symbol) AS pos FROM ({BARS}) b WHERE t >= 474000 GROUP BY symbol"
 QUERIES["most_common"] = "SELECT event_type, count(*) AS n FROM events GROUP BY event_type ORDER BY n DESC, event_type LIMIT 3"
-QUERIES["seeded_sample"] = "SELECT c_custkey FROM (SELECT c_custkey, row_number() OVER (ORDER BY (c_custkey * 7919 + 20240101) % 10007, c_custkey) AS k FROM customer) z WHERE k <= 50"
-QUERIES["quote_tranche"] = f"SELECT symbol FROM (SELECT symbol, row_number() OVER (ORDER BY count(*) DESC, symbol) AS k FROM ({TRADES}) q GROUP BY symbol) z WHERE k BETWEEN 3 AND 12 AND NOT EXISTS (SELECT 1 FROM (SELECT DISTINCT symbol AS s FROM ({TRADES}) w WHERE size > 98) g WHERE g.s = z.symbol)"
+QUERIES["seeded_sample"] = "SELECT c_custkey FROM customer ORDER BY (c_custkey * 7919 + 20240101) % 10007, c_custkey LIMIT 50"
+QUERIES["quote_tranche"] = f"SELECT symbol FROM (SELECT symbol, row_number() OVER (ORDER BY count(*) DESC, symbol) AS k FROM ({TRADES}) q GROUP BY symbol) z WHERE k BETWEEN 3 AND 12 AND NOT EXISTS (SELECT 1 FROM (SELECT DISTINCT symbol AS s FROM ({TRADES}) w WHERE price > 330) g WHERE g.s = z.symbol)"
 # sets
 QUERIES["union_missing_columns"] = "SELECT s_suppkey AS id, s_name AS name, " + r("s_acctbal", 2) + " AS balance, CAST(NULL AS [[string::varchar]]) AS segment FROM supplier UNION ALL SELECT c_custkey, c_name, " + r("c_acctbal", 2) + ", c_mktsegment FROM customer"
 QUERIES["set_difference"] = "SELECT DISTINCT l_partkey AS k FROM lineitem WHERE l_quantity > 25 EXCEPT SELECT p_partkey FROM part WHERE p_size > 25"
 QUERIES["set_intersect"] = "SELECT o_custkey AS k FROM orders WHERE o_orderstatus = 'F' INTERSECT SELECT o_custkey FROM orders WHERE o_orderstatus = 'O'"
 # research queries
 SESS = f"SELECT t, row_number() OVER (ORDER BY t) AS rn, stddev_samp(close) AS disp FROM ({DAILY}) d GROUP BY t HAVING count(*) >= 3"
-QUERIES["range_self_join_pctile"] = f"WITH s AS ({SESS}), j AS (SELECT d.t, d.rn, d.disp, count(w.rn) AS n, sum(CASE WHEN w.disp < d.disp THEN 1 ELSE 0 END) AS below FROM s d LEFT JOIN s w ON w.rn BETWEEN d.rn - 120 AND d.rn - 1 GROUP BY d.t, d.rn, d.disp) SELECT t, {r('CASE WHEN n >= 20 THEN below * 1.0 / n END')} AS pctile, CASE WHEN n >= 20 THEN greatest(1, least(5, CAST(ceil(5.0 * below / n) AS int))) END AS tier FROM j"
+#: Each session against the 120 before it: a bounded list a session instead of a range join.
+BEFORE = "OVER (ORDER BY t ROWS BETWEEN 120 PRECEDING AND 1 PRECEDING)"
+QUERIES["range_self_join_pctile"] = f"WITH s AS ({SESS}), l AS (SELECT t, disp, count(disp) {BEFORE} AS n, [[collect_list(disp)::list(disp)]] {BEFORE} AS seen FROM s), j AS (SELECT t, n, coalesce([[size(filter(seen, x -> x < disp))::len(list_filter(seen, lambda x: x < disp))]], 0) AS below FROM l) SELECT t, {r('CASE WHEN n >= 20 THEN below * 1.0 / n END')} AS pctile, CASE WHEN n >= 20 THEN greatest(1, least(5, CAST(ceil(5.0 * below / n) AS int))) END AS tier FROM j"
 QUERIES["session_anchor_prices"] = f"SELECT symbol, CAST(floor(t / 24) AS bigint) AS day, max(CASE WHEN t % 24 = 9 THEN open END) AS p0930, max(CASE WHEN t % 24 = 10 THEN open END) AS p1000, max(CASE WHEN t % 24 = 15 THEN close END) AS p1559, sum(CASE WHEN t % 24 BETWEEN 9 AND 10 THEN volume END) AS early_volume FROM ({BARS}) b GROUP BY symbol, CAST(floor(t / 24) AS bigint)"
 QUERIES["liquidity_quartile"] = f"SELECT symbol, ntile(4) OVER (ORDER BY v, symbol) AS quartile FROM (SELECT symbol, {PCT(0.5, 'close * volume')} AS v FROM ({DAILY}) d GROUP BY symbol) z"
 QUERIES["spread_cadence"] = f"SELECT symbol, t, quote_id, {r('(ask - bid) / 2', 4)} AS half FROM ({QUOTES}) q WHERE t % 30 = 0 OR quote_id % 30 = 1"

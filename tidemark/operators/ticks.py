@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from ..sources.frames import QUOTE_BARS, QUOTES, SIGNED, TRADES
+from ..sources.frames import BARS, QUOTE_BARS, QUOTES, SIGNED, TAPE_QUOTES, TRADES
 
 #: Prints of this size and above are large; odd lots are smaller than ROUND.
-LARGE, ROUND, TIMES = 80, 10, 4
+LARGE, ROUND, TIMES = 80, 10, 4.0
 W = "PARTITION BY symbol, t ORDER BY us, event_id"
 GAPS = f"SELECT *, us - lag(us) OVER ({W}) AS gap, min(price) OVER ({W} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS low_so_far, CAST(floor(us / 60000000) AS bigint) AS slot, avg(size) OVER (PARTITION BY symbol, t) AS mean_size FROM ({SIGNED}) g0"
 BIN = "least(5, coalesce(CAST(floor(CASE WHEN size > 0 THEN log10(size) * 2 END) AS int), 0))"
@@ -39,7 +39,7 @@ WITH g AS ({GAPS}), s AS (SELECT symbol, t, slot, count(*) AS n FROM g GROUP BY
 e AS (SELECT symbol, t, CASE WHEN count(*) <= 1 THEN 0 ELSE (ln(sum(n)) - sum(n * ln(n)) / sum(n)) / ln(CASE WHEN count(*) > 1 THEN count(*) ELSE 2 END) END AS h FROM s GROUP BY symbol, t)
 SELECT g.symbol, g.t, {r("avg(CASE WHEN gap IS NULL THEN NULL WHEN gap < 600000000 THEN 1.0 ELSE 0.0 END)")} AS rapid_fire_ratio_1m, {r(PCT(0.1, "gap / 1000.0"), 3)} AS p10_inter_arrival_ms_1m, {r("max(h)")} AS trade_timing_entropy_1m
 FROM g JOIN e ON g.symbol = e.symbol AND g.t = e.t GROUP BY g.symbol, g.t"""
-big = f"size >= {TIMES} / 2.0 * mean_size"
+big = f"size >= {TIMES} * mean_size"
 QUERIES["large_print_burst"] = f"SELECT symbol, t, {r(f'avg(CASE WHEN {big} THEN 1.0 ELSE 0.0 END)')} AS large_print_ratio_1m, {r(f'sum(CASE WHEN {big} THEN size ELSE 0.0 END) / nullif(sum(size), 0)')} AS large_print_volume_share_1m, {r('max(size) / nullif(avg(size), 0)')} AS max_print_size_ratio_1m FROM ({GAPS}) q GROUP BY symbol, t"
 QUERIES["trade_size_dist"] = f"SELECT symbol, t, {r(f'avg(CASE WHEN size < {ROUND} THEN 1.0 ELSE 0.0 END)')} AS odd_lot_ratio_1m, {r(f'avg(CASE WHEN size > 0 AND size % {ROUND} = 0 THEN 1.0 ELSE 0.0 END)')} AS round_lot_ratio_1m, {r(f'avg(CASE WHEN size >= {LARGE} THEN 1.0 ELSE 0.0 END)')} AS institutional_trade_ratio_1m FROM ({TRADES}) q0 JOIN (SELECT event_id AS e, t FROM ({SIGNED}) q1) q2 ON event_id = e GROUP BY symbol, t"
 over = lambda f, x, w: f"{f}({x}) OVER (PARTITION BY symbol ORDER BY t RANGE BETWEEN {w - 1} PRECEDING AND CURRENT ROW)"
@@ -59,13 +59,27 @@ SELECT *, [[last(mid, true)::last_value(mid IGNORE NULLS)]] OVER (PARTITION BY s
 """.format(q=QUOTES)
 QUERIES["asof_backward"] = f"SELECT symbol, t, id, {r('held', 4)} AS mid FROM ({ASOF}) q WHERE kind = 1"
 QUERIES["lee_ready_sign"] = f"SELECT symbol, t, id, CAST(sign(price - held) AS int) AS side FROM ({ASOF}) q WHERE kind = 1"
-#: Dwell-weighted half spread over trailing windows of quotes.
-QUERIES["realized_half_spread"] = f"""
-WITH v AS (SELECT *, (ask - bid) / (ask + bid) * 10000 AS half, lead(t) OVER (PARTITION BY symbol ORDER BY t, quote_id) - t AS dwell FROM ({QUOTES}) q WHERE bid > 0 AND ask >= bid),
-w AS (SELECT symbol, t, quote_id, {over('sum', 'half * coalesce(dwell, 0)', 5)} AS hw, {over('sum', 'coalesce(dwell, 0)', 5)} AS w, {over('avg', 'half', 5)} AS plain, {over('count', 'half', 5)} AS n FROM v)
-SELECT symbol, t, quote_id, {r('CASE WHEN n < 5 THEN NULL WHEN w <= 1e-9 THEN plain ELSE hw / w END', 4)} AS half_spread_bps FROM w"""
+
+
+def half_spread_at(entries: str, quotes: str, window_us: int = 300_000_000, least: int = 5) -> str:
+    """Dwell-weighted relative half spread (bps) of the valid quotes in [entry - window, entry); the last one stands until the entry.
+
+    entries: symbol, us. Null with fewer than `least` valid quotes. One sort of the union, no range join.
+    """
+    over = f"OVER (PARTITION BY symbol ORDER BY us RANGE BETWEEN {window_us} PRECEDING AND 1 PRECEDING)"
+    last = lambda x: f"[[max_by({x}, CASE WHEN kind = 0 THEN struct(us, id) END)::arg_max({x}, CASE WHEN kind = 0 THEN (us, id) END)]] {over}"
+    return f"""
+WITH v AS (SELECT symbol, us, quote_id AS id, (ask - bid) / ((ask + bid) / 2) * 5000 AS half, coalesce(lead(us) OVER (PARTITION BY symbol ORDER BY us, quote_id) - us, 0) / 1e6 AS dwell FROM ({quotes}) q WHERE bid > 0 AND ask > bid AND bid_size > 0 AND ask_size > 0),
+u AS (SELECT symbol, us, 0 AS kind, id, half, dwell, us / 1e6 AS sec FROM v UNION ALL SELECT symbol, us, 1 AS kind, CAST(0 AS bigint) AS id, CAST(NULL AS double) AS half, CAST(NULL AS double) AS dwell, CAST(NULL AS double) AS sec FROM ({entries}) e),
+w AS (SELECT symbol, us, kind, sum(half * dwell) {over} AS hw, sum(dwell) {over} AS sw, avg(half) {over} AS plain, count(half) {over} AS n, {last('half')} AS last_half, {last('dwell')} AS last_dwell, us / 1e6 - {last('sec')} AS stood FROM u),
+z AS (SELECT symbol, us, n, plain, hw - last_half * last_dwell + last_half * stood AS hw, sw - last_dwell + stood AS sw FROM w WHERE kind = 1)
+SELECT symbol, us, {r('CASE WHEN n >= ' + str(least) + ' THEN CASE WHEN sw <= 1e-9 THEN plain ELSE hw / sw END END', 4)} AS half_spread_bps FROM z"""
+
+
+#: The tape here has some prints an hour and symbol, so a day stands for the minutes of the default.
+QUERIES["realized_half_spread"] = half_spread_at(f"SELECT symbol, t * 3600000000 AS us FROM ({BARS}) b", TAPE_QUOTES, window_us=86_400_000_000)
 QUERIES["spread_headroom"] = f"SELECT symbol, {r(PCT(0.5, 'spread'), 4)} AS median_spread_bps, {r(PCT(0.5, 'bid_size + ask_size'), 4)} AS median_size FROM (SELECT symbol, bid_size, ask_size, (ask - bid) / ((ask + bid) / 2) * 10000 AS spread FROM ({QUOTES}) q0) q WHERE spread <= 1500 GROUP BY symbol"
 QUERIES["minute_agg_enrich"] = f"""
-SELECT b.symbol, b.t, b.n_trades, q.mean_spread_bps IS NOT NULL AS has_quotes, {r("coalesce(q.mean_spread_bps, 0)")} AS mean_spread_bps
-FROM (SELECT symbol, CAST(floor(t / 24) AS bigint) - 10000 AS t, CAST(count(*) AS bigint) AS n_trades FROM ({SIGNED}) s GROUP BY symbol, CAST(floor(t / 24) AS bigint) - 10000) b
-LEFT JOIN (SELECT t, max(mean_spread_bps) AS mean_spread_bps FROM ({QUOTE_BARS}) z GROUP BY t) q ON b.t = q.t"""
+SELECT b.symbol, b.t, b.n_trades, q.spread IS NOT NULL AS has_quotes, {r("coalesce(q.spread, 0)")} AS mean_spread_bps, {r("coalesce(q.imbalance, 0)")} AS quote_imbalance
+FROM ({BARS}) b LEFT JOIN (SELECT symbol, t, avg(CASE WHEN bid + ask > 0 AND ask >= bid THEN (ask - bid) / ((ask + bid) / 2) * 10000 END) AS spread, avg(CASE WHEN bid_size + ask_size > 0 THEN (bid_size - ask_size) / (bid_size + ask_size) END) AS imbalance
+  FROM ({TAPE_QUOTES}) z GROUP BY symbol, t) q ON b.symbol = q.symbol AND b.t = q.t"""

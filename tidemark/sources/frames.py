@@ -59,9 +59,41 @@ SELECT symbol, t, coalesce(avg(CASE WHEN bid + ask > 0 AND ask >= bid THEN (ask
 FROM ({QUOTES}) q1 GROUP BY symbol, t
 """
 FILINGS = "SELECT concat('u', CAST(user_id % 50 AS [[STRING::VARCHAR]])) AS symbol, [[element_at(array('8-K', '10-Q', '10-K', '4', 'S-1'), CAST(event_id % 5 + 1 AS int))::list_extract(['8-K', '10-Q', '10-K', '4', 'S-1'], event_id % 5 + 1)]] AS form_type, [[unix_micros(CAST(ts AS timestamp))::epoch_us(ts)]] AS available_us, event_id FROM events"
-NEWS = "SELECT concat(event_type, '-', CAST(user_id % 4 AS [[STRING::VARCHAR]])) AS symbol, [[unix_micros(CAST(ts AS timestamp))::epoch_us(ts)]] AS available_us, event_id, (event_id % 21 - 10) / 10.0 AS sentiment FROM events WHERE event_id % 7 = 0"
+#: Words that tell good news from bad; fixed values.
+POSITIVE = """approval approved awarded beat beats best breakthrough bullish clears exceeds expands expansion gain gains growing growth highest innovative jump jumps
+optimistic outperform raised raises rallies rally record robust soar soars solid spike spikes strong successful surge surges surpasses tops upbeat upgrade upgraded wins""".split()
+NEGATIVE = """bearish concern concerns contraction contracts crash crashes cuts decline declining disappointing disappoints downgrade downgraded drop drops fail failed fails fall falls
+fraud investigation lawsuit lowered lowers lowest miss misses pessimistic plunge plunges rejected rejection scandal sink sinks sluggish sued tumble tumbles underperform warning
+warns weak worst""".split()
+_APART = r"[\s\x22\x27\x60!?.,;:()\[\]{}<>/\\|@#$%^&*+=~_-]+"
 
-FRAMES = {"trades": TRADES, "signed": SIGNED, "bars": BARS, "et": ET, "sessions": SESSIONS, "daily": DAILY, "quotes": QUOTES, "quote_bars": QUOTE_BARS, "filings": FILINGS, "news": NEWS}
+
+def lexicon_score(text: str, positive: list[str] = POSITIVE, negative: list[str] = NEGATIVE) -> str:
+    """(p - n) / (p + n) of the different good and bad words that a text has, whole words only; 0 without any."""
+    words = f"[[split(regexp_replace(lower(coalesce({text}, '')), r'{_APART}', ' '), ' ')::string_split(regexp_replace(lower(coalesce({text}, '')), '{_APART}', ' ', 'g'), ' ')]]"
+    hits = lambda lexicon: f"[[size(array_intersect(w, array({', '.join(map(repr, lexicon))})))::len(list_intersect(w, [{', '.join(map(repr, lexicon))}]))]]"
+    return f"(SELECT *, coalesce((p - n) / nullif(p + n, 0.0), 0.0) AS sentiment FROM (SELECT *, {hits(positive)} AS p, {hits(negative)} AS n FROM (SELECT *, {words} AS w FROM documents) x0) x1)"
+
+
+#: News are all documents: each belongs to a symbol and comes some time after it was published, later the longer it is.
+NEWS = f"""
+SELECT concat([[element_at(array('click', 'error', 'purchase', 'signup', 'view'), CAST(doc_id % 5 + 1 AS int))::list_extract(['click', 'error', 'purchase', 'signup', 'view'], doc_id % 5 + 1)]], '-', CAST(CAST(floor(doc_id / 5) AS bigint) % 4 AS [[STRING::VARCHAR]])) AS symbol,
+  published_us + n_chars * 1000 AS available_us, published_us, doc_id AS event_id, sentiment
+FROM (SELECT *, 1704067200000000 + (doc_id * 7919 % 43200) * 60000000 AS published_us FROM {lexicon_score('text')} x2) x3
+"""
+#: Sessions with what is typical of their clock bucket (an hour) in earlier sessions: mean |return|, and volume against the mean of all buckets.
+CLOCK = f"""
+WITH s AS ({SESSIONS}), d AS (SELECT session, minute_et, sum(abs(close / nullif(open, 0) - 1)) AS a, sum(volume) AS v, count(*) AS n FROM s WHERE minute_et >= 570 AND minute_et < 960 GROUP BY session, minute_et),
+b AS (SELECT session, minute_et, sum(a) OVER w / sum(n) OVER w AS baseline_absret, sum(v) OVER w / sum(n) OVER w AS mean_v FROM d WINDOW w AS (PARTITION BY minute_et ORDER BY session RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+m AS (SELECT session, avg(mean_v) AS all_v FROM b GROUP BY session)
+SELECT s.*, b.baseline_absret, b.mean_v / nullif(m.all_v, 0) AS vol_shape FROM s LEFT JOIN b ON s.session = b.session AND s.minute_et = b.minute_et LEFT JOIN m ON s.session = m.session
+"""
+#: Quotes around each print of the tape, an hour later; some are crossed.
+TAPE_QUOTES = f"""
+SELECT symbol, us + 3600000000 AS us, CAST(floor(us / 3600000000) AS bigint) + 1 AS t, event_id AS quote_id, price * (1 - 0.0002 * (event_id % 6)) AS bid, price * (1 + 0.0001 * (event_id % 7)) AS ask, size AS bid_size, size + event_id % 3 AS ask_size FROM ({TRADES}) q8
+"""
+
+FRAMES = {"trades": TRADES, "signed": SIGNED, "bars": BARS, "et": ET, "sessions": SESSIONS, "daily": DAILY, "quotes": QUOTES, "quote_bars": QUOTE_BARS, "filings": FILINGS, "news": NEWS, "clock": CLOCK, "tape_quotes": TAPE_QUOTES}
 
 
 def frame(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

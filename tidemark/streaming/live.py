@@ -12,7 +12,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions.groups import GROUPS
 from ..operators.folds import SWING, Swing
-from ..plans.dialect import duckdb_text
+from ..plans.dialect import Group, duckdb_text
 from ..sources.frames import BARS, frame
 from ..sources.paths import shared_path
 
@@ -43,19 +43,49 @@ def minute_batching(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def redelivery_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every event delivered twice, kept once within the watermark."""
-    rows = events_stream(spark, sf_dir)
-    twice = rows.withColumn("delivery", F.explode(F.array(F.lit(0), F.lit(1)))).withWatermark("ts", "30 days").dropDuplicatesWithinWatermark(["event_id"])
-    return drained(twice.select("event_id", "symbol"), "live-dedupe")
+    """Every event delivered twice, the second time corrected: the last delivery of an event counts."""
+    rows = events_stream(spark, sf_dir).withColumn("delivery", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("price", F.col("price") + F.col("delivery"))
+    last = rows.withWatermark("ts", "30 days").groupBy("event_id", "symbol").agg(F.max(F.struct("delivery", "price")).alias("top"))
+    out = drained(last, "live-dedupe", "update")
+    return out.groupBy("event_id", "symbol").agg(F.max("top").alias("top")).select("event_id", "symbol", F.round("top.price", 6).alias("price"))
+
+
+def ring_stream(spark: SparkSession, bars: DataFrame, path: str, group: Group, keep: int) -> DataFrame:
+    """A group's features of a stream of bars: each micro-batch is computed over itself and the ring of the last `keep` time units.
+
+    The ring of batch n is a table of its own, written after the batch's rows, so a batch that is run again starts from
+    the ring of the one before. Bars of a key that come again replace the ones in the ring; bars older than it are late
+    and get features from what is left of it.
+    """
+
+    def step(batch: DataFrame, n: int) -> None:
+        spark = batch.sparkSession
+        new = batch.withColumn("order", F.lit(1))
+        if n:
+            new = new.unionByName(spark.read.parquet(f"{path}/ring/batch={n - 1}").withColumn("order", F.lit(0)))
+        last = new.groupBy("symbol", "t").agg(F.max_by(F.struct(*batch.columns), "order").alias("bar"), F.max("order").alias("order"))
+        whole = last.select("bar.*", "order")
+        seen = group.rounded(whole.drop("order")).join(whole.where("order = 1").select("symbol", "t"), ["symbol", "t"], "left_semi")
+        seen.write.mode("overwrite").parquet(f"{path}/out/batch={n}")
+        newest = whole.agg(F.max("t")).head()[0] or 0
+        whole.drop("order").where(F.col("t") > newest - keep).write.mode("overwrite").parquet(f"{path}/ring/batch={n}")
+
+    query = bars.writeStream.option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).foreachBatch(step).start()
+    query.awaitTermination()
+    return spark.read.parquet(f"{path}/out").drop("batch")
 
 
 def trailing_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each micro-batch recomputes a group on the trailing ring: the same definition as the batch form."""
-    group = GROUPS["volatility"]
-    bars = frame(spark, sf_dir, "bars")
-    last = bars.agg(F.max("t")).head()[0] or 0
-    ring = bars.where(F.col("t") > last - 300)
-    return group.rounded(ring).where(F.col("t") > last - 120)
+    """Volatility of a stream of hourly bars that come in chunks of days, as the batch form gives it."""
+    group, path = GROUPS["volatility"], shared_path(spark, "live-ring")
+    bars = frame(spark, sf_dir, "bars").withColumn("chunk", F.floor(F.col("t") / 120))
+    # chunks come in order of time, a file each
+    bars.repartitionByRange("chunk").sortWithinPartitions("t").write.parquet(f"{path}/all")
+    whole = spark.read.parquet(f"{path}/all")
+    for row in whole.select("chunk").distinct().orderBy("chunk").toLocalIterator():
+        whole.where(F.col("chunk") == row.chunk).drop("chunk").coalesce(1).write.mode("append").parquet(f"{path}/bars")
+    stream = spark.readStream.schema(whole.drop("chunk").schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/bars")
+    return ring_stream(spark, stream, path, group, keep=300)
 
 
 def _swing_state(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -84,6 +114,6 @@ QUERIES = {"stream_minute_batching": minute_batching, "stream_redelivery_dedupe"
 _BARS = duckdb_text(BARS)
 SQL = {
     "stream_minute_batching": f"SELECT symbol, t, high, low, CAST(n_trades AS BIGINT) AS n FROM ({_BARS}) b",
-    "stream_redelivery_dedupe": "SELECT event_id, concat(event_type, '-', CAST(user_id % 4 AS VARCHAR)) AS symbol FROM events",
-    "stream_trailing_ring": f"SELECT * FROM ({GROUPS['volatility'].sql({'bars': 'SELECT * FROM (' + _BARS + ') r0 WHERE t > (SELECT max(t) FROM (' + _BARS + ') r1) - 300'})}) z WHERE t > (SELECT max(t) FROM ({_BARS}) r2) - 120",
+    "stream_redelivery_dedupe": "SELECT event_id, concat(event_type, '-', CAST(user_id % 4 AS VARCHAR)) AS symbol, round(value + 1, 6) AS price FROM events",
+    "stream_trailing_ring": GROUPS["volatility"].sql({"bars": BARS}),
 }
