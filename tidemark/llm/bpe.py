@@ -225,6 +225,9 @@ class ByteBpe:
 
     def _plain(self, text: str) -> Iterator[list[int]]:
         out = Transducer(self)
+        if len(text) <= self.chunk:
+            yield out.feed(text) + out.close()
+            return
         for at in range(0, len(text), self.chunk):
             yield out.feed(text[at : at + self.chunk])
         yield out.close()
