@@ -7,11 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .functions.groups import GROUPS
-from .operators import evaluation, quality, relational, ticks
+from .operators import coverage, evaluation, quality, relational, ticks
 from .plans.dialect import duckdb_text, query
 from .sources.frames import FRAMES, frame
 
-SQL: dict[str, str] = {**relational.QUERIES, **ticks.QUERIES, **evaluation.QUERIES, **quality.QUERIES}
+SQL: dict[str, str] = {**relational.QUERIES, **ticks.QUERIES, **evaluation.QUERIES, **quality.QUERIES, **coverage.QUERIES}
 
 
 def _group(name: str) -> Callable[[SparkSession, str], DataFrame]:
