@@ -10,6 +10,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -359,6 +360,39 @@ def test_viterbi_is_the_best_path_of_the_lattice():
         assert toxicity.viterbi(token, model) == scored[0][1]
 
 
+def test_toxicity_learns_from_every_labelled_row(spark):
+    """Counts are those of all training rows, of tables larger than any sample; the calibration has seen them all."""
+    n = 30_000
+    df = spark.range(n).selectExpr("id AS doc_id", "concat('the cat sat', if(id % 10 = 0, ' stupid', ''), if(id % 3000 = 7, ' rareword', '')) AS text")
+    model = toxicity.fit(df, spark.range(n).selectExpr("id AS doc_id", "cast(id % 10 = 0 AS int) AS toxic"))
+    learnt = [k for k in range(n) if zlib.crc32(str(k).encode()) % 5]
+    assert len(learnt) > 20_000 and model["words"]["cat"] == len(learnt) and model["words"]["stupid"] == sum(k % 10 == 0 for k in learnt)
+    assert model["words"]["rareword"] == sum(k % 3000 == 7 for k in learnt) and model["chars"]["^^c"] == len(learnt)
+    points = pd.DataFrame({"y": [0, 1, 0, 1], "a": [0.0, 2.0, 2.0, 0.0], "b": [0.0] * 4, "c": [0.0] * 4, "n": [900, 80, 3, 5]})
+    apart = points.loc[points.index.repeat(points["n"])].assign(n=1)
+    assert np.allclose(toxicity._logistic(points, -2.0), toxicity._logistic(apart, -2.0))
+
+
+def test_toxicity_passes_over_no_weight_and_no_spaced_word():
+    """What is looked up only after a cheap test: the same weights and tokens as without it."""
+    rnd = random.Random(9)
+    words = "stupid idiot cat sat mat noon seen too bee".split()
+    grams: Counter = Counter()
+    for w in words:
+        s = "^^" + w + "$"
+        grams.update(s[i : i + 3] for i in range(len(s) - 2))
+    model = toxicity.CharModel(dict(grams), dict.fromkeys(words, 2))
+    cache = toxicity._Weights(model, {"idio": 2.0, "stupid": 3.0, "cat$": 1.0, "noon$": 1.5})
+    text = lambda n, letters: "".join(rnd.choice(letters) for _ in range(rnd.randint(1, n)))
+    for token in {"".join(rnd.choice(("", "", x, *toxicity.LOOKALIKES)) if rnd.random() < 0.3 else x * rnd.choice((1, 1, 1, 2, 5)) for x in rnd.choice(words)) + rnd.choice(("", "!", ",", "$$")) for _ in range(3000)} | {text(8, "cato0135s$!*-.iide,") for _ in range(2000)}:
+        if token:
+            found = [cache.weights[f] for f in toxicity.features(toxicity.restored(token, model)) if f in cache.weights]
+            assert cache[token] == max(found, default=0.0), token
+    for _ in range(5000):
+        s = text(30, "a b.c-d_e*1 @$!|+(<\u20ac\u00a3\u00a1\u00e9\u0301\u00df\u6f22 \n,ii..**")
+        assert toxicity.tokens(s) == s.lower().split() + [" " + m[0][::2] for m in toxicity._APART.finditer(s.lower()) if any(c.isalnum() for c in m[0])]
+
+
 # --- 5 ------------------------------------------------------------------------------------------------------------
 @pytest.mark.parametrize("digest", [None, lambda t: (F.length(t) % 3).cast("string")])
 def test_exact_dedup_by_bytes(docs, digest):

@@ -5,10 +5,10 @@ may stand for one or two; letters set apart by blanks or dots, and tokens longer
 Viterbi finds the letters with the best channel and character-trigram probability, over word boundaries where there may be
 several words; these are then cut by the best product of word probabilities. The restored words' prefixes are scored.
 
-Fitting uses at most `sample` labelled rows (those of the least hash of their id; 20,000 by default) with crc32(id) mod 5
-not 0: the character model from the different plain words of each text, one half's document frequencies by label for the
-weights, the other half for the calibration. Labels, language, source and ids are no inputs of a score. The model holds no
-more than these rows' words and features, so what is broadcast doesn't grow with the documents.
+Fitting uses every labelled row with crc32(id) mod 5 not 0, and its whole text: the character model from the different
+plain words of each text, the weights from document frequencies by label, the calibration from each half of the rows under
+the weights of the other half. Labels, language, source and ids are no inputs of a score. The model holds the words of two
+texts or more and the features with a weight, so what is broadcast grows with the vocabulary of the labelled texts.
 
 Defined results: null and empty texts get the score of a text without any known prefix; repeated rows get equal scores;
 without labels (or with one label only) every score is the labels' smoothed share; an empty table gives an empty result;
@@ -18,6 +18,7 @@ other columns are ignored; labels may repeat (the largest one counts) or be null
 from __future__ import annotations
 
 import math
+import re
 from collections import Counter
 from collections.abc import Iterator
 
@@ -30,8 +31,6 @@ from pyspark.sql import functions as F
 
 from .common import written
 
-#: Labelled rows that fitting uses at most; this alone bounds the model.
-SAMPLE = 20_000
 #: The likelihood ratio that some feature reaches by chance, and the least weight that counts.
 CHANCE, LEAST = 20.0, 0.5
 #: Tokens above so many characters may hold several words; a piece of them has at most so many letters.
@@ -42,13 +41,19 @@ LOOKALIKES = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "6": "g", "7":
 #: Log probabilities of the channel: a look-alike for a letter, a look-alike dropped, another sign dropped, a run for one or two letters, a digit kept; an unknown word.
 SUBSTITUTED, MISSED, DROPPED, REPEATED, KEPT_DIGIT, UNKNOWN = -0.5, -8.0, -0.5, -0.5, -6.0, -4.0
 CACHE = 400_000
+#: Counts that a task holds before it hands them on.
+HELD = 400_000
 _SIGNS = "@$!|+(<€£¡*"
 _APART = regex.compile(rf"(?<![^\W_])(?:[^\W_{_SIGNS}][ .\-_*]|[{_SIGNS}][ .\-_*]){{2,}}(?:[^\W_]|[{_SIGNS}])(?![^\W_])")
+#: Inside of what _APART finds; everything that this excludes stands for no letter.
+_INSIDE = re.compile(r"""[ .\-_*](?=[^\s.,;:\-_'"?/#%&)=\]\[][ .\-_*])""")
 _EDGE = regex.compile(r"^[^\w]+|[^\w]+$|_+$|^_+")
 #: Signs at a token's edges that stand for no letter.
 _BARE = regex.compile(rf"^(?:[^\w{_SIGNS}]|_)+|(?:[^\w{_SIGNS}]|_)+$")
 _RUN = regex.compile(r"(.)\1{3,}", regex.S)
-_TWICE, _THRICE = regex.compile(r"(.)\1"), regex.compile(r"(.)\1\1")
+#: Plain punctuation.
+_ENDS = ".,;:?'\"#%&/)=[]{}-_"
+_TWICE, _THRICE = re.compile(r"(.)\1"), re.compile(r"(.)\1\1")
 
 
 class _Logs(dict):
@@ -73,8 +78,7 @@ class CharModel:
         self.tri, self.two = counts, Counter()
         for g, c in counts.items():
             self.two[g[:2]] += c
-        total = math.log(sum(words.values())) if words else 0.0
-        self.words = {w: math.log(c) - total for w, c in (words or {}).items()}
+        self.words, self.total = words or {}, math.log(sum(words.values())) if words else 0.0
         self.k, self.size = k, max(30, len({g[2] for g in counts}))
 
         self.logs = _Logs(self)
@@ -83,33 +87,37 @@ class CharModel:
         return self.logs[context + c]
 
 
-def lattice(token: str) -> list[list[tuple[int, str, float]]]:
-    """At each position the edges (next position, letters, log probability of the channel)."""
-    edges: list[list[tuple[int, str, float]]] = []
-    # signs at the edges may be plain punctuation
+def _inner(token: str) -> tuple[int, int]:
+    """From and to where signs are inside a token; at its edges they may be plain punctuation."""
     left = next((i for i, c in enumerate(token) if c.isalnum()), len(token))
-    right = next((i for i in range(len(token), 0, -1) if token[i - 1].isalnum()), 0)
-    for i, c in enumerate(token):
-        here = []
-        run = 1
-        while i + run < len(token) and token[i + run] == c:
-            run += 1
-        if c.isalpha():
-            here.append((i + 1, c, 0.0))
+    return left, next((i for i in range(len(token), 0, -1) if token[i - 1].isalnum()), 0)
+
+
+def _edges(token: str, i: int, left: int, right: int) -> list[tuple[int, str, float]]:
+    here, c, run = [], token[i], 1
+    while i + run < len(token) and token[i + run] == c:
+        run += 1
+    if c.isalpha():
+        here.append((i + 1, c, 0.0))
+        if run > 1:
+            here.append((i + run, c, REPEATED))
+        if run > 2:
+            here.append((i + run, c + c, REPEATED))
+    else:
+        here.append((i + run, "", MISSED if c in LOOKALIKES and left <= i < right else DROPPED))
+        for x in LOOKALIKES.get(c, ""):
+            here.append((i + 1, x, SUBSTITUTED))
             if run > 1:
-                here.append((i + run, c, REPEATED))
-            if run > 2:
-                here.append((i + run, c + c, REPEATED))
-        else:
-            here.append((i + run, "", MISSED if c in LOOKALIKES and left <= i < right else DROPPED))
-            for x in LOOKALIKES.get(c, ""):
-                here.append((i + 1, x, SUBSTITUTED))
-                if run > 1:
-                    here.append((i + run, x, SUBSTITUTED + REPEATED))
-            if c.isdigit():
-                here.append((i + 1, c, KEPT_DIGIT))
-        edges.append(here)
-    return edges
+                here.append((i + run, x, SUBSTITUTED + REPEATED))
+        if c.isdigit():
+            here.append((i + 1, c, KEPT_DIGIT))
+    return here
+
+
+def lattice(token: str) -> list[list[tuple[int, str, float]]]:
+    """At each position the edges (next position, letters, log probability of the channel)."""
+    inner = _inner(token)
+    return [_edges(token, i, *inner) for i in range(len(token))]
 
 
 def _text(path: tuple | str | None) -> str:
@@ -160,7 +168,7 @@ def segmented(letters: str, model: CharModel) -> list[str]:
             q += logs[ctx + x]
             ctx = ctx[1] + x
             known = model.words.get(letters[i:j])
-            p = q + logs[ctx + "$"] if known is None else best[i] + known
+            p = q + logs[ctx + "$"] if known is None else best[i] + (math.log(known) - model.total)
             if p > best[j]:
                 best[j], back[j] = p, i
     out = []
@@ -175,6 +183,12 @@ def _plain(token: str) -> bool:
     return token.isalpha() and not _THRICE.search(token)
 
 
+def _core(token: str) -> str:
+    """A token without plain punctuation at its edges, its long runs cut to three."""
+    bare = token.strip(_ENDS)
+    return _RUN.sub(r"\1\1\1", bare if bare.isalpha() else _BARE.sub("", token.strip()))
+
+
 def restored(token: str, model: CharModel) -> list[str]:
     """A lower-cased token's words; only tokens with signs, digits, long runs or several words need the lattice."""
     several = token[0] == " " or len(token) > LONG
@@ -183,7 +197,7 @@ def restored(token: str, model: CharModel) -> list[str]:
         if _TWICE.search(token) and token not in model.words and (one := _TWICE.sub(r"\1", token)) in model.words:
             return [token, one]
         return [token]
-    core = _RUN.sub(r"\1\1\1", _BARE.sub("", token.strip()))
+    core = _core(token)
     plain = _plain(core)
     if not any(c.isalpha() for c in core) and not any(c in LOOKALIKES for c in core):
         return []
@@ -196,9 +210,12 @@ def tokens(text: str) -> list[str]:
     """Tokens, and letters set apart joined behind a blank."""
     text = text.lower()
     out = text.split()
-    for m in _APART.finditer(text):
-        if any(c.isalnum() for c in m[0]):
-            out.append(" " + m[0][::2])
+    end = 0
+    for inside in _INSIDE.finditer(text):
+        if end < inside.start() and (m := _APART.match(text, inside.start() - 1)):
+            end = m.end()
+            if any(c.isalnum() for c in m[0]):
+                out.append(" " + m[0][::2])
     return out
 
 
@@ -213,10 +230,39 @@ class _Weights(dict):
     def __init__(self, model: CharModel, weights: dict[str, float]):
         super().__init__()
         self.model, self.weights = model, weights
+        # the first four characters of every feature, and how these begin
+        self.heads = {f[:4] for f in weights}
+        self.starts = {h[:n] for h in self.heads for n in range(4)}
+
+    def _may(self, token: str) -> bool:
+        """False if no way to restore a token leads to a feature with a weight."""
+        heads = self.heads
+        if not heads or token[0] == " " or len(token) > LONG:
+            return bool(heads)
+        if _plain(token):
+            return (token + "$")[:4] in heads or (_TWICE.sub(r"\1", token) + "$")[:4] in heads
+        core = _core(token)
+        if _plain(core):
+            return (core + "$")[:4] in heads
+        inner, todo, seen = _inner(core), [(0, "")], set()
+        while todo:
+            i, begun = todo.pop()
+            if i == len(core):
+                if begun + "$" in heads:
+                    return True
+                continue
+            for j, letters, _ in _edges(core, i, *inner):
+                there = j, (begun + letters)[:4]
+                if there[1] in heads:
+                    return True
+                if there[1] in self.starts and there not in seen:
+                    seen.add(there)
+                    todo.append(there)
+        return False
 
     def __missing__(self, token: str) -> float:
         w, get = 0.0, self.weights.get
-        for word in restored(token, self.model):
+        for word in restored(token, self.model) if self._may(token) else ():
             for f in features([word]):
                 if (v := get(f)) is not None and v > w:
                     w = v
@@ -233,58 +279,100 @@ def evidence(text: str, cache: _Weights) -> tuple[float, float, float]:
     return (max(found, default=0.0), math.log1p(math.fsum(map(math.exp, found))), math.log1p(len(found)))
 
 
-def _characters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """In how many texts each plain word is, and the character trigrams of these words."""
-    words: Counter = Counter()
+class _Words(dict):
+    """Token -> the plain word that it is, or ""; a bounded cache."""
+
+    def __missing__(self, token: str) -> str:
+        w = token if token.isalpha() else _EDGE.sub("", token)
+        out = w if w.isalpha() and not _THRICE.search(w) else ""
+        if len(self) >= CACHE:
+            self.clear()
+        self[token] = out
+        return out
+
+
+class _Restored(dict):
+    """Token -> its restored words; a bounded cache."""
+
+    def __init__(self, model: CharModel):
+        super().__init__()
+        self.model = model
+
+    def __missing__(self, token: str) -> list[str]:
+        out = restored(token, self.model)
+        if len(token) <= 64:
+            if len(self) >= CACHE // 2:
+                self.clear()
+            self[token] = out
+        return out
+
+
+def _plain_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """In how many texts each plain word is; partial counts."""
+    counts, cache = Counter(), _Words()
+    sent = lambda: pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["word", "n"])
     for batch in batches:
         for text in batch.column(0):
-            own = {t if t.isalpha() else _EDGE.sub("", t) for t in set((text.as_py() or "").lower().split())}
-            words.update(w for w in own if w.isalpha() and not _THRICE.search(w))
-    counts: Counter = Counter({"=" + w: n for w, n in words.items()})
-    for w, n in words.items():
-        s = "^^" + w + "$"
-        for i in range(len(s) - 2):
-            counts[s[i : i + 3]] += n
+            own = set(map(cache.__getitem__, set((text.as_py() or "").lower().split())))
+            own.discard("")
+            counts.update(own)
+            if len(counts) >= HELD:
+                yield sent()
+                counts.clear()
+    yield sent()
+
+
+def _characters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The character trigrams of counted words; partial counts."""
+    counts: Counter = Counter()
+    for batch in batches:
+        for w, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            s = "^^" + w + "$"
+            for i in range(len(s) - 2):
+                counts[s[i : i + 3]] += n
     yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["gram", "n"])
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> dict:
-    """The model: character counts, weights and calibration; it is bounded by the sample."""
-    label = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("y")).where("y is not null and id is not null and pmod(crc32(cast(id as string)), 5) <> 0")
-    chosen = label.groupBy("id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("id"), "id").limit(sample)
-    # at most `sample` ids and labels, so the broadcast is bounded
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(chosen), "id")
-    rows = written(rows.select("text", (F.col("y") > 0).cast("int").alias("y"), F.pmod(F.crc32(F.concat(F.lit("half"), F.col("id").cast("string"))), F.lit(2)).cast("int").alias("half")), "toxic-sample")
-    grams = rows.select("text").mapInArrow(_characters, "gram string, n long").groupBy("gram").agg(F.sum("n").alias("n"))
-    grams = written(grams, "toxic-grams")
-    # what the sample has: it bounds both; a word of one text only is no evidence that there is such a word
-    of = lambda kind: dict(grams.where(kind).orderBy(F.desc("n"), "gram").toPandas().itertuples(index=False, name=None))
-    chars = of("NOT startswith(gram, '=')")
-    words = {w[1:]: n for w, n in of("startswith(gram, '=') AND n > 1").items()}
-    model = CharModel(chars, words)
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> dict:
+    """The model of all labelled rows: character counts, words, weights and calibration."""
+    spark = docs.sparkSession
+    learn = "id is not null and pmod(crc32(cast(id as string)), 5) <> 0"
+    label = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("y")).where(f"y is not null and {learn}").groupBy("id").agg(F.max("y").alias("y"))
+    # the labels' side is hashed part by part: it grows with the documents
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).where(learn).join(label.hint("shuffle_hash"), "id")
+    rows = written(rows.select("text", (F.col("y") > 0).cast("int").alias("y"), F.pmod(F.crc32(F.concat(F.lit("half"), F.col("id").cast("string"))), F.lit(2)).cast("int").alias("half")), "toxic-rows")
+    found = written(rows.select("text").mapInArrow(_plain_words, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")), "toxic-words")
+    of = lambda df: dict(zip(*(c.to_pylist() for c in df.toArrow().columns), strict=True))
+    chars = of(found.mapInArrow(_characters, "gram string, n long").groupBy("gram").agg(F.sum("n").alias("n")))
+    # a word of one text only is no evidence that there is such a word
+    words = of(found.where("n > 1"))
+    sent = spark.sparkContext.broadcast({"chars": chars, "words": words})
     sizes = {(r.half, r.y): r["n"] for r in rows.groupBy("half", "y").agg(F.count(F.lit(1)).alias("n")).collect()}
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: dict[str, list[int]] = {}
-        seen: dict[str, list[str]] = {}
+        cache = _Restored(_characters_of(sent))
+        counts: list[Counter] = [Counter() for _ in range(4)]
+
+        def partial() -> pa.RecordBatch:
+            names = list(set().union(*counts))
+            return pa.RecordBatch.from_arrays([pa.array(names, pa.string()), *(pa.array([c[f] for f in names], pa.int64()) for c in counts)], names=["f", "c0", "t0", "c1", "t1"])
+
         for batch in batches:
-            for text, y, half in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for text, y, half in zip(*batch.columns, strict=True):
                 own: set[str] = set()
-                for t in set(tokens(text)):
-                    if t not in seen:
-                        if len(seen) > CACHE:
-                            seen.clear()
-                        seen[t] = features(restored(t, model))
-                    own.update(seen[t])
-                for f in own:
-                    counts.setdefault(f, [0, 0, 0, 0])[2 * half + y] += 1
-        columns = list(zip(*counts.values(), strict=True)) or [[]] * 4
-        yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), *(pa.array(c, pa.int64()) for c in columns)], names=["f", "c0", "t0", "c1", "t1"])
+                for t in set(tokens(text.as_py())):
+                    own.update(features(cache[t]))
+                counts[2 * half.as_py() + y.as_py()].update(own)
+                if sum(map(len, counts)) >= HELD:
+                    yield partial()
+                    for c in counts:
+                        c.clear()
+        yield partial()
 
     total = rows.mapInArrow(frequencies, "f string, c0 long, t0 long, c1 long, t1 long").groupBy("f").agg(*(F.sum(c).alias(c) for c in ("c0", "t0", "c1", "t1")))
     # no other feature can have a weight in either half
     found = total.where("t0 + t1 >= 3").where(F.expr(f"(t0 + t1) * {max(1, sum(n for (_, y), n in sizes.items() if not y))} >= 4 * (c0 + c1) * {max(1, sum(n for (_, y), n in sizes.items() if y))}"))
-    table = found.orderBy("f").toPandas()
+    table = found.toArrow().to_pandas()
 
     def weigh(toxic: np.ndarray, clean: np.ndarray, halves: tuple[int, ...]) -> dict[str, float]:
         nt, nc = (sum(sizes.get((h, y), 0) for h in halves) for y in (1, 0))
@@ -296,34 +384,38 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str =
         keep = w > LEAST
         return dict(zip(table["f"][keep], w[keep].tolist(), strict=True))
 
-    half = weigh(table.t0.to_numpy(float), table.c0.to_numpy(float), (0,))
+    halves = [weigh(table[f"t{h}"].to_numpy(float), table[f"c{h}"].to_numpy(float), (h,)) for h in (0, 1)]
     full = weigh((table.t0 + table.t1).to_numpy(float), (table.c0 + table.c1).to_numpy(float), (0, 1))
 
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = _Weights(model, half)
+        model = _characters_of(sent)
+        # a row's weights come from the half that it isn't in
+        other = [_Weights(model, halves[1]), _Weights(model, halves[0])]
         for batch in batches:
-            x = np.array([evidence(t or "", cache) for t in batch.column(0).to_pylist()]).reshape(-1, 3)
+            x = np.array([evidence(t.as_py(), other[h.as_py()]) for t, h in zip(batch.column(0), batch.column(2), strict=True)]).reshape(-1, 3)
             yield pa.RecordBatch.from_arrays([batch.column(1), *(pa.array(c) for c in x.T)], names=["y", "a", "b", "c"])
 
-    points = rows.where("half = 1").select("text", "y").mapInArrow(measured, "y int, a double, b double, c double").toPandas()
+    # most rows have no evidence: equal ones are one point
+    points = rows.mapInArrow(measured, "y int, a double, b double, c double").groupBy("y", "a", "b", "c").agg(F.count(F.lit(1)).alias("n")).orderBy("y", "a", "b", "c").toArrow().to_pandas()
+    sent.unpersist()
     toxic, clean = (sum(n for (_, y), n in sizes.items() if y == v) for v in (1, 0))
     prior = math.log((toxic + 0.5) / (clean + 0.5))
     return {"chars": chars, "words": words, "weights": full, "line": _logistic(points, prior)}
 
 
 def _logistic(points, prior: float, ridge: float = 0.3) -> list[float]:
-    """Newton's method with step halving on a ridge-penalised logistic regression: intercept and one slope a feature."""
-    y = points["y"].to_numpy(float)
+    """Newton's method with step halving on a ridge-penalised logistic regression of counted points: intercept and one slope a feature."""
+    y, n = points["y"].to_numpy(float), points["n"].to_numpy(float)
     if not 0 < y.sum() < len(y):
         return [prior, 0.0, 0.0, 0.0]
     x = np.column_stack([np.ones(len(y)), points[["a", "b", "c"]].to_numpy(float)])
     b, centre = np.array([prior, 0.0, 0.0, 0.0]), np.array([prior, 0.0, 0.0, 0.0])
     penalty = np.array([1e-3, ridge, ridge, ridge])
-    loss = lambda b: np.logaddexp(0, x @ b).sum() - y @ (x @ b) + (penalty * (b - centre) ** 2).sum() / 2
+    loss = lambda b: n @ np.logaddexp(0, x @ b) - (n * y) @ (x @ b) + (penalty * (b - centre) ** 2).sum() / 2
     now = loss(b)
     for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(x @ b, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.diag(penalty), x.T @ (y - p) - penalty * (b - centre))
+        step = np.linalg.solve((x * (n * p * (1 - p))[:, None]).T @ x + np.diag(penalty), x.T @ (n * (y - p)) - penalty * (b - centre))
         size = 1.0
         while size > 1e-6 and loss(b + size * step) > now:
             size /= 2
@@ -334,7 +426,16 @@ def _logistic(points, prior: float, ridge: float = 0.3) -> list[float]:
     return b.tolist()
 
 
-_made: dict[int, tuple[dict, _Weights, np.ndarray]] = {}
+_made: dict[int, tuple] = {}
+
+
+def _characters_of(sent: Broadcast) -> CharModel:
+    """The character model, once a worker."""
+    model = sent.value
+    if id(model) not in _made:
+        _made.clear()
+        _made[id(model)] = model, CharModel(model["chars"], model["words"])
+    return _made[id(model)][1]
 
 
 def _ready(sent: Broadcast) -> tuple[_Weights, np.ndarray]:
