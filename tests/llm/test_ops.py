@@ -208,6 +208,13 @@ def test_a_surrogate_name_is_no_name_of_the_corpus(spark):
     assert "f|anna schmidt" in {r.n for r in odd}
 
 
+def test_pii_plan_stays_small():
+    """The driver parses and plans what it is given: a surrogate is spelled out once, its hashes too."""
+    first = pii.surrogate("e.t", "e.n", "0", "k")
+    whole = pii.replacements(first)
+    assert first.count("sha2(") == 8 and whole.count("sha2(") == 8 and len(whole) < 20_000
+
+
 # --- 3 and 7 ------------------------------------------------------------------------------------------------------
 ALPHABET = ["a", "b", " ", "  ", "\n", "'", "'re", "1", "é", "日", "😀", "!", "tion", "the", "<|endoftext|>", "\t", "<unk>", "<s>", "▁", "..."]
 

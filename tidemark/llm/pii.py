@@ -168,12 +168,14 @@ def _letters(s: str, h: str) -> str:
 def surrogate(t: str, n: str, attempt: str, key: str) -> str:
     """The surrogate of a normal form, itself in normal form (a name: as it is written)."""
     message = lambda part: f"concat('{part}|', {t}, '|', {n}, '|', {attempt})"
-    h = f"concat({_mac(key, message('a'))}, {_mac(key, message('b'))})"
+    # bound once as mac: spelled out wherever a byte is taken, they would multiply the plan and the work
+    hashes = f"concat({_mac(key, message('a'))}, {_mac(key, message('b'))})"
     domain = f"substring_index({n}, '@', -1)"
     host = f"left({domain}, length({domain}) - length(substring_index({domain}, '.', -1)))"
     # the domain has a surrogate of its own, so addresses of one domain stay together, but for the rare that find no mailbox there
     of_domain = lambda part: f"concat('{part}|', {domain}, if({attempt} > 8, concat('|', {attempt}), ''))"
-    dh = f"concat({_mac(key, of_domain('d'))}, {_mac(key, of_domain('e'))})"
+    of_host = f"CASE WHEN {t} = 'email' THEN concat({_mac(key, of_domain('d'))}, {_mac(key, of_domain('e'))}) END"
+    h, dh = "mac.h", "mac.d"
     email = f"concat({_letters(f'''substring_index({n}, '@', 1)''', h)}, '@', {_letters(host, dh)}, substring_index({domain}, '.', -1))"
     ip = f"array_join(transform(split({n}, '[.]'), (o, i) -> cast(1 + {_byte(h, 'i')} % 254 AS string)), '.')"
     hexes = f"array_join(transform(split({n}, ''), (c, i) -> substr('0123456789abcdef', {_byte(h, 'i')} % 16 + 1, 1)), '')"
@@ -188,7 +190,8 @@ def surrogate(t: str, n: str, attempt: str, key: str) -> str:
     # one more syllable with each attempt: there are always enough names
     family = "initcap(CASE " + " ".join(f"WHEN {script} = '{s}' THEN array_join(transform(sequence(1, 4 + {attempt}), (z, k) -> {choose(names, 'z')}), '')" for s, names in SYLLABLES.items()) + " END)"
     name = f"concat(if({n} LIKE '% %', concat({given}, ' '), ''), {family})"
-    return f"(CASE {t} WHEN 'email' THEN {email} WHEN 'ip' THEN {ip} WHEN 'secret' THEN {hexes} WHEN 'card' THEN {card} WHEN 'phone' THEN {phone} WHEN 'iban' THEN {iban} WHEN 'name' THEN {name} ELSE {_letters(n, h)} END)"
+    kinds = f"CASE {t} WHEN 'email' THEN {email} WHEN 'ip' THEN {ip} WHEN 'secret' THEN {hexes} WHEN 'card' THEN {card} WHEN 'phone' THEN {phone} WHEN 'iban' THEN {iban} WHEN 'name' THEN {name} ELSE {_letters(n, h)} END"
+    return f"element_at(transform(array(named_struct('h', {hashes}, 'd', {of_host})), mac -> {kinds}), 1)"
 
 
 def rendered(t: str, v: str, s: str) -> str:
@@ -249,7 +252,7 @@ def replace_entities(docs: DataFrame, key: str | None = None, id_col: str = "doc
     odd = exceptions(entities, key)
     first = surrogate("e.t", "e.n", "0", key)
     if not odd.limit(1).count():
-        return _rewritten(found, f"coalesce(CASE WHEN e.t IS NOT NULL THEN {rendered('e.t', 'e.v', first)} END, e.v)")
+        return _rewritten(found, first)
     # documents with an exceptional entity carry a map of their own exceptions
     row = found.withColumn("row", F.monotonically_increasing_id())
     found = written(row.where("exists(hits, e -> e.t IS NOT NULL)"), "pii-found")
@@ -257,13 +260,19 @@ def replace_entities(docs: DataFrame, key: str | None = None, id_col: str = "doc
     maps = used.groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws("|", "t", "n"), "s"))).alias("own"))
     with_maps = found.join(maps, "row", "left").select("doc_id", "text", "own_pattern", "hits", "own")
     chosen = f"coalesce(element_at(own, concat(e.t, '|', e.n)), {first})"
-    done = _rewritten(with_maps, f"coalesce(CASE WHEN e.t IS NOT NULL THEN {rendered('e.t', 'e.v', chosen)} END, e.v)")
+    done = _rewritten(with_maps, chosen)
     plain = _found(rows).where("NOT exists(hits, e -> e.t IS NOT NULL)")
-    return done.union(_rewritten(plain, "e.v"))
+    return done.union(_rewritten(plain, "CAST(NULL AS string)"))
 
 
-def _rewritten(found: DataFrame, replacement: str) -> DataFrame:
-    out = found.withColumn("to", F.expr(f"transform(hits, e -> {replacement})"))
+def replacements(chosen: str) -> str:
+    """What stands for each of a text's hits, as SQL; chosen: the surrogate of an entity e, which stands there once only."""
+    bound = f"transform(hits, e -> named_struct('t', e.t, 'v', e.v, 's', CASE WHEN e.t IS NOT NULL THEN {chosen} END))"
+    return f"transform({bound}, e -> coalesce(CASE WHEN e.t IS NOT NULL THEN {rendered('e.t', 'e.v', 'e.s')} END, e.v))"
+
+
+def _rewritten(found: DataFrame, chosen: str) -> DataFrame:
+    out = found.withColumn("to", F.expr(replacements(chosen)))
     between = F.expr(f"CASE WHEN own_pattern IS NOT NULL THEN split(text, own_pattern, -1) ELSE split(text, {_q(PATTERN)}, -1) END")
     out = out.withColumn("parts", F.when(F.size("hits") > 0, between))
     text = F.expr("CASE WHEN size(hits) = 0 THEN text ELSE concat(array_join(transform(hits, (e, i) -> concat(if(e.k = 0, parts[e.m], ''), to[i])), ''), element_at(parts, -1)) END")
