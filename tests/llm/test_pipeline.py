@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import hashlib
 import re
+import zlib
 
 import corpus_pipeline as pipeline
-from tidemark.llm import bpe
+from tidemark.llm import bpe, toxicity
 from tidemark.llm.common import written
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -47,6 +48,18 @@ def test_stages(spark, sf):
         assert r.n_tokens == len(ids) and r.decoded_sha256 == hashlib.sha256(clean[r.doc_id].encode()).hexdigest()
 
 
+def test_toxicity_stage_learns_from_every_labelled_row(spark, tmp_path, monkeypatch):
+    """The character model and the words of a table larger than any sample are those of all rows that aren't held out."""
+    n, models = 25_500, []
+    df = spark.range(n).selectExpr("id AS doc_id", "concat('the cat sat', if(id % 10 = 0, ' stupid', '')) AS text")
+    spark.range(n).selectExpr("id AS doc_id", "cast(id % 10 = 0 AS int) AS toxic").write.parquet(f"{tmp_path}/labels.parquet")
+    accepted = toxicity.accepted
+    monkeypatch.setattr(toxicity, "accepted", lambda docs, model: models.append(model) or accepted(docs, model))
+    assert pipeline.non_toxic(spark, df, str(tmp_path)).count() == n - n // 10
+    learnt = [k for k in range(n) if zlib.crc32(str(k).encode()) % 5]
+    assert len(learnt) > 20_000 and models[0]["chars"]["^^c"] == len(learnt) and models[0]["words"] == dict.fromkeys(("the", "cat", "sat"), len(learnt)) | {"stupid": sum(k % 10 == 0 for k in learnt)}
+
+
 def test_stages_take_tricky_and_empty_tables(spark, sf):
     """Repeated and null ids, null and empty texts, and columns with names that a stage might use itself."""
     rows = [

@@ -221,7 +221,12 @@ def tokens(text: str) -> list[str]:
 
 def features(words: list[str]) -> list[str]:
     """Prefixes, and the whole words with their end."""
-    return [f for word in words for f in [word[:n] for n in PREFIXES if len(word) >= n] + ([word + "$"] if len(word) > 2 else [])]
+    out = []
+    for word in words:
+        if len(word) > 2:
+            out.append(word + "$")
+            out += [word[:n] for n in PREFIXES[: max(0, len(word) + 1 - PREFIXES[0])]]
+    return out
 
 
 class _Weights(dict):
@@ -261,8 +266,10 @@ class _Weights(dict):
         return False
 
     def __missing__(self, token: str) -> float:
-        w, get = 0.0, self.weights.get
-        for word in restored(token, self.model) if self._may(token) else ():
+        w, get, head = 0.0, self.weights.get, token[:4]
+        # four letters, none beside itself, begin whatever the token is restored to
+        plain = head.isalpha() and len(head) == 4 and head[0] != head[1] != head[2] != head[3] and len(token) <= LONG
+        for word in restored(token, self.model) if (head in self.heads or not plain) and self._may(token) else ():
             for f in features([word]):
                 if (v := get(f)) is not None and v > w:
                     w = v
@@ -291,17 +298,17 @@ class _Words(dict):
         return out
 
 
-class _Restored(dict):
-    """Token -> its restored words; a bounded cache."""
+class _Features(dict):
+    """Token -> the features of its restored words; a bounded cache."""
 
     def __init__(self, model: CharModel):
         super().__init__()
         self.model = model
 
     def __missing__(self, token: str) -> list[str]:
-        out = restored(token, self.model)
+        out = features(restored(token, self.model))
         if len(token) <= 64:
-            if len(self) >= CACHE // 2:
+            if len(self) >= CACHE // 4:
                 self.clear()
             self[token] = out
         return out
@@ -350,18 +357,17 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     sizes = {(r.half, r.y): r["n"] for r in rows.groupBy("half", "y").agg(F.count(F.lit(1)).alias("n")).collect()}
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = _Restored(_characters_of(sent))
+        cache = _Features(_characters_of(sent))
         counts: list[Counter] = [Counter() for _ in range(4)]
 
         def partial() -> pa.RecordBatch:
             names = list(set().union(*counts))
-            return pa.RecordBatch.from_arrays([pa.array(names, pa.string()), *(pa.array([c[f] for f in names], pa.int64()) for c in counts)], names=["f", "c0", "t0", "c1", "t1"])
+            return pa.RecordBatch.from_arrays([pa.array(names, pa.string()), *(pa.array([c.get(f, 0) for f in names], pa.int64()) for c in counts)], names=["f", "c0", "t0", "c1", "t1"])
 
         for batch in batches:
             for text, y, half in zip(*batch.columns, strict=True):
                 own: set[str] = set()
-                for t in set(tokens(text.as_py())):
-                    own.update(features(cache[t]))
+                own.update(*map(cache.__getitem__, set(tokens(text.as_py()))))
                 counts[2 * half.as_py() + y.as_py()].update(own)
                 if sum(map(len, counts)) >= HELD:
                     yield partial()
