@@ -256,9 +256,9 @@ add("asset_flags", "bars", [], {"is_shortable": flag("cluster_id <> 3"), "is_eas
 
 # --- window paths -----------------------------------------------------------------------------------------------
 PATH = "[[sort_array(collect_list(struct(t, close)) OVER (PARTITION BY symbol ORDER BY t RANGE BETWEEN 59 PRECEDING AND CURRENT ROW))::list(close ORDER BY t) OVER (PARTITION BY symbol ORDER BY t RANGE BETWEEN 59 PRECEDING AND CURRENT ROW)]]"
-#: (running extreme, largest move from it) folded along the window; both engines have a list fold.
-DOWN = "[[aggregate(path, named_struct('m', CAST(-1e300 AS double), 'd', CAST(0 AS double)), (a, x) -> named_struct('m', greatest(a.m, x.close), 'd', least(a.d, x.close / nullif(greatest(a.m, x.close), 0) - 1)), a -> a.d)::list_min(list_transform(range(1, len(path) + 1), lambda i: path[i] / nullif(list_max(path[1:i]), 0) - 1))]]"
-UP = "[[aggregate(path, named_struct('m', CAST(1e300 AS double), 'd', CAST(0 AS double)), (a, x) -> named_struct('m', least(a.m, x.close), 'd', greatest(a.d, x.close / nullif(least(a.m, x.close), 0) - 1)), a -> a.d)::list_max(list_transform(range(1, len(path) + 1), lambda i: path[i] / nullif(list_min(path[1:i]), 0) - 1))]]"
+#: (running extreme, largest move from it) folded along the window; both engines have a list fold. A move from an extreme of 0 is none.
+DOWN = "[[aggregate(path, named_struct('m', CAST(NULL AS double), 'd', CAST(NULL AS double)), (a, x) -> named_struct('m', greatest(a.m, x.close), 'd', least(a.d, x.close / nullif(greatest(a.m, x.close), 0) - 1)), a -> a.d)::list_min(list_transform(range(1, len(path) + 1), lambda i: path[i] / nullif(list_max(path[1:i]), 0) - 1))]]"
+UP = "[[aggregate(path, named_struct('m', CAST(NULL AS double), 'd', CAST(NULL AS double)), (a, x) -> named_struct('m', least(a.m, x.close), 'd', greatest(a.d, x.close / nullif(least(a.m, x.close), 0) - 1)), a -> a.d)::list_max(list_transform(range(1, len(path) + 1), lambda i: path[i] / nullif(list_min(path[1:i]), 0) - 1))]]"
 add("draw_range", "bars", [{"path": PATH, "n": within("count", "close", 60)}, {"dd": where("n >= 2", DOWN), "du": where("n >= 2", UP)}], {"draw_range_60m": "du - dd", "max_drawup_60m": "du", "max_drawdown_60m": "-dd"})
 # runs of one sign: the run's start, cut by the window's start
 W = (5, 10, 15, 20, 30, 60)
