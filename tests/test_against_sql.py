@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import time
+
 import duckdb
 import pandas as pd
+import pytest
 
 from tests.conftest import canonical
+from tidemark import registry
 from tidemark.functions.groups import GROUPS
 
 
@@ -15,6 +19,45 @@ def agree(got: pd.DataFrame, want: pd.DataFrame) -> None:
     assert not (got != want).any(axis=None), f"\n{got[(got != want).any(axis=1)].head()}\n{want[(got != want).any(axis=1)].head()}"
 
 
+#: Events of one symbol, 30 seconds apart over three weeks: what every row looks back on grows with the table.
+CROWDED = "SELECT i AS event_id, TIMESTAMP '2024-01-01 00:00:07' + INTERVAL (i * 30) SECOND AS ts, 5 AS user_id, 'view' AS event_type, 1.0 + i * 7919 % 1000 AS value, '{{\"k\": ' || i * 31 % 97 || '}}' AS props FROM range({n}) r(i)"
+#: Ends of days and hours, gaps, many at once, missing times, values and sizes, prices of zero and below.
+ODD = """
+SELECT i AS event_id, CASE WHEN i % 41 = 0 THEN NULL WHEN i % 5 = 0 THEN TIMESTAMP '2024-01-01' + INTERVAL (i % 7) DAY WHEN i % 5 = 1 THEN TIMESTAMP '2023-12-30' + INTERVAL (i % 60) HOUR
+  WHEN i % 5 = 2 THEN TIMESTAMP '2024-01-02' - INTERVAL 1 MICROSECOND + INTERVAL (i % 3) MICROSECOND WHEN i % 5 = 3 THEN TIMESTAMP '2024-02-01' + INTERVAL (i * i % 500) DAY ELSE TIMESTAMP '1969-12-20' + INTERVAL (i * 577) MINUTE END AS ts,
+  i * 13 % 6 AS user_id, 'view' AS event_type, CASE WHEN i % 29 = 0 THEN NULL ELSE i * 7919 % 500 - 2.0 END AS value, CASE WHEN i % 31 <> 0 THEN '{"k": ' || i * 31 % 97 || '}' END AS props FROM range(1200) r(i)
+"""
+
+
+@pytest.fixture
+def events(spark, tmp_path):
+    """Writes a table of events; gives a query's rows over it in Spark, the time this took, and its SQL's rows."""
+
+    def run(name: str, made: str) -> tuple[pd.DataFrame, float, pd.DataFrame]:
+        con = duckdb.connect()
+        con.execute(f"COPY ({made}) TO '{tmp_path}/events.parquet' (FORMAT parquet)")
+        con.execute(f"CREATE VIEW events AS SELECT * FROM read_parquet('{tmp_path}/events.parquet')")
+        began = time.monotonic()
+        got = registry.queries()[name](spark, str(tmp_path)).toPandas()
+        return got, time.monotonic() - began, con.execute(registry.oracle_sql()[name]).fetchdf()
+
+    return run
+
+
+@pytest.mark.parametrize("name", ["edgar_filing_frequency"])
+def test_odd_events(events, name):
+    got, _, want = events(name, ODD)
+    agree(got, want)
+    assert len(got) > 100
+
+
+@pytest.mark.parametrize(("name", "rows"), [("edgar_filing_frequency", 60_000)])
+def test_time_grows_with_the_table_not_its_square(events, name, rows):
+    got, took, want = events(name, CROWDED.format(n=rows))
+    agree(got, want)
+    assert took < 25
+
+
 def test_draw_range_from_an_extreme_of_zero(spark):
     paths = {"rises": [0, 5, 3], "falls": [0, -3, -5], "zeros": [0, 0, 4, 0, 2], "later": [3, 0, 5, 0, 7], "missing": [None, 0, None, 5], "none": [None, None], "usual": [4, 6, 3, 9], "below": [-2, -4, -1, 0]}
     closes = [(s, 10 + t, None if c is None else float(c)) for s, path in paths.items() for t, c in enumerate(path)]

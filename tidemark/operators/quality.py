@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from ..plans.dialect import either
 from ..sources.frames import BARS, DAILY, FILINGS, NEWS, SIGNED, TRADES
 
 N = 1.7e-10
@@ -81,7 +82,17 @@ WITH k AS (SELECT symbol, (t + 1) * 3600000000 AS us FROM ({BARS}) b), u AS (SEL
 w AS (SELECT *, {', '.join(f"{f}(s) OVER (PARTITION BY symbol ORDER BY us RANGE BETWEEN {h * 3600000000 - 1} PRECEDING AND CURRENT ROW) AS {f}{h}" for h in (1, 24, 168) for f in ('avg', 'sum', 'count'))}, [[last(s, true)::last_value(s IGNORE NULLS)]] OVER (PARTITION BY symbol ORDER BY us, kind ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS held, max(CASE WHEN kind = 0 THEN us END) OVER (PARTITION BY symbol ORDER BY us, kind ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS seen_us FROM u)
 SELECT symbol, us, {', '.join(f"{r(f'avg{h}')} AS news_sentiment_mean_{n}, {r(f'coalesce(sum{h}, 0)')} AS news_sentiment_sum_{n}, count{h} AS news_count_{n}" for h, n in ((1, '60m'), (24, '1d'), (168, '7d')))}, {r('held')} AS news_sentiment_last, {r('(us - seen_us) / 60000000.0', 4)} AS news_minutes_since_last FROM w WHERE kind = 1"""
 day_us = 86400000000
-QUERIES["edgar_filing_frequency"] = f"""
+FORMS = ("8-K", "10-Q", "10-K", "4")
+EDGAR_SQL = f"""
 WITH k AS (SELECT DISTINCT symbol, (CAST(floor(available_us / {day_us}) AS bigint) + 1) * {day_us} AS us FROM ({FILINGS}) f), u AS (SELECT symbol, us, 1 AS kind, CAST(NULL AS [[string::varchar]]) AS form FROM k UNION ALL SELECT symbol, available_us, 0, form_type FROM ({FILINGS}) g),
-w AS (SELECT *, {', '.join(f"count(form) OVER (PARTITION BY symbol ORDER BY us RANGE BETWEEN {d * day_us - 1} PRECEDING AND CURRENT ROW) AS n{d}" for d in (7, 30, 90, 365))}, {', '.join(f"count(CASE WHEN form = '{f}' THEN 1 END) OVER (PARTITION BY symbol ORDER BY us RANGE BETWEEN {90 * day_us - 1} PRECEDING AND CURRENT ROW) AS c{k}" for k, f in enumerate(('8-K', '10-Q', '10-K', '4')))}, max(CASE WHEN kind = 0 THEN us END) OVER (PARTITION BY symbol ORDER BY us, kind ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS seen_us, max(CASE WHEN form = '8-K' THEN us END) OVER (PARTITION BY symbol ORDER BY us, kind ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS at8 FROM u)
-SELECT symbol, us, n7 AS edgar_filing_count_7d, n30 AS edgar_filing_count_30d, n90 AS edgar_filing_count_90d, {', '.join(f'c{k} AS edgar_count_{n}_90d' for k, n in enumerate(('8k', '10q', '10k', '4')))}, {r('(us - seen_us) / 60000000.0', 4)} AS edgar_minutes_since_last_filing, {r('(us - at8) / 60000000.0', 4)} AS edgar_minutes_since_last_8k, {r('n7 / nullif(n365 * 7 / 365.0, 0)')} AS edgar_filing_burst FROM w WHERE kind = 1"""
+w AS (SELECT *, {', '.join(f"count(form) OVER (PARTITION BY symbol ORDER BY us RANGE BETWEEN {d * day_us - 1} PRECEDING AND CURRENT ROW) AS n{d}" for d in (7, 30, 90, 365))}, {', '.join(f"count(CASE WHEN form = '{f}' THEN 1 END) OVER (PARTITION BY symbol ORDER BY us RANGE BETWEEN {90 * day_us - 1} PRECEDING AND CURRENT ROW) AS c{k}" for k, f in enumerate(FORMS))}, max(CASE WHEN kind = 0 THEN us END) OVER (PARTITION BY symbol ORDER BY us, kind ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS seen_us, max(CASE WHEN form = '8-K' THEN us END) OVER (PARTITION BY symbol ORDER BY us, kind ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS at8 FROM u)
+"""
+#: Rows are asked at whole days over windows of whole days, so filings are counted by symbol and day first; windows run over the days.
+EDGAR_DAYS = f"""
+WITH k AS (SELECT DISTINCT symbol, (CAST(floor(available_us / {day_us}) AS bigint) + 1) * {day_us} AS us FROM ({FILINGS}) f), f AS (SELECT *, available_us + pmod(-available_us, {day_us}) AS us FROM ({FILINGS}) f0),
+u AS (SELECT symbol, us, 1 AS kind, {', '.join(f'CAST(NULL AS bigint) AS {x}' for x in ('m', 'm0', 'm1', 'm2', 'm3', 'newest', 'newest8'))} FROM k
+  UNION ALL SELECT symbol, us, 0, count(form_type), {', '.join(f"count(CASE WHEN form_type = '{f}' THEN 1 END)" for f in FORMS)}, max(available_us), max(CASE WHEN form_type = '8-K' THEN available_us END) FROM f GROUP BY symbol, us),
+w AS (SELECT *, {', '.join(f"coalesce(sum({m}) OVER (PARTITION BY symbol ORDER BY us RANGE BETWEEN {d * day_us - 1} PRECEDING AND CURRENT ROW), 0) AS {n}" for m, d, n in (*(('m', d, f'n{d}') for d in (7, 30, 90, 365)), *((f'm{k}', 90, f'c{k}') for k in range(4))))}, {', '.join(f"max({x}) OVER (PARTITION BY symbol ORDER BY us, kind ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS {n}" for x, n in (('newest', 'seen_us'), ('newest8', 'at8')))} FROM u)
+"""
+EDGAR = f"""SELECT symbol, us, n7 AS edgar_filing_count_7d, n30 AS edgar_filing_count_30d, n90 AS edgar_filing_count_90d, {', '.join(f'c{k} AS edgar_count_{n}_90d' for k, n in enumerate(('8k', '10q', '10k', '4')))}, {r('(us - seen_us) / 60000000.0', 4)} AS edgar_minutes_since_last_filing, {r('(us - at8) / 60000000.0', 4)} AS edgar_minutes_since_last_8k, {r('n7 / nullif(n365 * 7 / 365.0, 0)')} AS edgar_filing_burst FROM w WHERE kind = 1"""
+QUERIES["edgar_filing_frequency"] = either(EDGAR_DAYS + EDGAR, EDGAR_SQL + EDGAR)

@@ -23,6 +23,13 @@ def duckdb_text(sql: str) -> str:
     return _DECIMAL.sub(r"\1e0", _MARK.sub(r"\2", sql))
 
 
+def either(spark: str, duckdb: str) -> str:
+    """A query that Spark answers in another way than its SQL says: both whole, their marks resolved."""
+    spark, duckdb = spark_text(spark), duckdb_text(duckdb)
+    assert "::" not in spark and "]]" not in duckdb, "these end a mark"
+    return f"[[{spark}::{duckdb}]]"
+
+
 def run_sql(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     """The query over the Parquet tables it names; views are read lazily, so scans keep their pruning and pushdown."""
     text = spark_text(sql)
