@@ -11,6 +11,8 @@ import pytest
 from tests.conftest import canonical
 from tidemark import registry
 from tidemark.functions.groups import GROUPS
+from tidemark.operators import ticks
+from tidemark.plans.dialect import duckdb_text, spark_text
 
 
 def agree(got: pd.DataFrame, want: pd.DataFrame) -> None:
@@ -44,20 +46,37 @@ def events(spark, tmp_path):
     return run
 
 
-@pytest.mark.parametrize("name", ["edgar_filing_frequency"])
+@pytest.mark.parametrize("name", ["edgar_filing_frequency", "realized_half_spread"])
 def test_odd_events(events, name):
     got, _, want = events(name, ODD)
     agree(got, want)
     assert len(got) > 100
 
 
-@pytest.mark.parametrize(("name", "rows"), [("edgar_filing_frequency", 60_000)])
+@pytest.mark.parametrize(("name", "rows"), [("edgar_filing_frequency", 60_000), ("realized_half_spread", 60_000)])
 def test_time_grows_with_the_table_not_its_square(events, name, rows):
     got, took, want = events(name, CROWDED.format(n=rows))
     agree(got, want)
     assert took < 25
 
 
+def test_entries_between_blocks(spark):
+    """Entries at any time, some of them twice, over quotes at equal times and ends of windows."""
+    quotes = [(s, (k * k * 37 + 11 * s) % 3000 - 900, k, 9.0 + k % 3, 9.0 + k % 3 + k % 7 * 0.25, float(k % 5), 1.0) for s in range(3) for k in range(700)]
+    entries = [(s, us) for s in range(4) for us in (*range(-1000, 2400, 50), *range(-960, 2400, 240), 17, 17, 17)]
+    con = duckdb.connect()
+    for name, rows, columns in (("quotes_q", quotes, "symbol bigint, us bigint, quote_id bigint, bid double, ask double, bid_size double, ask_size double"), ("entries_q", entries, "symbol bigint, us bigint")):
+        spark.createDataFrame(rows, columns).createOrReplaceTempView(name)
+        con.register(name, pd.DataFrame(rows, columns=[c.split()[0] for c in columns.split(", ")]))
+    text = ticks.half_spread_at("SELECT * FROM entries_q", "SELECT * FROM quotes_q", window_us=240)
+    got, want = spark.sql(spark_text(text)).toPandas(), con.execute(duckdb_text(text)).fetchdf()
+    assert len(got) == len(entries) and got.half_spread_bps.notna().sum() > 100
+    # the last place may fall on either side of a rounding boundary
+    keys = ["symbol", "us", "half_spread_bps"]
+    got, want = got.sort_values(keys).reset_index(drop=True), want.sort_values(keys).reset_index(drop=True)
+    pd.testing.assert_frame_equal(got[keys], want[keys], check_dtype=False, atol=2e-4)
+
+
 def test_draw_range_from_an_extreme_of_zero(spark):
     paths = {"rises": [0, 5, 3], "falls": [0, -3, -5], "zeros": [0, 0, 4, 0, 2], "later": [3, 0, 5, 0, 7], "missing": [None, 0, None, 5], "none": [None, None], "usual": [4, 6, 3, 9], "below": [-2, -4, -1, 0]}
     closes = [(s, 10 + t, None if c is None else float(c)) for s, path in paths.items() for t, c in enumerate(path)]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from ..plans.dialect import either
 from ..sources.frames import BARS, QUOTE_BARS, QUOTES, SIGNED, TAPE_QUOTES, TRADES
 
 #: Prints of this size and above are large; odd lots are smaller than ROUND.
@@ -64,16 +65,34 @@ QUERIES["lee_ready_sign"] = f"SELECT symbol, t, id, CAST(sign(price - held) AS i
 def half_spread_at(entries: str, quotes: str, window_us: int = 300_000_000, least: int = 5) -> str:
     """Dwell-weighted relative half spread (bps) of the valid quotes in [entry - window, entry); the last one stands until the entry.
 
-    entries: symbol, us. Null with fewer than `least` valid quotes. One sort of the union, no range join.
+    entries: symbol, us. Null with fewer than `least` valid quotes. Spark cuts time into blocks as long as the window: what a
+    window holds is the end of one block and the beginning of the next, both running sums. No range join, no sliding frame.
     """
     over = f"OVER (PARTITION BY symbol ORDER BY us RANGE BETWEEN {window_us} PRECEDING AND 1 PRECEDING)"
     last = lambda x: f"[[max_by({x}, CASE WHEN kind = 0 THEN struct(us, id) END)::arg_max({x}, CASE WHEN kind = 0 THEN (us, id) END)]] {over}"
-    return f"""
-WITH v AS (SELECT symbol, us, quote_id AS id, (ask - bid) / ((ask + bid) / 2) * 5000 AS half, coalesce(lead(us) OVER (PARTITION BY symbol ORDER BY us, quote_id) - us, 0) / 1e6 AS dwell FROM ({quotes}) q WHERE bid > 0 AND ask > bid AND bid_size > 0 AND ask_size > 0),
+    valid = f"WITH v AS (SELECT symbol, us, quote_id AS id, (ask - bid) / ((ask + bid) / 2) * 5000 AS half, coalesce(lead(us) OVER (PARTITION BY symbol ORDER BY us, quote_id) - us, 0) / 1e6 AS dwell FROM ({quotes}) q WHERE bid > 0 AND ask > bid AND bid_size > 0 AND ask_size > 0),"
+    out = f"SELECT symbol, us, {r('CASE WHEN n >= ' + str(least) + ' THEN CASE WHEN sw <= 1e-9 THEN plain ELSE hw / sw END END', 4)} AS half_spread_bps FROM z"
+    sliding = f"""
+{valid}
 u AS (SELECT symbol, us, 0 AS kind, id, half, dwell, us / 1e6 AS sec FROM v UNION ALL SELECT symbol, us, 1 AS kind, CAST(0 AS bigint) AS id, CAST(NULL AS double) AS half, CAST(NULL AS double) AS dwell, CAST(NULL AS double) AS sec FROM ({entries}) e),
 w AS (SELECT symbol, us, kind, sum(half * dwell) {over} AS hw, sum(dwell) {over} AS sw, avg(half) {over} AS plain, count(half) {over} AS n, {last('half')} AS last_half, {last('dwell')} AS last_dwell, us / 1e6 - {last('sec')} AS stood FROM u),
 z AS (SELECT symbol, us, n, plain, hw - last_half * last_dwell + last_half * stood AS hw, sw - last_dwell + stood AS sw FROM w WHERE kind = 1)
-SELECT symbol, us, {r('CASE WHEN n >= ' + str(least) + ' THEN CASE WHEN sw <= 1e-9 THEN plain ELSE hw / sw END END', 4)} AS half_spread_bps FROM z"""
+{out}"""
+    head, tail = (f"OVER (PARTITION BY symbol, block ORDER BY {order} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)" for order in ("us, kind, id", "us DESC, kind, id DESC"))
+    # entries ask twice: at the entry for the block's quotes before it (-1), a window earlier for the quotes from there on (1)
+    part = lambda x: f"CASE WHEN kind < 0 THEN {x} {head} ELSE {x} {tail} END"
+    newest = lambda x: f"CASE WHEN kind < 0 THEN last({x}, true) {head} ELSE first({x}, true) {tail} END"
+    later = lambda x: f"coalesce(max(CASE WHEN kind < 0 THEN {x} END), max(CASE WHEN kind > 0 THEN {x} END))"
+    blocks = f"""
+{valid}
+e AS (SELECT symbol, us AS entry, count(*) AS copies FROM ({entries}) e0 GROUP BY symbol, us),
+a AS (SELECT symbol, CASE WHEN kind < 0 THEN entry ELSE entry - {window_us} END AS us, kind, entry, copies FROM e LATERAL VIEW explode(array(-1, 1)) x AS kind),
+u AS (SELECT *, us - pmod(us, {window_us}) AS block FROM (SELECT symbol, us, 0 AS kind, id, half, dwell, us / 1e6 AS sec, CAST(NULL AS bigint) AS entry, CAST(NULL AS bigint) AS copies FROM v UNION ALL SELECT symbol, us, kind, CAST(NULL AS bigint), CAST(NULL AS double), CAST(NULL AS double), CAST(NULL AS double), entry, copies FROM a) u0),
+p AS (SELECT symbol, entry, copies, kind, {part('sum(half * dwell)')} AS hw, {part('sum(dwell)')} AS sw, {part('sum(half)')} AS halves, {part('count(half)')} AS n, {newest('half')} AS last_half, {newest('dwell')} AS last_dwell, {newest('sec')} AS last_sec FROM u),
+w AS (SELECT symbol, entry AS us, copies, sum(hw) AS hw, sum(sw) AS sw, sum(halves) / nullif(sum(n), 0) AS plain, sum(n) AS n, {later('last_half')} AS last_half, {later('last_dwell')} AS last_dwell, entry / 1e6 - {later('last_sec')} AS stood FROM p WHERE kind <> 0 GROUP BY symbol, entry, copies),
+z AS (SELECT symbol, us, n, plain, hw - last_half * last_dwell + last_half * stood AS hw, sw - last_dwell + stood AS sw FROM w LATERAL VIEW explode(array_repeat(0, CAST(copies AS int))) x AS one)
+{out}"""
+    return either(blocks, sliding)
 
 
 #: The tape here has some prints an hour and symbol, so a day stands for the minutes of the default.
