@@ -46,14 +46,14 @@ def events(spark, tmp_path):
     return run
 
 
-@pytest.mark.parametrize("name", ["edgar_filing_frequency", "realized_half_spread"])
+@pytest.mark.parametrize("name", ["edgar_filing_frequency", "realized_half_spread", "intraday_panel"])
 def test_odd_events(events, name):
     got, _, want = events(name, ODD)
     agree(got, want)
     assert len(got) > 100
 
 
-@pytest.mark.parametrize(("name", "rows"), [("edgar_filing_frequency", 60_000), ("realized_half_spread", 60_000)])
+@pytest.mark.parametrize(("name", "rows"), [("edgar_filing_frequency", 60_000), ("realized_half_spread", 60_000), ("intraday_panel", 60_000)])
 def test_time_grows_with_the_table_not_its_square(events, name, rows):
     got, took, want = events(name, CROWDED.format(n=rows))
     agree(got, want)
