@@ -36,6 +36,7 @@ CHANCE, LEAST = 20.0, 0.5
 #: Tokens above so many characters may hold several words; a piece of them has at most so many letters.
 LONG, PIECE = 20, 24
 PREFIXES = (4, 5, 6, 7, 8)
+_CUTS = tuple(map(slice, PREFIXES))
 #: What may stand for which letters; fixed values.
 LOOKALIKES = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "<": "c", "€": "e", "£": "l", "¡": "i", "*": "aeiou"}
 #: Log probabilities of the channel: a look-alike for a letter, a look-alike dropped, another sign dropped, a run for one or two letters, a digit kept; an unknown word.
@@ -71,6 +72,22 @@ class _Logs(dict):
         return out
 
 
+class _Paths(dict):
+    """(core of a token, whether several words) -> the letters of its best path; a bounded cache."""
+
+    def __init__(self, model: CharModel):
+        super().__init__()
+        self.model = model
+
+    def __missing__(self, key: tuple[str, bool]) -> str:
+        out = viterbi(key[0], self.model, key[1])
+        if len(key[0]) <= 64:
+            if len(self) >= CACHE // 4:
+                self.clear()
+            self[key] = out
+        return out
+
+
 class CharModel:
     """A character trigram model with add-k smoothing, over letters and the word's edges; with the frequent words."""
 
@@ -81,7 +98,7 @@ class CharModel:
         self.words, self.total = words or {}, math.log(sum(words.values())) if words else 0.0
         self.k, self.size = k, max(30, len({g[2] for g in counts}))
 
-        self.logs = _Logs(self)
+        self.logs, self.paths = _Logs(self), _Paths(self)
 
     def log(self, context: str, c: str) -> float:
         return self.logs[context + c]
@@ -186,22 +203,24 @@ def _plain(token: str) -> bool:
 def _core(token: str) -> str:
     """A token without plain punctuation at its edges, its long runs cut to three."""
     bare = token.strip(_ENDS)
-    return _RUN.sub(r"\1\1\1", bare if bare.isalpha() else _BARE.sub("", token.strip()))
+    if not bare.isalpha():
+        bare = _BARE.sub("", token.strip())
+    return _RUN.sub(r"\1\1\1", bare) if _THRICE.search(bare) else bare
 
 
 def restored(token: str, model: CharModel) -> list[str]:
     """A lower-cased token's words; only tokens with signs, digits, long runs or several words need the lattice."""
     several = token[0] == " " or len(token) > LONG
-    if not several and _plain(token):
+    if not several and token.isalpha() and not ((twice := _TWICE.search(token)) and _THRICE.search(token)):
         # two of a kind may be one: if that is a word and this is none, both are scored
-        if _TWICE.search(token) and token not in model.words and (one := _TWICE.sub(r"\1", token)) in model.words:
+        if twice and token not in model.words and (one := _TWICE.sub(r"\1", token)) in model.words:
             return [token, one]
         return [token]
     core = _core(token)
     plain = _plain(core)
     if not any(c.isalpha() for c in core) and not any(c in LOOKALIKES for c in core):
         return []
-    word = core if plain else viterbi(core, model, several)
+    word = core if plain else model.paths[core, several]
     # the whole stays a word, as it may be an inflected or a compound one
     return [word, *segmented(word, model)] if several else [word]
 
@@ -225,7 +244,7 @@ def features(words: list[str]) -> list[str]:
     for word in words:
         if len(word) > 2:
             out.append(word + "$")
-            out += [word[:n] for n in PREFIXES[: max(0, len(word) + 1 - PREFIXES[0])]]
+            out += map(word.__getitem__, _CUTS[: max(0, len(word) + 1 - PREFIXES[0])])
     return out
 
 
