@@ -60,6 +60,21 @@ def test_time_grows_with_the_table_not_its_square(events, name, rows):
     assert took < 25
 
 
+#: Hours of one or several trades and gaps up to three days, full hours to the microsecond, hours without any valid quote.
+SPARSE = """
+SELECT CASE WHEN i % 6 = 5 THEN i * 42 ELSE i * 7 + 1 END AS event_id, TIMESTAMP '2024-01-01' + INTERVAL (i // 9 * 5 + i * i % 71) HOUR + INTERVAL (CASE WHEN i % 4 = 0 THEN 0 WHEN i % 4 = 1 THEN 3599999999 ELSE i * 104729 % 3600000 * 1000 END) MICROSECOND AS ts,
+  i % 2 + i // 7 % 3 * 4 AS user_id, CASE WHEN i % 3 = 0 THEN 'view' ELSE 'click' END AS event_type, 50.0 + i * 7919 % 100 AS value, '{"k": ' || CASE WHEN i // 40 % 4 = 3 THEN 0 ELSE i % 9 END || '}' AS props FROM range(2000) r(i)
+"""
+
+
+def test_panel_reads_the_tape_once(spark, events, tmp_path):
+    got, _, want = events("intraday_panel", SPARSE)
+    agree(got, want)
+    assert got.cost_bps.nunique() > 100 and (got.cost_bps == 3.0).any()
+    plan = registry.queries()["intraday_panel"](spark, str(tmp_path))._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("FileScan parquet") == 1 and "Join" not in plan
+
+
 def test_entries_between_blocks(spark):
     """Entries at any time, some of them twice, over quotes at equal times and ends of windows."""
     quotes = [(s, (k * k * 37 + 11 * s) % 3000 - 900, k, 9.0 + k % 3, 9.0 + k % 3 + k % 7 * 0.25, float(k % 5), 1.0) for s in range(3) for k in range(700)]

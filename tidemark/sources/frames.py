@@ -89,8 +89,9 @@ m AS (SELECT session, avg(mean_v) AS all_v FROM b GROUP BY session)
 SELECT s.*, b.baseline_absret, b.mean_v / nullif(m.all_v, 0) AS vol_shape FROM s LEFT JOIN b ON s.session = b.session AND s.minute_et = b.minute_et LEFT JOIN m ON s.session = m.session
 """
 #: Quotes around each print of the tape, an hour later; some are crossed.
+BID, ASK, ASK_SIZE = "price * (1 - 0.0002 * (event_id % 6))", "price * (1 + 0.0001 * (event_id % 7))", "size + event_id % 3"
 TAPE_QUOTES = f"""
-SELECT symbol, us + 3600000000 AS us, CAST(floor(us / 3600000000) AS bigint) + 1 AS t, event_id AS quote_id, price * (1 - 0.0002 * (event_id % 6)) AS bid, price * (1 + 0.0001 * (event_id % 7)) AS ask, size AS bid_size, size + event_id % 3 AS ask_size FROM ({TRADES}) q8
+SELECT symbol, us + 3600000000 AS us, CAST(floor(us / 3600000000) AS bigint) + 1 AS t, event_id AS quote_id, {BID} AS bid, {ASK} AS ask, size AS bid_size, {ASK_SIZE} AS ask_size FROM ({TRADES}) q8
 """
 
 FRAMES = {"trades": TRADES, "signed": SIGNED, "bars": BARS, "et": ET, "sessions": SESSIONS, "daily": DAILY, "quotes": QUOTES, "quote_bars": QUOTE_BARS, "filings": FILINGS, "news": NEWS, "clock": CLOCK, "tape_quotes": TAPE_QUOTES}
