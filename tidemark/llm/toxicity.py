@@ -99,6 +99,7 @@ class CharModel:
         self.k, self.size = k, max(30, len({g[2] for g in counts}))
 
         self.logs, self.paths = _Logs(self), _Paths(self)
+        self.places: _Places | None = None
 
     def log(self, context: str, c: str) -> float:
         return self.logs[context + c]
@@ -208,6 +209,11 @@ def _core(token: str) -> str:
     return _RUN.sub(r"\1\1\1", bare) if _THRICE.search(bare) else bare
 
 
+def _bare(token: str) -> str:
+    """What a token is restored to if it is short and, but for plain punctuation at its edges, letters, none beside itself; else ""."""
+    return bare if len(token) <= LONG and (bare := token.strip(_ENDS)).isalpha() and not _TWICE.search(bare) else ""
+
+
 def restored(token: str, model: CharModel) -> list[str]:
     """A lower-cased token's words; only tokens with signs, digits, long runs or several words need the lattice."""
     several = token[0] == " " or len(token) > LONG
@@ -248,18 +254,35 @@ def features(words: list[str]) -> list[str]:
     return out
 
 
-class _Weights(dict):
-    """Token -> the largest weight of its restored word's prefixes; a bounded cache."""
+class _Known(dict):
+    """What tokens are to some known features; a bounded cache, which leaves out to restore what can't have any."""
 
-    def __init__(self, model: CharModel, weights: dict[str, float]):
+    def __init__(self, model: CharModel, known: dict[str, float] | dict[str, int]):
         super().__init__()
-        self.model, self.weights = model, weights
+        self.model, self.known = model, known
         # the first four characters of every feature, and how these begin
-        self.heads = {f[:4] for f in weights}
+        self.heads = {f[:4] for f in known}
         self.starts = {h[:n] for h in self.heads for n in range(4)}
 
+    def value(self, words: list[str]) -> float | tuple[int, ...]:
+        raise NotImplementedError
+
+    def __missing__(self, token: str) -> float | tuple[int, ...]:
+        if bare := _bare(token):
+            out = (self[bare] if bare != token else self.value([bare])) if (bare + "$")[:4] in self.heads else self.value([])
+        else:
+            head = token[:4]
+            # four letters, none beside itself, begin whatever the token is restored to
+            plain = head.isalpha() and len(head) == 4 and head[0] != head[1] != head[2] != head[3] and len(token) <= LONG
+            out = self.value(restored(token, self.model) if (head in self.heads or not plain) and self._may(token) else [])
+        if len(token) <= 64:
+            if len(self) >= CACHE:
+                self.clear()
+            self[token] = out
+        return out
+
     def _may(self, token: str) -> bool:
-        """False if no way to restore a token leads to a feature with a weight."""
+        """False if no way to restore a token leads to a known feature."""
         heads = self.heads
         if not heads or token[0] == " " or len(token) > LONG:
             return bool(heads)
@@ -284,19 +307,33 @@ class _Weights(dict):
                     todo.append(there)
         return False
 
-    def __missing__(self, token: str) -> float:
-        w, get, head = 0.0, self.weights.get, token[:4]
-        # four letters, none beside itself, begin whatever the token is restored to
-        plain = head.isalpha() and len(head) == 4 and head[0] != head[1] != head[2] != head[3] and len(token) <= LONG
-        for word in restored(token, self.model) if (head in self.heads or not plain) and self._may(token) else ():
-            for f in features([word]):
-                if (v := get(f)) is not None and v > w:
-                    w = v
-        if len(token) <= 64:
-            if len(self) >= CACHE:
-                self.clear()
-            self[token] = w
-        return w
+
+class _Weights(_Known):
+    """Token -> the largest weight of its restored word's prefixes."""
+
+    def __init__(self, model: CharModel, weights: dict[str, float]):
+        super().__init__(model, weights)
+        self.weights = weights
+
+    def value(self, words: list[str]) -> float:
+        return max((v for f in features(words) if (v := self.weights.get(f)) is not None), default=0.0) if words else 0.0
+
+
+class _Places(_Known):
+    """Token -> the places of its restored words' features in a list that has, with a feature, all that it begins with."""
+
+    def value(self, words: list[str]) -> tuple[int, ...]:
+        out, get = [], self.known.get
+        for word in words:
+            if len(word) > 2:
+                for cut in _CUTS[: max(0, len(word) + 1 - PREFIXES[0])]:
+                    if (i := get(word[cut])) is None:
+                        break
+                    out.append(i)
+                else:
+                    if (i := get(word + "$")) is not None:
+                        out.append(i)
+        return tuple(out)
 
 
 def evidence(text: str, cache: _Weights) -> tuple[float, float, float]:
@@ -325,7 +362,7 @@ class _Features(dict):
         self.model = model
 
     def __missing__(self, token: str) -> list[str]:
-        out = features(restored(token, self.model))
+        out = features([bare] if (bare := _bare(token)) else restored(token, self.model))
         if len(token) <= 64:
             if len(self) >= CACHE // 4:
                 self.clear()
@@ -375,37 +412,55 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     sent = spark.sparkContext.broadcast({"chars": chars, "words": words})
     sizes = {(r.half, r.y): r["n"] for r in rows.groupBy("half", "y").agg(F.count(F.lit(1)).alias("n")).collect()}
 
-    def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def toxic_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = _Features(_characters_of(sent))
-        counts: list[Counter] = [Counter() for _ in range(4)]
+        counts: list[Counter] = [Counter(), Counter()]
 
         def partial() -> pa.RecordBatch:
             names = list(set().union(*counts))
-            return pa.RecordBatch.from_arrays([pa.array(names, pa.string()), *(pa.array([c.get(f, 0) for f in names], pa.int64()) for c in counts)], names=["f", "c0", "t0", "c1", "t1"])
+            return pa.RecordBatch.from_arrays([pa.array(names, pa.string()), *(pa.array([c.get(f, 0) for f in names], pa.int64()) for c in counts)], names=["f", "t0", "t1"])
 
         for batch in batches:
-            for text, y, half in zip(*batch.columns, strict=True):
+            for text, half in zip(*batch.columns, strict=True):
                 own: set[str] = set()
                 own.update(*map(cache.__getitem__, set(tokens(text.as_py()))))
-                counts[2 * half.as_py() + y.as_py()].update(own)
+                counts[half.as_py()].update(own)
                 if sum(map(len, counts)) >= HELD:
                     yield partial()
                     for c in counts:
                         c.clear()
         yield partial()
 
-    total = rows.mapInArrow(frequencies, "f string, c0 long, t0 long, c1 long, t1 long").groupBy("f").agg(*(F.sum(c).alias(c) for c in ("c0", "t0", "c1", "t1")))
+    toxic_n, clean_n = (sum(n for (_, y), n in sizes.items() if y == v) for v in (1, 0))
+    total = rows.where("y = 1").select("text", "half").mapInArrow(toxic_features, "f string, t0 long, t1 long").groupBy("f").agg(F.sum("t0").alias("t0"), F.sum("t1").alias("t1"))
+    # no other feature can have a weight, whatever the clean rows say
+    table = total.where(F.col("t0") + F.col("t1") >= least_toxic(sizes)).toArrow().to_pandas()
+    listed = spark.sparkContext.broadcast({f: i for i, f in enumerate(table["f"])})
+
+    def clean_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        places = _places_of(sent, listed)
+        counts = np.zeros((2, len(listed.value)), np.int64)
+        for batch in batches:
+            held: tuple[list[int], list[int]] = [], []
+            for text, half in zip(*batch.columns, strict=True):
+                own: set[int] = set()
+                own.update(*map(places.__getitem__, set(tokens(text.as_py()))))
+                held[half.as_py()].extend(own)
+            for into, ids in zip(counts, held, strict=True):
+                if ids:
+                    into += np.bincount(ids, minlength=len(into))
+        at = np.flatnonzero(counts.any(axis=0))
+        yield pa.RecordBatch.from_arrays([pa.array(at), *(pa.array(c[at]) for c in counts)], names=["place", "c0", "c1"])
+
+    clean = rows.where("y = 0").select("text", "half").mapInArrow(clean_features, "place long, c0 long, c1 long").groupBy("place").agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1")).toArrow().to_pandas()
+    listed.unpersist()
+    for c in ("c0", "c1"):
+        table[c] = np.bincount(clean["place"], clean[c], len(table)).astype(np.int64)
     # no other feature can have a weight in either half
-    found = total.where("t0 + t1 >= 3").where(F.expr(f"(t0 + t1) * {max(1, sum(n for (_, y), n in sizes.items() if not y))} >= 4 * (c0 + c1) * {max(1, sum(n for (_, y), n in sizes.items() if y))}"))
-    table = found.toArrow().to_pandas()
+    table = table[(table.t0 + table.t1) * max(1, clean_n) >= 4 * (table.c0 + table.c1) * max(1, toxic_n)]
 
     def weigh(toxic: np.ndarray, clean: np.ndarray, halves: tuple[int, ...]) -> dict[str, float]:
-        nt, nc = (sum(sizes.get((h, y), 0) for h in halves) for y in (1, 0))
-        w = np.log((toxic + 0.5) / (nt + 1)) - np.log((clean + 0.5) / (nc + 1))
-        # shrunk by what chance finds of rare features reach of the likelihood ratio
-        n, q = toxic + clean, (nt + 0.5) / (nt + nc + 1)
-        ratio = 2 * (toxic * np.log(np.maximum(toxic, 1e-9) / np.maximum(n * q, 1e-9)) + clean * np.log(np.maximum(clean, 1e-9) / np.maximum(n * (1 - q), 1e-9)))
-        w = w * np.maximum(0, 1 - CHANCE / np.maximum(ratio, 1e-9))
+        w = weight(toxic, clean, *(sum(sizes.get((h, y), 0) for h in halves) for y in (1, 0)))
         keep = w > LEAST
         return dict(zip(table["f"][keep], w[keep].tolist(), strict=True))
 
@@ -423,11 +478,28 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     # most rows have no evidence: equal ones are one point
     points = rows.mapInArrow(measured, "y int, a double, b double, c double").groupBy("y", "a", "b", "c").agg(F.count(F.lit(1)).alias("n")).orderBy("y", "a", "b", "c").toArrow().to_pandas()
     sent.unpersist()
-    toxic, clean = (sum(n for (_, y), n in sizes.items() if y == v) for v in (1, 0))
-    prior = math.log((toxic + 0.5) / (clean + 0.5))
+    prior = math.log((toxic_n + 0.5) / (clean_n + 0.5))
     return {"chars": chars, "words": words, "weights": full, "line": _logistic(points, prior)}
 
 
+def weight(toxic: np.ndarray, clean: np.ndarray, nt: int, nc: int) -> np.ndarray:
+    """Weights of features in so many toxic and clean rows of nt and nc."""
+    w = np.log((toxic + 0.5) / (nt + 1)) - np.log((clean + 0.5) / (nc + 1))
+    # shrunk by what chance finds of rare features reach of the likelihood ratio
+    n, q = toxic + clean, (nt + 0.5) / (nt + nc + 1)
+    ratio = 2 * (toxic * np.log(np.maximum(toxic, 1e-9) / np.maximum(n * q, 1e-9)) + clean * np.log(np.maximum(clean, 1e-9) / np.maximum(n * (1 - q), 1e-9)))
+    return w * np.maximum(0, 1 - CHANCE / np.maximum(ratio, 1e-9))
+
+
+def least_toxic(sizes: dict[tuple[int, int], int]) -> float:
+    """In how many toxic rows a feature with a weight is at least: three, and as many as reach a likelihood ratio above CHANCE.
+
+    t toxic rows and no clean one reach 2 t log(1 / q), q the toxic share; clean rows lower that, or the feature is no sign.
+    """
+    shares = [(sum(sizes.get((h, 1), 0) for h in halves) + 0.5) / (sum(sizes.get((h, y), 0) for h in halves for y in (0, 1)) + 1) for halves in ((0,), (1,), (0, 1))]
+    return max(3.0, (1 - 1e-9) * CHANCE / (2 * math.log(1 / min(shares))))
+
+
 def _logistic(points, prior: float, ridge: float = 0.3) -> list[float]:
     """Newton's method with step halving on a ridge-penalised logistic regression of counted points: intercept and one slope a feature."""
     y, n = points["y"].to_numpy(float), points["n"].to_numpy(float)
@@ -463,6 +535,14 @@ def _characters_of(sent: Broadcast) -> CharModel:
     return _made[id(model)][1]
 
 
+def _places_of(sent: Broadcast, listed: Broadcast) -> _Places:
+    """The list's features with their cache, once a worker."""
+    model = _characters_of(sent)
+    if model.places is None or model.places.known is not listed.value:
+        model.places = _Places(model, listed.value)
+    return model.places
+
+
 def _ready(sent: Broadcast) -> tuple[_Weights, np.ndarray]:
     """The model with its cache, once a worker."""
     model = sent.value
