@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import math
 import random
 from collections import Counter
 
@@ -49,3 +50,12 @@ def test_no_weight_below_the_least_toxic_rows():
             weighty = toxicity.weight(t, c, nt, nc) > toxicity.LEAST
             assert (t[weighty] >= least).all()
     assert toxicity.least_toxic({(0, 0): 900, (0, 1): 100}) > 4
+
+
+def test_tokens_that_begin_as_no_feature_take_no_place():
+    model = toxicity.CharModel({"^^f": 3, "^fo": 3, "foo": 3, "oo$": 2, "ool": 1, "ol$": 1}, {"foo": 2, "fool": 2})
+    cache, plain = (toxicity._Weights(model, {"fool": 2.0, "gras": 1.5}) for _ in range(2))
+    text = "the green grass grows where f0ol, fooool and f o o l lie; " + "overthegreenhillsandfarawayfool graze"
+    found = [w for w in map(plain.__getitem__, set(toxicity.tokens(text))) if w]
+    assert toxicity.evidence(text, cache) == (max(found), math.log1p(math.fsum(map(math.exp, found))), math.log1p(len(found))) and len(found) > 2
+    assert not {"where", "grows", "graze"} & set(cache) and {"where", "grows", "graze"} < set(plain)

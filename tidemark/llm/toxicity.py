@@ -161,11 +161,16 @@ def viterbi(token: str, model: CharModel, several: bool = False) -> str:
             if ends and (end := max(ends, key=lambda x: x[0]))[0] > here.get("^^", (-math.inf,))[0]:
                 here["^^"] = end
         for context, (p, out) in here.items():
+            second = context[1]
             for j, letters, channel in edges:
                 q, ctx = p + channel, context
-                for x in letters:
-                    q += logs[ctx + x]
-                    ctx = ctx[1] + x
+                if letters:
+                    x = letters[0]
+                    q += logs[context + x]
+                    ctx = second + x
+                    if len(letters) > 1:
+                        q += logs[ctx + letters[1]]
+                        ctx = letters
                 there = best[j]
                 old = there.get(ctx)
                 if old is None or q > old[0] or (q == old[0] and _text(out) + letters < _text(old[1])):
@@ -254,6 +259,22 @@ def features(words: list[str]) -> list[str]:
     return out
 
 
+class _Near(dict):
+    """First four characters of a token -> False if, unless it is long, no known feature can come of it; a bounded cache."""
+
+    def __init__(self, heads: set[str]):
+        super().__init__()
+        self.heads = heads
+
+    def __missing__(self, head: str) -> bool:
+        # four letters, none beside itself, begin whatever the token is restored to
+        out = head in self.heads or not (head.isalpha() and len(head) == 4 and head[0] != head[1] != head[2] != head[3])
+        if len(self) >= CACHE:
+            self.clear()
+        self[head] = out
+        return out
+
+
 class _Known(dict):
     """What tokens are to some known features; a bounded cache, which leaves out to restore what can't have any."""
 
@@ -263,6 +284,7 @@ class _Known(dict):
         # the first four characters of every feature, and how these begin
         self.heads = {f[:4] for f in known}
         self.starts = {h[:n] for h in self.heads for n in range(4)}
+        self.near = _Near(self.heads)
 
     def value(self, words: list[str]) -> float | tuple[int, ...]:
         raise NotImplementedError
@@ -271,10 +293,7 @@ class _Known(dict):
         if bare := _bare(token):
             out = (self[bare] if bare != token else self.value([bare])) if (bare + "$")[:4] in self.heads else self.value([])
         else:
-            head = token[:4]
-            # four letters, none beside itself, begin whatever the token is restored to
-            plain = head.isalpha() and len(head) == 4 and head[0] != head[1] != head[2] != head[3] and len(token) <= LONG
-            out = self.value(restored(token, self.model) if (head in self.heads or not plain) and self._may(token) else [])
+            out = self.value(restored(token, self.model) if (self.near[token[:4]] or len(token) > LONG) and self._may(token) else [])
         if len(token) <= 64:
             if len(self) >= CACHE:
                 self.clear()
@@ -338,7 +357,9 @@ class _Places(_Known):
 
 def evidence(text: str, cache: _Weights) -> tuple[float, float, float]:
     """The largest weight, the log of the sum of all words' odds (their smooth maximum), and the log count of weighted words."""
-    found = [w for w in map(cache.__getitem__, set(tokens(text))) if w]
+    near = cache.near
+    # most tokens begin as no feature does, and need no place in the cache
+    found = [w for token in {t for t in tokens(text) if near[t[:4]] or len(t) > LONG} if (w := cache[token])]
     return (max(found, default=0.0), math.log1p(math.fsum(map(math.exp, found))), math.log1p(len(found)))
 
 
